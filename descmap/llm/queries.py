@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from descmap.llm import bpe
+from descmap.llm import bpe, decontam, language
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language": language.op1_language,
+        "op6_decontaminate": decontam.op6_decontaminate,
         "op9_bpe": bpe.op9_bpe,
     }
 

@@ -288,7 +288,7 @@ class Encoder:
             cut.append(parts)
             first.add(parts[0])
             spaced.update(parts[1:])
-        self._fill(first - self.known.keys(), spaced - self.spaced.keys(), more)
+        self._fill({c for c in first if c not in self.known}, {c for c in spaced if c not in self.spaced}, more)
         out = []
         get = self.spaced.__getitem__
         for k, parts in enumerate(cut):

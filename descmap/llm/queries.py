@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from descmap.llm import bpe, decontam, language
+from descmap.llm import bpe, decontam, hosts, language, merkle, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language": language.op1_language,
+        "op3_quality": quality.op3_quality,
+        "op4_hosts": hosts.op4_hosts,
         "op6_decontaminate": decontam.op6_decontaminate,
         "op9_bpe": bpe.op9_bpe,
+        "op10_merkle": merkle.op10_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_hosts": hosts.op4_sql()}

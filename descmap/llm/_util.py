@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,28 +49,22 @@ def sub_batches(values: list, limit: int = 2_000_000) -> Iterator[list]:
         yield run
 
 
-def map_columns(df: DataFrame, source: str, added: dict[str, pa.DataType], sql: str, fn: Callable[[list], dict[str, list]], replace: bool = False) -> DataFrame:
-    """df with columns that fn makes of the column `source`, one Arrow batch after another.
-
-    sql: the added columns' DDL. Columns of df that have one of the added names are
-    kept under their own name and must not clash; callers rename first (see `carry`).
-    """
-    schema = df.schema.simpleString()[7:-1]
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + (", " + sql if sql else "")
-    del schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = fn(b.column(source).to_pylist())
-            cols = [b.column(n) for n in b.schema.names] + [pa.array(out[n], t) for n, t in added.items()]
-            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, *added])
-
-    return df.mapInArrow(run, ddl)
-
-
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
 def column(df: DataFrame, name: str):
     return F.col(quoted(name))
+
+
+def ddl(fields) -> str:
+    """Column definitions of some fields of a schema."""
+    return ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in fields)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores before it as long as df has such a column."""
+    lower = {c.lower() for c in df.columns}
+    while name.lower() in lower:
+        name = "_" + name
+    return name

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from descmap.llm import bpe, decontam, hosts, language, merkle, quality
+from descmap.llm import bpe, decontam, hosts, language, merkle, quality, simhash, substring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": quality.op3_quality,
         "op4_hosts": hosts.op4_hosts,
         "op6_decontaminate": decontam.op6_decontaminate,
+        "op7_simhash": simhash.op7_simhash,
+        "op8_substring": substring.op8_substring,
         "op9_bpe": bpe.op9_bpe,
         "op10_merkle": merkle.op10_merkle,
     }

@@ -252,14 +252,16 @@ def cut(text: str, spans: list[list[int]]) -> str:
     return "".join([*out, text[last:]])
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", max_coverage: float = 0.5, **kw) -> DataFrame:
+def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", max_coverage: float = 0.5, n_chars: str | None = None, **kw) -> DataFrame:
     """docs without the spans that benchmark windows cover, and without documents covered beyond max_coverage.
 
-    Rows and columns are those of docs; texts without a hit stay as they are.
+    Columns are those of docs; texts without a hit stay as they are. n_chars: a column of text
+    lengths to keep in step.
     """
     found = find(docs, benchmark, text, **kw)
     names = found.columns
     at, n_at, span_at = (names.index(x) for x in (text, "n_words", "hit_spans"))
+    length_at = names.index(n_chars) if n_chars in names else None
     ddl = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,6 +279,11 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", max_covera
                     else:
                         values[k] = cut(values[k], spans[k])
                 cols[at] = pa.array(values, pa.string())
+                if length_at is not None:
+                    lengths = cols[length_at].to_pylist()
+                    for k in hit:
+                        lengths[k] = len(values[k])
+                    cols[length_at] = pa.array(lengths, cols[length_at].type)
                 keep = pa.array([k not in drop for k in range(len(values))])
                 cols = [c.filter(keep) for c in cols]
             yield pa.RecordBatch.from_arrays(cols, names=names[:-3])

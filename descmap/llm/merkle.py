@@ -97,7 +97,7 @@ def with_next(docs: DataFrame, fn, out: str, id_col: str = "doc_id", text: str =
     spark = docs.sparkSession
     cuts = sorted(set(rows.stat.approxQuantile("i", [j / k for j in range(1, k)], 0.2 / k))) if k > 1 and size.lo is not None else []
     cuts = [int(c) for c in cuts]
-    # The group is the number of cuts at or below the id: a binary search in SQL would not be shorter, the array is.
+    # The group is the number of cuts at or below the id.
     edges = F.array(*[F.lit(c).cast("bigint") for c in cuts]) if cuts else F.array().cast("array<bigint>")
     grouped = rows.withColumn("g", F.when(F.col("i").isNull(), F.lit(len(cuts))).otherwise(_rank(edges, F.col("i"), len(cuts))))
     order = F.struct(F.col("i").isNull().alias("n"), F.col("i").alias("i"), F.col("t").alias("t"))
@@ -139,13 +139,11 @@ def with_next(docs: DataFrame, fn, out: str, id_col: str = "doc_id", text: str =
 
 
 def _rank(edges, value, n: int):
-    """The number of edges at or below value, by a fixed number of halvings."""
-    lo = F.lit(0)
-    step = 1 << max(0, n.bit_length() - 1)
-    while step and n:
-        lo = F.when((lo + step <= n) & (F.get(edges, lo + (step - 1)) <= value), lo + step).otherwise(lo)
-        step >>= 1
-    return lo
+    """The number of (ascending) edges at or below value, by a fixed number of halvings."""
+    if not n:
+        return F.lit(0)
+    steps = F.array(*[F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda lo, step: F.when(F.get(edges, lo + step - 1) <= value, lo + step).otherwise(lo))
 
 
 class _Seen:

@@ -38,6 +38,8 @@ from descmap.llm._util import checkpointed, column, quoted, table
 SHINGLE, BITS = 4, 4
 #: Entries of a posting list that one task compares at once.
 BLOCK = 32768
+#: Fingerprints that one task makes the keys of.
+KEYED = 20_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _WEIGHTS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
@@ -115,7 +117,9 @@ def links(fps: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
         raise ValueError("fingerprints that differ in 8 bits need not share a byte")
     one = lambda k: F.shiftrightunsigned("fp", 8 * k).bitwiseAND(255)
     packed = [reduce(lambda a, b: F.shiftleft(a, 8).bitwiseOR(b), [one(k) for k in at], F.lit(0).cast("bigint")).alias("b") for at in combinations(range(8), keep)]
-    keyed = fps.select("fp", F.posexplode(F.array(*packed)).alias("p", "b"))
+    # Fingerprints are short and each makes many keys: deal them by number, as sizes in bytes would leave them to a few tasks.
+    tasks = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), fps.count() // KEYED)
+    keyed = fps.repartition(tasks, "fp").select("fp", F.posexplode(F.array(*packed)).alias("p", "b"))
     sizes = keyed.groupBy("p", "b").agg(F.count("*").alias("n")).where("n > 1")
     met = keyed.join(sizes, ["p", "b"])
     blocks = F.ceil(F.col("n") / block).cast("int")
@@ -159,13 +163,15 @@ def components(edges: DataFrame) -> DataFrame:
 def cluster(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """id, fp and component (the smallest id reachable) of every row of docs."""
     rows = checkpointed(with_fingerprint(docs.select(column(docs, id_col).alias("id"), column(docs, text).alias("t")), "t", "fp", shingle, drop_text=True))
-    by_fp = rows.groupBy("fp").agg(F.min("id").alias("least"))
+    by_fp = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("least")))
     found = components(links(by_fp.select("fp"), bits))
     named = by_fp.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     linked = named.join(found.select(F.col("root")).distinct(), "root", "left_semi")
     low = linked.groupBy("root").agg(F.min("least").alias("low"))
     of_fp = found.join(low, "root").select("fp", "low")
-    return rows.join(by_fp, "fp").join(of_fp, "fp", "left").select("id", "fp", F.coalesce("low", "least").alias("component"))
+    # Written, so that the rows of a fingerprint that very many texts have can be split over tasks in this join.
+    named = checkpointed(by_fp.join(of_fp, "fp", "left").select("fp", F.coalesce("low", "least").alias("component")))
+    return rows.join(named, "fp").select("id", "fp", "component")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **kw) -> DataFrame:

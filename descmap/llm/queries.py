@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from descmap.llm import bpe, decontam, hosts, language, merkle, quality, simhash, substring
+from descmap.llm import bpe, decontam, hosts, language, merkle, quality, simhash, substring, template, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language": language.op1_language,
+        "op2_template": template.op2_template,
         "op3_quality": quality.op3_quality,
         "op4_hosts": hosts.op4_hosts,
+        "op5_warc": warc.op5_warc,
         "op6_decontaminate": decontam.op6_decontaminate,
         "op7_simhash": simhash.op7_simhash,
         "op8_substring": substring.op8_substring,

@@ -1,8 +1,8 @@
 """WARC archives with a two-level capture index.
 
 Archives are written by Spark's own text writer, so their files are committed as those of
-any table and need no folder but the shared one: a record ends with two line ends, which is the
-writer's separator. Payloads that occur more than once are stored once, with the largest id; the other
+any table and need no folder but the shared one. As usual each record is a gzip member of its own; the
+writer's separator is the gzip member of no bytes, which readers pass over. Payloads that occur more than once are stored once, with the largest id; the other
 records are revisits (profile identical-payload-digest) that refer to it.
 
 The index has the captures of all files sorted by URL key (host labels reversed, then path), in
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import gzip
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -34,6 +35,7 @@ RECORDS = 4000
 BLOCK = 1000
 DATE = "2026-01-01T00:00:00Z"
 END = "\r\n\r\n"
+_EMPTY = gzip.compress(b"", mtime=0)
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HEX = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -87,8 +89,16 @@ def write(recs: DataFrame, path: str, per_file: int = RECORDS) -> None:
         F.lit("Content-Type: application/http; msgtype=response"),
         line("Content-Length", (F.octet_length(http) + F.when(revisit, 0).otherwise(size)).cast("string")),
     )
-    whole = F.concat(header, F.lit(END), http, F.when(revisit, "").otherwise(F.col("payload")))
-    recs.select(whole.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
+    whole = F.concat(header, F.lit(END), http, F.when(revisit, "").otherwise(F.col("payload")), F.lit(END))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([gzip.compress(t.encode(), 6, mtime=0) for t in b.column(0).to_pylist()], pa.binary())], names=["member"])
+
+    members = recs.select(whole.alias("whole")).mapInArrow(run, "member binary")
+    # The separator's characters are its bytes in this encoding; members go out as the bytes they are.
+    out = members.select(F.col("member").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", _EMPTY.decode("latin-1"))
+    out.option("maxRecordsPerFile", per_file).text(path)
 
 
 def url_key(url: str | None) -> str:
@@ -100,18 +110,33 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(rest[:end].lower().split("."))) + ")" + (rest[end:] or "/")
 
 
-def parse(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(offset, length, header fields by lower-case name, block) of each record of a file."""
-    at = 0
+def members(content: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, bytes decompressed) of each gzip member that has any."""
+    view, at = memoryview(content), 0
     while at < len(content):
-        end = content.index(b"\r\n\r\n", at)
-        lines = content[at:end].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        n = int(fields["content-length"])
-        yield at, end + 4 + n + 4 - at, fields, content[end + 4 : end + 4 + n]
-        at = end + 4 + n + 4
+        d, parts, end = zlib.decompressobj(31), [], at
+        while not d.eof:
+            if end >= len(content):
+                raise ValueError(f"the member at byte {at} doesn't end")
+            parts.append(d.decompress(view[end : end + 16384]))
+            end = min(end + 16384, len(content))
+        end -= len(d.unused_data)
+        if any(parts):
+            yield at, end - at, b"".join(parts)
+        at = end
+
+
+def parse(record: bytes) -> tuple[dict[str, str], bytes]:
+    """Header fields by lower-case name, and the block."""
+    end = record.index(b"\r\n\r\n")
+    lines = record[:end].decode().split("\r\n")
+    if not lines[0].startswith("WARC/"):
+        raise ValueError("no WARC record")
+    fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    n = int(fields["content-length"])
+    if record[end + 4 + n :] != END.encode():
+        raise ValueError("the record's length is wrong")
+    return fields, record[end + 4 : end + 4 + n]
 
 
 def payload_of(block: bytes) -> tuple[int, bytes]:
@@ -132,7 +157,8 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 made = []
-                for at, size, f, block in parse(content.as_py()):
+                for at, size, record in members(content.as_py()):
+                    f, block = parse(record)
                     digest = f["warc-payload-digest"].removeprefix("sha1:")
                     n, body = payload_of(block)
                     if f["warc-type"] == "response" and (len(body) != n or base64.b32encode(hashlib.sha1(body).digest()).decode() != digest):
@@ -234,8 +260,8 @@ def read_range(spark: SparkSession, path: str, at: int, size: int) -> bytes:
 
 def fetch(spark: SparkSession, archive: str, line: list[str]) -> bytes:
     """The payload (a revisit's: empty) of a capture line, by a range read."""
-    record = read_range(spark, f"{archive}/{line[6]}", int(line[7]), int(line[8]))
-    return payload_of(next(parse(record))[3])[1]
+    member = read_range(spark, f"{archive}/{line[6]}", int(line[7]), int(line[8]))
+    return payload_of(parse(gzip.decompress(member))[1])[1]
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ of the tail probabilities; a document is kept if the tail at `at_least` reaches
 
 The weights are fitted on the driver to a bounded sample of rated rows: `sample` rows in
 expectation, chosen by a hash of the id. Features seen in fewer than `MIN_DOCS` of them have no
-weight. Null texts count as empty and have shape features only. Without rated rows every
+weight, nor have those among whose rows the grades are spread as chance would have it (within `SCREEN` standard
+deviations, at every threshold). Null texts count as empty and have shape features only. Without rated rows every
 text has the top grade with probability 1.
 """
 
@@ -27,8 +28,9 @@ from descmap.llm.decontam import words_of
 
 BUCKETS = 1 << 18
 MIN_DOCS = 4
+SCREEN = 5.0
 #: Rated rows that are learned from, in expectation.
-SAMPLE = 8000
+SAMPLE = 20_000
 CACHE = 200_000
 _UPPER = bytes(range(65, 91))
 _DIGIT = bytes(range(48, 58))
@@ -92,7 +94,13 @@ def fit_sparse(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l2: fl
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     docs = np.bincount(flat, minlength=BUCKETS)
-    kept = np.flatnonzero(docs >= MIN_DOCS)
+    far = np.zeros(BUCKETS)
+    for k in range(1, n_grades):
+        p = (grades >= k).mean()
+        if 0 < p < 1:
+            seen = np.bincount(flat, (grades >= k)[of].astype(float), BUCKETS)
+            far = np.maximum(far, np.abs(seen - docs * p) / np.sqrt(np.maximum(docs, 1) * p * (1 - p)))
+    kept = np.flatnonzero((docs >= MIN_DOCS) & (far >= SCREEN))
     slot = np.full(BUCKETS, -1)
     slot[kept] = np.arange(len(kept))
     use = slot[flat] >= 0

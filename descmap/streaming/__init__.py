@@ -1,0 +1 @@
+"""Nothing here streams: all operators are over bounded sets of frames, as is all they are made for."""

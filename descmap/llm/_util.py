@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,3 +71,18 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in lower:
         name = "_" + name
     return name
+
+
+_OWNER: list = [None, None]
+
+
+def takes_memory(name: str, forget: Callable[[], None]) -> None:
+    """To be called by what keeps something in a Python worker between tasks: workers serve many operators, and only
+    the last keeps what it has learned. Freed memory goes back to the system where the C library can do that."""
+    if _OWNER[0] != name:
+        if _OWNER[1] is not None:
+            _OWNER[1]()
+        _OWNER[:] = [name, forget]
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)

@@ -23,10 +23,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from descmap.llm._util import quoted, sub_batches, table
+from descmap.llm._util import quoted, sub_batches, table, takes_memory
 
 #: Entries that a worker keeps at most; beyond, it forgets all and learns anew.
-CACHE = 900_000
+CACHE = 600_000
 #: Bytes of a word that goes through the rounds; longer ones are replayed one merge at a time.
 LONG = 48
 NONE, LAST = np.uint64(2**64 - 1), np.uint32(2**32 - 1)
@@ -324,6 +324,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     ddl = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in docs.schema.fields) + f", {quoted(ids)} binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        takes_memory("bpe", _ENCODERS.clear)
         if key not in _ENCODERS:
             _ENCODERS.clear()
             _ENCODERS[key] = Encoder(*shared.value)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from descmap.llm._util import column, quoted, sub_batches, table
+from descmap.llm._util import column, quoted, sub_batches, table, takes_memory
 from descmap.llm.decontam import words_of
 
 BUCKETS = 1 << 18
@@ -64,7 +64,7 @@ def hashed(feature: bytes) -> int:
 class Model:
     def __init__(self, weights: np.ndarray, thresholds: np.ndarray):
         self.weights, self.thresholds = weights, thresholds
-        self.known: dict[bytes, float] = {}
+        self.known: dict[bytes, tuple[int, float]] = {}
 
     def __getstate__(self):
         return self.weights, self.thresholds
@@ -72,11 +72,15 @@ class Model:
     def __setstate__(self, state):
         self.__init__(*state)
 
+    def _forget(self) -> None:
+        self.known = {}
+
     def scores(self, texts: list[str]) -> list[float]:
         out = []
+        takes_memory("quality", self._forget)
         for t in texts:
             if len(self.known) > CACHE:
-                self.known = {}
+                self._forget()
             known, some = self.known, features(t)
             # Each bucket counts once, as in training.
             for f in [f for f in some if f not in known]:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from descmap.llm._util import checkpointed, column, quoted, table
+from descmap.llm._util import checkpointed, column, quoted, table, takes_memory
 
 SHINGLE, BITS = 4, 4
 #: Entries of a posting list that one task compares at once.
@@ -69,6 +69,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp", shing
     ddl = ", ".join(f"{quoted(docs.schema[k].name)} {docs.schema[k].dataType.simpleString()}" for k in left) + f", {quoted(out)} bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        takes_memory("simhash", list)
         for b in batches:
             made = pa.array([fingerprint(t, shingle) for t in b.column(at).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in left), made], names=[*(names[k] for k in left), out])

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from descmap.llm._util import column, ddl, fresh, table
+from descmap.llm._util import column, ddl, fresh, table, takes_memory
 
 WINDOW = 20
 GROUP_BYTES, GROUPS = 4_000_000, 96
@@ -80,6 +80,7 @@ class Windows:
     """Words and windows of some texts, in order; at: place of each window's first word among all words."""
 
     def __init__(self, texts: list[str | None], window: int):
+        takes_memory("substring", _HASHES.clear)
         split = [(t or "").encode().split() for t in texts]
         self.sizes = np.array([len(s) for s in split], np.int64)
         self.begin = np.concatenate(([0], np.cumsum(self.sizes)))

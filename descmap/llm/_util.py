@@ -15,7 +15,20 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\f\r"
 
 
+#: Rows of one Arrow batch: texts are long, and both sides hold several batches at once.
+BATCH = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches to Python workers of BATCH rows at most from now on in this session."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH:
+        spark.conf.set(key, BATCH)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -79,7 +92,7 @@ _OWNER: list = [None, None]
 def takes_memory(name: str, forget: Callable[[], None]) -> None:
     """To be called by what keeps something in a Python worker between tasks: workers serve many operators, and only
     the last keeps what it has learned. Freed memory goes back to the system where the C library can do that."""
-    if _OWNER[0] != name:
+    if _OWNER[0] != name or _OWNER[1] != forget:
         if _OWNER[1] is not None:
             _OWNER[1]()
         _OWNER[:] = [name, forget]

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from descmap.llm._util import quoted, sub_batches, table, takes_memory
 
 #: Entries that a worker keeps at most; beyond, it forgets all and learns anew.
-CACHE = 600_000
+CACHE = 400_000
 #: Bytes of a word that goes through the rounds; longer ones are replayed one merge at a time.
 LONG = 48
 NONE, LAST = np.uint64(2**64 - 1), np.uint32(2**32 - 1)
@@ -305,38 +305,51 @@ class Encoder:
 _ENCODERS: dict[object, Encoder] = {}
 
 
+def _forget_all() -> None:
+    _ENCODERS.clear()
+
+
 def _names(df: DataFrame, wanted: list[str]) -> None:
     if clash := [c for c in wanted if c in df.columns]:
         raise ValueError(f"columns exist already: {clash}")
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with a binary column of ids (packed little-endian unsigned 32-bit).
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """docs with a binary column of ids (packed little-endian unsigned 32-bit); decoded: a column of the bytes that these
+    ids stand for, made in the same pass (ids and their decoding then need no second worker for a task).
 
     The ranks (a vocabulary file, about a megabyte) are read on the driver and broadcast.
     """
-    _names(docs, [ids])
+    added = [ids, *([decoded] if decoded else [])]
+    _names(docs, added)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((load_ranks(ranks_path), pattern))
     key = (ranks_path, pattern)
     names = docs.columns
     at = names.index(text)
-    ddl = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in docs.schema.fields) + f", {quoted(ids)} binary"
+    ddl = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in docs.schema.fields) + "".join(f", {quoted(a)} binary" for a in added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        takes_memory("bpe", _ENCODERS.clear)
+        takes_memory("bpe", _forget_all)
         if key not in _ENCODERS:
             _ENCODERS.clear()
             _ENCODERS[key] = Encoder(*shared.value)
         encoder = _ENCODERS[key]
+        token_of = {r: t for t, r in shared.value[0].items()} if decoded else {}
         for b in batches:
             values = pc.fill_null(b.column(at).cast(pa.string()), "").to_pylist()
-            made = [x for part in sub_batches(values) for x in encoder.encode(part)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.binary())], names=[*names, ids])
+            made = [[x for part in sub_batches(values) for x in encoder.encode(part)]]
+            if decoded:
+                made.append([_bytes_of(x, token_of) for x in made[0]])
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(m, pa.binary()) for m in made)], names=[*names, *added])
 
     return docs.mapInArrow(run, ddl)
 
 
+def _bytes_of(packed: bytes, token_of: dict[int, bytes]) -> bytes:
+    return b"".join(map(token_of.__getitem__, memoryview(packed).cast("I")))
+
+
 def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """encoded with the bytes that its ids stand for; null ids give null."""
     _names(encoded, [out])
@@ -348,7 +361,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", out: str = "de
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token_of = {r: t for t, r in shared.value.items()}
         for b in batches:
-            made = [None if x is None else b"".join(map(token_of.__getitem__, memoryview(x).cast("I"))) for x in b.column(at).to_pylist()]
+            made = [None if x is None else _bytes_of(x, token_of) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.binary())], names=[*names, out])
 
     return encoded.mapInArrow(run, ddl)
@@ -359,8 +372,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
-    both = decode(encoded.select("doc_id", "ids"), path)
+    both = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN, decoded="decoded")
     return both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -214,13 +214,30 @@ def _parts(benchmark: DataFrame, id_col: str, text_col: str, max_words: int) ->
     return parts
 
 
+def _scanner(benchmark: DataFrame, item_id: str, item_text: str, window: int, max_words: int) -> Callable[[list[str]], tuple[list, list, list]]:
+    """What makes, on an executor, the numbers of words, hit spans and hit items of texts."""
+    sc = benchmark.sparkSession.sparkContext
+    shared = [sc.broadcast(Automaton(p, window)) for p in _parts(benchmark, item_id, item_text, max_words)]
+
+    def scan(values: list[str]) -> tuple[list, list, list]:
+        n, spans, items = [], [], []
+        for part in sub_batches(values):
+            found = [s.value.scan(part) for s in shared]
+            for one in zip(*found, strict=True):
+                n.append(one[0][0])
+                spans.append(merged([x for o in one for x in o[1]]))
+                items.append(sorted({s.value.names[i] for s, o in zip(shared, one, strict=True) for i in o[2] if s.value.names[i] is not None}))
+        return n, spans, items
+
+    return scan
+
+
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
     """docs with n_words, hit_spans (word positions from, to) and hit_items (item ids as strings, sorted)."""
     added = ["n_words", "hit_spans", "hit_items"]
     if clash := [c for c in added if c in docs.columns]:
         raise ValueError(f"columns exist already: {clash}")
-    sc = docs.sparkSession.sparkContext
-    shared = [sc.broadcast(Automaton(p, window)) for p in _parts(benchmark, item_id, item_text, max_words)]
+    scan = _scanner(benchmark, item_id, item_text, window, max_words)
     names = docs.columns
     at = names.index(text)
     ddl = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in docs.schema.fields)
@@ -228,14 +245,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values = pc.fill_null(b.column(at).cast(pa.string()), "").to_pylist()
-            n, spans, items = [], [], []
-            for part in sub_batches(values):
-                found = [s.value.scan(part) for s in shared]
-                for one in zip(*found, strict=True):
-                    n.append(one[0][0])
-                    spans.append(merged([x for o in one for x in o[1]]))
-                    items.append(sorted({s.value.names[i] for s, o in zip(shared, one, strict=True) for i in o[2] if s.value.names[i] is not None}))
+            n, spans, items = scan(pc.fill_null(b.column(at).cast(pa.string()), "").to_pylist())
             made = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*names, *added])
 
@@ -252,33 +262,31 @@ def cut(text: str, spans: list[list[int]]) -> str:
     return "".join([*out, text[last:]])
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", max_coverage: float = 0.5, n_chars: str | None = None, **kw) -> DataFrame:
+def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", max_coverage: float = 0.5, n_chars: str | None = None, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
     """docs without the spans that benchmark windows cover, and without documents covered beyond max_coverage.
 
     Columns are those of docs; texts without a hit stay as they are. n_chars: a column of text
     lengths to keep in step.
     """
-    found = find(docs, benchmark, text, **kw)
-    names = found.columns
-    at, n_at, span_at = (names.index(x) for x in (text, "n_words", "hit_spans"))
-    length_at = names.index(n_chars) if n_chars in names else None
+    scan = _scanner(benchmark, item_id, item_text, window, max_words)
+    names = docs.columns
+    at, length_at = names.index(text), names.index(n_chars) if n_chars in names else None
     ddl = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans = b.column(span_at).to_pylist()
-            n = b.column(n_at).to_pylist()
+            values = b.column(at).to_pylist()
+            n, spans, _ = scan([v or "" for v in values])
             hit = [k for k, s in enumerate(spans) if s]
-            cols = list(b.columns)[: len(names) - 3]
+            cols = list(b.columns)
             if hit:
-                values = b.column(at).to_pylist()
                 drop = set()
                 for k in hit:
                     if sum(y - x for x, y in spans[k]) > max_coverage * n[k]:
                         drop.add(k)
                     else:
                         values[k] = cut(values[k], spans[k])
-                cols[at] = pa.array(values, pa.string())
+                cols[at] = pa.array(values, cols[at].type)
                 if length_at is not None:
                     lengths = cols[length_at].to_pylist()
                     for k in hit:
@@ -286,9 +294,9 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", max_covera
                     cols[length_at] = pa.array(lengths, cols[length_at].type)
                 keep = pa.array([k not in drop for k in range(len(values))])
                 cols = [c.filter(keep) for c in cols]
-            yield pa.RecordBatch.from_arrays(cols, names=names[:-3])
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return found.mapInArrow(run, ddl)
+    return docs.mapInArrow(run, ddl)
 
 
 def digest(ids: list[str]) -> str:

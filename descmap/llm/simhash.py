@@ -44,6 +44,10 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _WEIGHTS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
+def _nothing() -> None:
+    """Fingerprints leave nothing in a worker."""
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The fingerprint as a signed 64-bit number."""
     words = (text or "").encode().translate(_LOWER).split()
@@ -69,7 +73,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp", shing
     ddl = ", ".join(f"{quoted(docs.schema[k].name)} {docs.schema[k].dataType.simpleString()}" for k in left) + f", {quoted(out)} bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        takes_memory("simhash", list)
+        takes_memory("simhash", _nothing)
         for b in batches:
             made = pa.array([fingerprint(t, shingle) for t in b.column(at).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in left), made], names=[*(names[k] for k in left), out])

@@ -57,6 +57,10 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
+def _forget_all() -> None:
+    _HASHES.clear()
+
+
 def _poly(a: np.ndarray, multiplier: int, window: int) -> np.ndarray:
     """Polynomial of every `window` neighbours, by doubling."""
     power, out, done, k, part = 1, None, 0, 1, a
@@ -80,7 +84,7 @@ class Windows:
     """Words and windows of some texts, in order; at: place of each window's first word among all words."""
 
     def __init__(self, texts: list[str | None], window: int):
-        takes_memory("substring", _HASHES.clear)
+        takes_memory("substring", _forget_all)
         split = [(t or "").encode().split() for t in texts]
         self.sizes = np.array([len(s) for s in split], np.int64)
         self.begin = np.concatenate(([0], np.cumsum(self.sizes)))

@@ -99,3 +99,11 @@ def takes_memory(name: str, forget: Callable[[], None]) -> None:
         gc.collect()
         with contextlib.suppress(OSError, AttributeError):
             ctypes.CDLL(None).malloc_trim(0)
+
+
+def room(df: DataFrame, added: list[str], used: tuple[str, ...] = ()) -> DataFrame:
+    """df without columns that have the name of one that is about to be added; columns that are used can't be replaced."""
+    names = {a.lower() for a in added}
+    if clash := [u for u in used if u.lower() in names]:
+        raise ValueError(f"{clash} would be read and replaced")
+    return df.select(*[column(df, c) for c in df.columns if c.lower() not in names])

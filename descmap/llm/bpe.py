@@ -6,7 +6,8 @@ token to the positions where it can arise is drained in rank order, and a merge
 touches only its two neighbours. A worker keeps what it has learned, up to a bound,
 so a piece is merged once and looked up afterwards.
 
-Null texts count as empty; empty texts have no ids. Extra columns pass through.
+Null texts count as empty; empty texts have no ids. Extra columns pass through; a column that has the name of an added
+one is replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from descmap.llm._util import quoted, sub_batches, table, takes_memory
+from descmap.llm._util import quoted, room, sub_batches, table, takes_memory
 
 #: Entries that a worker keeps at most; beyond, it forgets all and learns anew.
 CACHE = 400_000
@@ -309,11 +310,6 @@ def _forget_all() -> None:
     _ENCODERS.clear()
 
 
-def _names(df: DataFrame, wanted: list[str]) -> None:
-    if clash := [c for c in wanted if c in df.columns]:
-        raise ValueError(f"columns exist already: {clash}")
-
-
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """docs with a binary column of ids (packed little-endian unsigned 32-bit); decoded: a column of the bytes that these
     ids stand for, made in the same pass (ids and their decoding then need no second worker for a task).
@@ -321,7 +317,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     The ranks (a vocabulary file, about a megabyte) are read on the driver and broadcast.
     """
     added = [ids, *([decoded] if decoded else [])]
-    _names(docs, added)
+    docs = room(docs, added, (text,))
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((load_ranks(ranks_path), pattern))
     key = (ranks_path, pattern)
@@ -352,7 +348,7 @@ def _bytes_of(packed: bytes, token_of: dict[int, bytes]) -> bytes:
 
 def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """encoded with the bytes that its ids stand for; null ids give null."""
-    _names(encoded, [out])
+    encoded = room(encoded, [out], (ids,))
     shared = encoded.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
     names = encoded.columns
     at = names.index(ids)

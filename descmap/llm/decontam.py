@@ -8,7 +8,7 @@ are walked, since no window lies outside of them.
 Words are runs of digits, A-Z lower-cased, a-z and non-ASCII characters. A window is
 `window` consecutive words of one item; an item of fewer words is one window. Null and
 empty texts have no words; null and repeated items are allowed (an item without words
-has no window). Extra columns pass through.
+has no window). Extra columns pass through; one that has the name of an added column is replaced.
 
 The automaton goes to the executors as broadcast data. Its bound is `max_words` item
 words; a larger benchmark is dealt into several automata, and the texts stream through
@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from descmap.llm._util import quoted, sub_batches, table
+from descmap.llm._util import quoted, room, sub_batches, table
 
 WINDOW = 10
 #: Item words in one automaton at most (some 100 bytes a word).
@@ -235,8 +235,7 @@ def _scanner(benchmark: DataFrame, item_id: str, item_text: str, window: int, ma
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
     """docs with n_words, hit_spans (word positions from, to) and hit_items (item ids as strings, sorted)."""
     added = ["n_words", "hit_spans", "hit_items"]
-    if clash := [c for c in added if c in docs.columns]:
-        raise ValueError(f"columns exist already: {clash}")
+    docs = room(docs, added, (text,))
     scan = _scanner(benchmark, item_id, item_text, window, max_words)
     names = docs.columns
     at = names.index(text)

@@ -11,7 +11,8 @@ language has seen pays the escapes of its context and goes to the next shorter t
 A text is lower-cased and runs of other characters than letters become one space. The
 language with the shortest code wins (ties: first in order of name); the score is the
 softmax of the code lengths, in nats. Null texts and texts without a letter are `und`
-with score 0; so is everything if nothing was learned.
+with score 0; so is everything if nothing was learned. Extra columns pass through; one that has the name of an added column is
+replaced.
 
 Training takes a bounded sample of the labelled rows: `per_language` rows of each
 language in expectation, chosen by a hash of the id and not by place; languages with
@@ -28,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from descmap.llm._util import column, quoted, sub_batches, table
+from descmap.llm._util import column, quoted, room, sub_batches, table
 
 ORDER = 3
 #: Labelled rows of a language that are learned from, in expectation.
@@ -209,8 +210,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang: s
 
 def predict(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with the predicted language and its score."""
-    if clash := [c for c in (lang, score) if c in docs.columns]:
-        raise ValueError(f"columns exist already: {clash}")
+    docs = room(docs, [lang, score], (text,))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     at = names.index(text)

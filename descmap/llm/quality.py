@@ -10,7 +10,8 @@ The weights are fitted on the driver to a bounded sample of rated rows: `sample`
 expectation, chosen by a hash of the id. Features seen in fewer than `MIN_DOCS` of them have no
 weight, nor have those among whose rows the grades are spread as chance would have it (within `SCREEN` standard
 deviations, at every threshold). Null texts count as empty and have shape features only. Without rated rows every
-text has the top grade with probability 1.
+text has the top grade with probability 1. Of an id rated repeatedly the highest grade counts. Extra columns pass through; one that has
+the name of an added column is replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from descmap.llm._util import column, quoted, sub_batches, table, takes_memory
+from descmap.llm._util import column, quoted, room, sub_batches, table, takes_memory
 from descmap.llm.decontam import words_of
 
 BUCKETS = 1 << 18
@@ -167,8 +168,7 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc_i
 def score(docs: DataFrame, model: Model, text: str = "text", at_least: int = 2, cut: float = 0.5, only_kept: bool = False) -> DataFrame:
     """docs with expected_grade, tail_probability and keep; only_kept: without these, and without the rows not kept."""
     added = ["expected_grade", "tail_probability", "keep"]
-    if clash := [c for c in added if c in docs.columns and not only_kept]:
-        raise ValueError(f"columns exist already: {clash}")
+    docs = docs if only_kept else room(docs, added, (text,))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     at = names.index(text)

@@ -18,7 +18,8 @@ neighbour and jumping along (checkpointed each round), then carried to the docum
 
 Words are runs without ASCII white space, A-Z lower-cased. Null and empty texts have the
 fingerprint zero and are linked like any other; texts with fewer words than a shingle are
-one shingle. Null ids never name a component if another id is in it.
+one shingle. Null ids never name a component if another id is in it. Extra columns are left out of clusters and stay in
+`one_of_each`.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from descmap.llm._util import checkpointed, column, quoted, table, takes_memory
+from descmap.llm._util import checkpointed, column, quoted, room, table, takes_memory
 
 SHINGLE, BITS = 4, 4
 #: Entries of a posting list that one task compares at once.
@@ -65,8 +66,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp", shingle: int = SHINGLE, drop_text: bool = False) -> DataFrame:
     """docs with each text's fingerprint as a bigint."""
-    if out in docs.columns:
-        raise ValueError(f"column exists already: {out}")
+    docs = room(docs, [out], (text,))
     names = docs.columns
     at = names.index(text)
     left = [k for k in range(len(names)) if not (drop_text and k == at)]
@@ -166,26 +166,31 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def cluster(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """id, fp and component (the smallest id reachable) of every row of docs."""
-    rows = checkpointed(with_fingerprint(docs.select(column(docs, id_col).alias("id"), column(docs, text).alias("t")), "t", "fp", shingle, drop_text=True))
-    by_fp = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("least")))
+    """id, hash (of the text), fp, component (the smallest id reachable) and first (whether the row is its component's: that of
+    smallest id, then of smallest hash; rows equal in both are all first) of every row of docs."""
+    some = docs.select(column(docs, id_col).alias("id"), F.xxhash64(F.coalesce(column(docs, text), F.lit(""))).alias("hash"), column(docs, text).alias("t"))
+    rows = checkpointed(with_fingerprint(some, "t", "fp", shingle, drop_text=True))
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash"))
+    by_fp = checkpointed(rows.groupBy("fp").agg(least.alias("least")))
     found = components(links(by_fp.select("fp"), bits))
     named = by_fp.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     linked = named.join(found.select(F.col("root")).distinct(), "root", "left_semi")
     low = linked.groupBy("root").agg(F.min("least").alias("low"))
     of_fp = found.join(low, "root").select("fp", "low")
     # Written, so that the rows of a fingerprint that very many texts have can be split over tasks in this join.
-    named = checkpointed(by_fp.join(of_fp, "fp", "left").select("fp", F.coalesce("low", "least").alias("component")))
-    return rows.join(named, "fp").select("id", "fp", "component")
+    named = checkpointed(by_fp.join(of_fp, "fp", "left").select("fp", F.coalesce("low", "least").alias("low")))
+    first = F.col("id").eqNullSafe(F.col("low.id")) & (F.col("hash") == F.col("low.hash"))
+    return rows.join(named, "fp").select("id", "hash", "fp", F.col("low.id").alias("component"), first.alias("first"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **kw) -> DataFrame:
-    """Rows of docs without those whose component has a smaller id; of rows that repeat an id, one stays."""
+    """The first row of each component of docs; of rows equal in id and text, one."""
     found = cluster(docs, id_col, text, **kw)
-    gone = found.where(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("_gone")).distinct()
-    kept = docs.join(gone, column(docs, id_col).eqNullSafe(gone["_gone"]), "left_anti")
-    again = found.where(F.col("id").eqNullSafe(F.col("component"))).groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
-    return kept.dropDuplicates([id_col]) if again.limit(1).count() else kept
+    gone = found.where(~F.col("first")).select(F.col("id").alias("_id"), F.col("hash").alias("_hash")).distinct()
+    same = column(docs, id_col).eqNullSafe(gone["_id"]) & (F.xxhash64(F.coalesce(column(docs, text), F.lit(""))) == gone["_hash"])
+    kept = docs.join(gone, same, "left_anti")
+    again = found.where("first").groupBy("id", "hash").agg(F.count("*").alias("n")).where("n > 1")
+    return kept.dropDuplicates([id_col, text]) if again.limit(1).count() else kept
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

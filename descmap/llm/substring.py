@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from descmap.llm._util import column, ddl, fresh, table, takes_memory
+from descmap.llm._util import column, ddl, fresh, quoted, room, table, takes_memory
 
 WINDOW = 20
 GROUP_BYTES, GROUPS = 4_000_000, 96
@@ -149,15 +149,14 @@ _BACK = pa.schema([("grp", pa.int64()), ("some", pa.binary())])
 _FOUND = pa.schema([("seg", pa.int64()), ("grp", pa.int64()), ("h1", pa.binary()), ("h2", pa.binary()), ("ids", pa.binary()), ("starts", pa.binary())])
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, unchanged: bool = True, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """docs with the text that is left, n_words and n_removed.
+def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, unchanged: bool = True, group_bytes: int = GROUP_BYTES, counts: tuple[str, str] = ("n_words", "n_removed")) -> DataFrame:
+    """docs with the text that is left, n_words and n_removed (or other names; columns that have them are replaced).
 
     What is left of a text that loses words is its other words joined by one space; unchanged: texts that
     lose none stay as they are, otherwise their words are joined by one space as well.
     """
-    n_words, n_removed = "n_words", "n_removed"
-    if clash := [c for c in (n_words, n_removed) if c in docs.columns]:
-        raise ValueError(f"columns exist already: {clash}")
+    n_words, n_removed = counts
+    docs = room(docs, list(counts), (id_col, text))
     size = docs.agg(F.sum(F.octet_length(column(docs, text)))).first()[0] or 0
     groups = max(GROUPS, -(-size // group_bytes))
     bits = max(SEGMENT_BITS, (size // 6 + 1).bit_length() + ROOM)
@@ -257,7 +256,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: i
     marked = by_group.applyInArrow(sketch, "seg bigint, grp bigint, cells binary").groupBy("seg").applyInArrow(merge, "grp bigint, some binary")
     found = by_group.cogroup(marked.groupBy("grp")).applyInArrow(candidates, "seg bigint, grp bigint, h1 binary, h2 binary, ids binary, starts binary")
     told = found.groupBy("seg").applyInArrow(exact, "grp bigint, some binary")
-    return by_group.cogroup(told.groupBy("grp")).applyInArrow(cut, ddl(docs.schema.fields) + ", n_words bigint, n_removed bigint")
+    return by_group.cogroup(told.groupBy("grp")).applyInArrow(cut, ddl(docs.schema.fields) + f", {quoted(n_words)} bigint, {quoted(n_removed)} bigint")
 
 
 def _ids(ids: np.ndarray) -> bytes:
@@ -272,8 +271,9 @@ def _unids(blob: bytes) -> np.ndarray:
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_chars: str | None = None, **kw) -> DataFrame:
     """docs with the text that is left; n_chars: a column of text lengths to keep in step."""
-    left = dedup(docs, id_col, text, **kw)
-    cols = [F.when(F.col("n_removed") > 0, F.length(column(left, text)).cast(f.dataType)).otherwise(column(left, f.name)).alias(f.name) if f.name == n_chars else column(left, f.name) for f in docs.schema.fields]
+    n_words, n_removed = fresh(docs, "n_words"), fresh(docs, "n_removed")
+    left = dedup(docs, id_col, text, counts=(n_words, n_removed), **kw)
+    cols = [F.when(column(left, n_removed) > 0, F.length(column(left, text)).cast(f.dataType)).otherwise(column(left, f.name)).alias(f.name) if f.name == n_chars else column(left, f.name) for f in docs.schema.fields]
     return left.select(*cols)
 
 

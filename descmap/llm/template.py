@@ -15,7 +15,7 @@ What stands in menus, headers, footers, sidebars, notices, adverts, forms, comme
 styles, by element, role, class or id, is in no slot. A page without its host's main slot is judged
 by itself. Text blocks end at block-level tags; character references are decoded, white
 space becomes one space, blocks are joined by a newline. Null and empty pages have the empty text. Pages
-without a host in their url make up one host.
+without a host in their url make up one host. Extra columns pass through; one that has the name of the added column is replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from descmap.llm._util import checkpointed, column, ddl, table
+from descmap.llm._util import checkpointed, column, ddl, room, table
 
 #: Share of a container's text that one inside it must hold to be taken instead.
 NEARLY = 0.85
@@ -276,8 +276,7 @@ def extract_one(source: str | None, slot: str | None = None, fixed=()) -> str:
 
 def extract(pages: DataFrame, url: str = "url", source: str = "html", out: str = "text") -> DataFrame:
     """pages without their html, with the main text."""
-    if out in [c for c in pages.columns if c != source]:
-        raise ValueError(f"column exists already: {out}")
+    pages = pages if out == source else room(pages, [out], (url, source))
     found = checkpointed(templates(pages, url, source))
     size = found.agg(F.sum(F.octet_length("host") + F.octet_length("slot") + 8 * F.size("fixed") + 32)).first()[0] or 0
     found = found.select(F.struct("host", "slot", "fixed").alias("t"))

@@ -89,8 +89,9 @@ def smallest_linked(entries: np.ndarray, bits: int = BITS) -> np.ndarray:
     """
     values = np.sort(entries)
     least = values.copy()
+    # bitwise_count takes the absolute value of signed numbers: bits are counted in unsigned views
     if len(values) == 2:
-        if int(np.bitwise_count(values[:1] ^ values[1:])[0]) <= bits:
+        if int(np.bitwise_count((values[:1] ^ values[1:]).view(np.uint64))[0]) <= bits:
             least[1] = values[0]
         return _as(entries, values, least)
     rest = values
@@ -99,7 +100,7 @@ def smallest_linked(entries: np.ndarray, bits: int = BITS) -> np.ndarray:
         while len(frontier) and len(rest):
             step = max(1, 2_000_000 // len(rest))
             near, frontier = frontier[:step], frontier[step:]
-            differ = near[:, None] ^ rest[None, :]
+            differ = (near[:, None] ^ rest[None, :]).view(np.uint64)
             # tally the positional bytes that each pair shares; only pairs with enough can link
             shared = (differ.view(np.uint8).reshape(*differ.shape, 8) == 0).sum(axis=2, dtype=np.uint8)
             a, b = np.nonzero(shared >= 8 - bits)

@@ -128,6 +128,27 @@ def test_simhash(docs):
     assert order((i, f % 2**64, c) for i, f, c in got) == order(brute_components([tuple(r) for r in docs.collect()]))
 
 
+def test_simhash_top_bit():
+    """Fingerprints that differ in bit 63 and 1 to 3 other bits, alone and among others, against brute force."""
+    import numpy as np
+
+    r = random.Random(63)
+    pairs = [(x, x ^ 1 << 63 ^ sum(1 << b for b in r.sample(range(63), k))) for k in (1, 2, 3) for x in [r.getrandbits(64) for _ in range(20)]]
+    for some in [*pairs, [x for p in pairs for x in p]]:
+        values = np.array(sorted(set(some)), np.uint64).view(np.int64)
+        near = lambda a, b: bin((int(a) ^ int(b)) & 2**64 - 1).count("1") <= 4
+        want = []
+        for v in values:
+            seen, todo = {int(v)}, [v]
+            while todo:
+                a = todo.pop()
+                new = [b for b in values if int(b) not in seen and near(a, b)]
+                seen |= set(map(int, new))
+                todo += new
+            want.append(min(seen))
+        assert simhash.smallest_linked(values).tolist() == want
+
+
 def test_simhash_blocks(spark):
     r = random.Random(3)
     base = [r.getrandbits(64) for _ in range(6)]

@@ -13,6 +13,14 @@ more than `block` entries is dealt into blocks, and every two blocks meet in a t
 their own, so no task holds an unbounded list. What leaves a task is not pairs but each
 entry's smallest connected entry in it: as many rows as entries, with the same components.
 
+`alike` has the components of another likeness, a share of common shingles (Jaccard) of
+`likeness` at least, which 64 bits can't tell. Its fingerprint has WIDE bytes, each that of
+the smallest hash of the text's shingles under an order of its own, so two texts agree in
+about as large a share of the bytes as of their shingles. The index is on KEY bytes at
+fixed positions (at a likeness of 0.8 all keys differ for 1 pair in 10,000), pairs that
+agree in SAME bytes are kept, and their sets of shingles (as 32-bit hashes) compared. The
+sets go only to where texts meet.
+
 Components are found over different fingerprints by passing on the smallest
 neighbour and jumping along (checkpointed each round), then carried to the documents.
 
@@ -41,22 +49,35 @@ SHINGLE, BITS = 4, 4
 BLOCK = 32768
 #: Fingerprints that one task makes the keys of.
 KEYED = 20_000
+#: Of the stage on shares of common shingles: words of a shingle, least share; bytes of the fingerprint, of a key, equal ones of a pair at least; entries compared at once.
+SHARED, LIKENESS = 5, 0.8
+WIDE, KEY, SAME = 72, 4, 44
+BLOCK_WIDE = 2048
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _WEIGHTS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
+_ORDERS = np.random.default_rng(7).integers(0, 2**63, (2, WIDE, 1)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def _nothing() -> None:
     """Fingerprints leave nothing in a worker."""
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The fingerprint as a signed 64-bit number."""
+def _shingles(text: str | None, shingle: int) -> list[int]:
     words = (text or "").encode().translate(_LOWER).split()
     if not words:
-        return 0
+        return []
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    hashes = [digest(join(words[i : i + shingle]), 42) for i in range(max(1, len(words) - shingle + 1))]
+    return [digest(join(words[i : i + shingle]), 42) for i in range(max(1, len(words) - shingle + 1))]
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The fingerprint as a signed 64-bit number."""
+    hashes = _shingles(text, shingle)
     n = len(hashes)
+    if not n:
+        return 0
     counts = np.zeros(64, np.int64)
     for k in range(0, n, 100_000):
         part = np.array(hashes[k : k + 100_000], "<u8")
@@ -64,18 +85,34 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int((_WEIGHTS * (2 * counts > n)).sum(dtype=np.uint64).view(np.int64))
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp", shingle: int = SHINGLE, drop_text: bool = False) -> DataFrame:
-    """docs with each text's fingerprint as a bigint."""
+def wide_fingerprint(text: str | None, shingle: int = SHARED) -> bytes:
+    """A byte of the smallest hash of the shingles under each of WIDE orders; zeros without words."""
+    hashes = np.array(_shingles(text, shingle), np.uint64)
+    if not len(hashes):
+        return bytes(WIDE)
+    least = np.full(WIDE, 2**64 - 1, np.uint64)
+    for k in range(0, len(hashes), 2000):
+        least = np.minimum(least, (_ORDERS[0] * hashes[k : k + 2000] + _ORDERS[1]).min(axis=1))
+    return (least >> np.uint64(20)).astype(np.uint8).tobytes()
+
+
+def shingle_set(text: str | None, shingle: int = SHARED) -> bytes:
+    """The different shingles' 32-bit hashes in order; one zero without words."""
+    return np.unique(np.array(_shingles(text, shingle) or [0], np.uint64).astype("<u4")).tobytes()
+
+
+def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp", shingle: int = SHINGLE, drop_text: bool = False, make=fingerprint, kind: str = "bigint") -> DataFrame:
+    """docs with each text's fingerprint, or what else `make` makes, of the SQL type `kind`."""
     docs = room(docs, [out], (text,))
     names = docs.columns
     at = names.index(text)
     left = [k for k in range(len(names)) if not (drop_text and k == at)]
-    ddl = ", ".join(f"{quoted(docs.schema[k].name)} {docs.schema[k].dataType.simpleString()}" for k in left) + f", {quoted(out)} bigint"
+    ddl = ", ".join(f"{quoted(docs.schema[k].name)} {docs.schema[k].dataType.simpleString()}" for k in left) + f", {quoted(out)} {kind}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         takes_memory("simhash", _nothing)
         for b in batches:
-            made = pa.array([fingerprint(t, shingle) for t in b.column(at).to_pylist()], pa.int64())
+            made = pa.array([make(t, shingle) for t in b.column(at).to_pylist()], pa.int64() if kind == "bigint" else pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in left), made], names=[*(names[k] for k in left), out])
 
     return docs.mapInArrow(run, ddl)
@@ -116,6 +153,15 @@ def _as(entries: np.ndarray, values: np.ndarray, least: np.ndarray) -> np.ndarra
     return least[np.searchsorted(values, entries)]
 
 
+def _meetings(met: DataFrame, entry: list[str], block: int) -> DataFrame:
+    """fps: the entries of every posting list of met (p, b, n and the columns of entry, a key first), or of every two blocks of it."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    own = F.pmod(F.xxhash64(entry[0]), blocks).cast("int")
+    single = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
+    meets = F.when(F.col("n") <= block, single).otherwise(F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j"))))
+    return met.select("p", "b", *entry, F.inline(meets)).groupBy("p", "b", "i", "j").agg(F.collect_list(F.struct(*entry) if len(entry) > 1 else entry[0]).alias("fps")).select("fps").where(F.size("fps") > 1)
+
+
 def links(fps: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     """(fp, other): edges between different fingerprints of the column fp that have the components of all links."""
     keep = 8 - bits
@@ -128,11 +174,7 @@ def links(fps: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     keyed = fps.repartition(tasks, "fp").select("fp", F.posexplode(F.array(*packed)).alias("p", "b"))
     sizes = keyed.groupBy("p", "b").agg(F.count("*").alias("n")).where("n > 1")
     met = keyed.join(sizes, ["p", "b"])
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-    single = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
-    meets = F.when(F.col("n") <= block, single).otherwise(F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j"))))
-    units = met.select("p", "b", "fp", F.inline(meets)).groupBy("p", "b", "i", "j").agg(F.collect_list("fp").alias("fps")).select("fps").where(F.size("fps") > 1)
+    units = _meetings(met, ["fp"], block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -148,6 +190,58 @@ def links(fps: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     return units.mapInArrow(run, "fp bigint, other bigint").distinct()
 
 
+def smallest_alike(ids: np.ndarray, wide: np.ndarray, sets: list[np.ndarray], likeness: float = LIKENESS) -> np.ndarray:
+    """For each id the smallest one that links of at least `likeness` lead to. Breadth-first, like `smallest_linked`."""
+    least, left = ids.copy(), np.argsort(ids)
+    while len(left):
+        root, frontier, left = left[0], [left[0]], left[1:]
+        while frontier and len(left):
+            a = frontier.pop()
+            close = left[(wide[left] == wide[a]).sum(axis=1) >= SAME]
+            # as many common shingles as the likeness needs can't be in sets of too different sizes
+            n = len(sets[a])
+            close = [k for k in close.tolist() if likeness * n <= len(sets[k]) * (1 + 1e-9) and likeness * len(sets[k]) <= n * (1 + 1e-9)]
+            if not close:
+                continue
+            sizes = np.array([len(sets[k]) for k in close])
+            flat = np.concatenate([sets[k] for k in close])
+            common = sets[a][np.minimum(np.searchsorted(sets[a], flat), n - 1)] == flat
+            both = np.add.reduceat(common.astype(np.int64), np.concatenate(([0], np.cumsum(sizes)[:-1])))
+            near = np.array(close)[both / (sizes + n - both) >= likeness]
+            if len(near):
+                least[near] = ids[root]
+                frontier += near.tolist()
+                left = left[~np.isin(left, near)]
+    return least
+
+
+def alike_links(entries: DataFrame, texts: DataFrame, shingle: int = SHARED, likeness: float = LIKENESS, block: int = BLOCK_WIDE) -> DataFrame:
+    """(fp, other): edges between texts of entries (hash, wide) that have the components of all links; texts: (hash, t), each hash at least once."""
+    tasks = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), entries.count() // KEYED)
+    keys = F.array(*[F.substring("wide", k + 1, KEY) for k in range(0, WIDE, KEY)])
+    keyed = entries.repartition(tasks, "hash").select("hash", F.posexplode(keys).alias("p", "b"))
+    sizes = keyed.groupBy("p", "b").agg(F.count("*").alias("n")).where("n > 1")
+    met = checkpointed(keyed.join(sizes, ["p", "b"]))
+    some = texts.join(met.select("hash").distinct(), "hash", "left_semi").dropDuplicates(["hash"])
+    held = with_fingerprint(some, "t", "set", shingle, drop_text=True, make=shingle_set, kind="binary").join(entries, "hash")
+    units = _meetings(met.join(held, "hash"), ["hash", "wide", "set"], block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            col = b.column(0)
+            ids, wide, sets = col.flatten().flatten()
+            ids, at = ids.to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(col.value_lengths().to_numpy())))
+            for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                values = ids[x:y]
+                rows = np.frombuffer(b"".join(wide[x:y].to_pylist()), np.uint8).reshape(-1, WIDE)
+                least = smallest_alike(values, rows, [np.frombuffer(v, "<u4") for v in sets[x:y].to_pylist()], likeness)
+                moved = least != values
+                if moved.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(values[moved]), pa.array(least[moved])], names=["fp", "other"])
+
+    return units.mapInArrow(run, "fp bigint, other bigint").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(fp, root): each vertex of the edges (fp, other) with the smallest vertex it is connected to.
 
@@ -169,11 +263,31 @@ def components(edges: DataFrame) -> DataFrame:
 def cluster(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """id, hash (of the text), fp, component (the smallest id reachable) and first (whether the row is its component's: that of
     smallest id, then of smallest hash; rows equal in both are all first) of every row of docs."""
-    some = docs.select(column(docs, id_col).alias("id"), F.xxhash64(F.coalesce(column(docs, text), F.lit(""))).alias("hash"), column(docs, text).alias("t"))
-    rows = checkpointed(with_fingerprint(some, "t", "fp", shingle, drop_text=True))
-    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash"))
-    by_fp = checkpointed(rows.groupBy("fp").agg(least.alias("least")))
-    found = components(links(by_fp.select("fp"), bits))
+    rows = checkpointed(with_fingerprint(_hashed(docs, id_col, text), "t", "fp", shingle, drop_text=True))
+    by_fp = checkpointed(rows.groupBy("fp").agg(_least().alias("least")))
+    return _carried(rows, by_fp, links(by_fp.select("fp"), bits))
+
+
+def alike(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHARED, likeness: float = LIKENESS) -> DataFrame:
+    """As `cluster`, for links of at least that share of common shingles; fp is the text's hash."""
+    some = _hashed(docs, id_col, text)
+    rows = checkpointed(with_fingerprint(some, "t", "wide", shingle, drop_text=True, make=wide_fingerprint, kind="binary"))
+    by_hash = checkpointed(rows.groupBy("hash").agg(_least().alias("least"), F.first("wide").alias("wide")))
+    edges = alike_links(by_hash.select("hash", "wide"), some.select("hash", "t"), shingle, likeness)
+    return _carried(rows.select("id", "hash", F.col("hash").alias("fp")), by_hash.select(F.col("hash").alias("fp"), "least"), edges)
+
+
+def _hashed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    return docs.select(column(docs, id_col).alias("id"), F.xxhash64(F.coalesce(column(docs, text), F.lit(""))).alias("hash"), column(docs, text).alias("t"))
+
+
+def _least():
+    return F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash"))
+
+
+def _carried(rows: DataFrame, by_fp: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows (id, hash, fp) with component and first, from (fp, least) and the edges between fps."""
+    found = components(edges)
     named = by_fp.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     linked = named.join(found.select(F.col("root")).distinct(), "root", "left_semi")
     low = linked.groupBy("root").agg(F.min("least").alias("low"))
@@ -184,9 +298,9 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle
     return rows.join(named, "fp").select("id", "hash", "fp", F.col("low.id").alias("component"), first.alias("first"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **kw) -> DataFrame:
-    """The first row of each component of docs; of rows equal in id and text, one."""
-    found = cluster(docs, id_col, text, **kw)
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", groups=cluster, **kw) -> DataFrame:
+    """The first row of each component that `groups` finds in docs; of rows equal in id and text, one."""
+    found = groups(docs, id_col, text, **kw)
     gone = found.where(~F.col("first")).select(F.col("id").alias("_id"), F.col("hash").alias("_hash")).distinct()
     same = column(docs, id_col).eqNullSafe(gone["_id"]) & (F.xxhash64(F.coalesce(column(docs, text), F.lit(""))) == gone["_hash"])
     kept = docs.join(gone, same, "left_anti")

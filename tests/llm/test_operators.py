@@ -172,6 +172,43 @@ def test_one_of_each(spark, docs, crowded, nothing):
     assert simhash.one_of_each(crowded).columns == crowded.columns
 
 
+def near_copies(seed: int) -> list[tuple]:
+    """Texts of 5 to 150 words with copies in which 0 to 5 words are others, chains of them, and texts without words."""
+    r = random.Random(seed)
+    out = []
+    for i in range(90):
+        words = r.choice(out)[1].split() if out and i % 3 else [r.choice(WORDS) + str(r.randrange(90)) for _ in range(r.randrange(5, 150))]
+        for _ in range(r.randrange(6) if i % 3 else 0):
+            words[r.randrange(len(words))] = f"new{i}"
+        out.append((i, " ".join(words)))
+    return [*out, (900, None), (901, ""), (902, " \n "), (None, out[0][1]), (903, out[0][1].upper())]
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK_WIDE, 3])
+def test_alike(spark, nothing, block, monkeypatch):
+    """Components of all pairs with a Jaccard likeness of 0.8 at least on five-word shingles, also with blocks; the pipeline's stage keeps one of each."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(simhash.alike_links, "__defaults__", (*simhash.alike_links.__defaults__[:-1], block))
+    rows = near_copies(8)
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sets = [frozenset(" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for w in ((t or "").lower().split() for _, t in rows)]
+    near = lambda a, b: len(a & b) / len(a | b) >= 0.8
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if near(sets[a], sets[b]) and root[a] != root[b]:
+                root = [root[b] if x == root[a] else x for x in root]
+    least = {}
+    for (i, _), x in zip(rows, root):
+        if i is not None:
+            least[x] = min(least.get(x, i), i)
+    assert 20 < len(least) < len(rows) - 10
+    assert order(tuple(r) for r in simhash.alike(d).select("id", "component").collect()) == order((i, least[x]) for (i, _), x in zip(rows, root))
+    assert {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, d, "").collect()} == set(least.values())
+    assert simhash.alike(nothing).count() == 0
+
+
 # --- decontamination
 
 

@@ -8,8 +8,9 @@ vectors are one equivalence class. Containers form the host's template: classes
 as their paths do, and each container on at least half of the pages is a slot. The main
 slot is found from the top: a container gives way to the one inside it that holds nearly all of
 its text, as long as it is no article or main element and has no first heading of its own.
-Blocks in the class of the whole page (once on every page) are template text,
-unless they make up much of the slot, as on a host of copies.
+Blocks that stand once on a share of SUPPORT at least of the pages that have the main slot are
+template text, unless they make up much of the slot, as on a host of copies. Pages without
+text are no pages here.
 
 What stands in menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and
 styles, by element, role, class or id, is in no slot. A page without its host's main slot is judged
@@ -36,6 +37,8 @@ from descmap.llm._util import checkpointed, column, ddl, room, table
 NEARLY = 0.85
 #: Pages of a host at least, and share of the main text at most, for template text.
 PAGES, SHARE = 5, 0.3
+#: Share of the pages with the main slot that template text stands on at least.
+SUPPORT = 0.8
 #: Bytes of templates that are broadcast at most; beyond, pages are joined with them by host.
 BROADCAST = 32 << 20
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
@@ -199,14 +202,14 @@ def _key(path: tuple[str, ...]) -> str:
 def _vectors(hosts: list[str], sources: list[str]) -> list[tuple]:
     """(host, token, fingerprint, pages, characters, characters in first headings) over some pages.
 
-    Tokens of blocks that some page of the host lacks are left out, since they can't be in the class of the whole page.
+    The token "" stands for every page with text.
     """
     of: dict[str, dict[str, list[int]]] = {}
     for host, source in zip(hosts, sources, strict=True):
         page, mine = Page(source), of.setdefault(host, {})
         own = _hash(source)
-        counts: dict[str, tuple[int, int, int]] = {"": (1, 0, 0)}
         sums = page.sums()
+        counts: dict[str, tuple[int, int, int]] = {"": (1, 0, 0)} if sums else {}
         for path, k in page.slots.items():
             counts[_key(path)] = (k, *sums.get(path, (0, 0)))
         blocks: dict[str, tuple[int, int]] = {}
@@ -223,8 +226,8 @@ def _vectors(hosts: list[str], sources: list[str]) -> list[tuple]:
             x[3] += h
     rows = []
     for host, tokens in of.items():
-        pages = tokens[""][1]
-        rows += [(host, k, *x) for k, x in tokens.items() if (x[1] == pages if k[:1] == "=" else 50 * x[1] >= pages)]
+        pages = tokens[""][1] if "" in tokens else 0
+        rows += [(host, k, *x) for k, x in tokens.items() if k[:1] == "=" or 50 * x[1] >= pages]
     return rows
 
 
@@ -241,8 +244,9 @@ def _template(t: pa.Table) -> pa.Table:
     sums = {tuple(r["token"][1:].split("/")): [r["chars"], r["first"]] for r in rows if r["token"][:1] == "/" and 2 * r["pages"] >= whole["pages"] and r["chars"]}
     slot = main_slot(sums)
     fixed = []
-    if whole["pages"] >= PAGES:
-        fixed = [r for r in rows if r["token"][:1] == "=" and r["fp"] == whole["fp"]]
+    with_slot = next((r["pages"] for r in rows if r["token"] == _key(slot)), whole["pages"]) if slot else whole["pages"]
+    if with_slot >= PAGES:
+        fixed = [r for r in rows if r["token"][:1] == "=" and r["pages"] >= SUPPORT * with_slot]
         total = sum(n for p, (n, _) in sums.items() if p[: len(slot)] == slot)
         if sum(r["chars"] for r in fixed) > SHARE * total:
             fixed = []
@@ -261,6 +265,8 @@ def templates(pages: DataFrame, url: str = "url", source: str = "html") -> DataF
 
     some = both.mapInArrow(run, "host string, token string, fp bigint, pages bigint, chars bigint, first bigint")
     vectors = some.groupBy("host", "token").agg(F.bit_xor("fp").alias("fp"), *[F.sum(c).alias(c) for c in ("pages", "chars", "first")])
+    # Blocks on fewer pages can't be template text; without them a host's tokens are few.
+    vectors = vectors.where(~F.startswith("token", F.lit("=")) | (F.col("pages") >= SUPPORT * PAGES))
     return vectors.groupBy("host").applyInArrow(_template, "host string, slot string, fixed array<bigint>")
 
 

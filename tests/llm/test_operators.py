@@ -412,6 +412,16 @@ def test_template_drops_fixed_text(spark):
     assert {r.text for r in template.extract(pages).collect()} == {(f"story {k} " * 30).strip() for k in range(8)}
 
 
+def test_template_drops_fixed_text_with_odd_pages(spark):
+    """Empty pages, one of another layout and one that lacks the text don't keep it on the others."""
+    html = "<html><body><article><p>%s</p><p>Sign up for our letter</p></article></body></html>"
+    odd = [(20, "http://h.org/a", None), (21, "http://h.org/b", ""), (22, "http://h.org/c", "<html><body><div><p>Not found</p></div></body></html>"), (23, "http://h.org/d", "<html><body><article><p>bare</p></article></body></html>")]
+    pages = spark.createDataFrame([*((k, "http://h.org/a", html % (f"story {k} " * 30)) for k in range(8)), *odd], "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in template.extract(pages).collect()}
+    assert [got[k] for k in range(8)] == [(f"story {k} " * 30).strip() for k in range(8)]
+    assert [got[k] for k in range(20, 24)] == ["", "", "Not found", "bare"]
+
+
 # --- WARC
 
 

@@ -1,10 +1,8 @@
 """Main text of HTML pages by equivalence-class template deduction.
 
 Tokens of a page are its containers (an element's path of names, classes and ids, digits left out)
-and its text blocks. Over the pages of one host, a token's occurrence vector has its count in
-each page. Vectors are compared by fingerprint: the exclusive or, over pages, of a hash of page
-and count, which partial aggregation computes for any number of pages. Tokens with equal
-vectors are one equivalence class. Containers form the host's template: classes nest
+and its text blocks. Over the pages of one host, a token's pages are counted, which partial
+aggregation does for any number of pages. Containers form the host's template: they nest
 as their paths do, and each container on at least half of the pages is a slot. The main
 slot is found from the top: a container gives way to the one inside it that holds nearly all of
 its text, as long as it is no article or main element and has no first heading of its own.
@@ -200,14 +198,13 @@ def _key(path: tuple[str, ...]) -> str:
 
 
 def _vectors(hosts: list[str], sources: list[str]) -> list[tuple]:
-    """(host, token, fingerprint, pages, characters, characters in first headings) over some pages.
+    """(host, token, pages, characters, characters in first headings) over some pages.
 
     The token "" stands for every page with text.
     """
     of: dict[str, dict[str, list[int]]] = {}
     for host, source in zip(hosts, sources, strict=True):
         page, mine = Page(source), of.setdefault(host, {})
-        own = _hash(source)
         sums = page.sums()
         counts: dict[str, tuple[int, int, int]] = {"": (1, 0, 0)} if sums else {}
         for path, k in page.slots.items():
@@ -218,25 +215,24 @@ def _vectors(hosts: list[str], sources: list[str]) -> list[tuple]:
                 k = f"={_hash(text)}"
                 blocks[k] = (blocks.get(k, (0, 0))[0] + 1, len(text))
         counts |= {k: (c, n, 0) for k, (c, n) in blocks.items() if c == 1}
-        for k, (c, n, h) in counts.items():
-            x = mine.setdefault(k, [0, 0, 0, 0])
-            x[0] ^= _hash(own, c)
-            x[1] += 1
-            x[2] += n
-            x[3] += h
+        for k, (_, n, h) in counts.items():
+            x = mine.setdefault(k, [0, 0, 0])
+            x[0] += 1
+            x[1] += n
+            x[2] += h
     rows = []
     for host, tokens in of.items():
-        pages = tokens[""][1] if "" in tokens else 0
-        rows += [(host, k, *x) for k, x in tokens.items() if k[:1] == "=" or 50 * x[1] >= pages]
+        pages = tokens[""][0] if "" in tokens else 0
+        rows += [(host, k, *x) for k, x in tokens.items() if k[:1] == "=" or 50 * x[0] >= pages]
     return rows
 
 
-_VECTOR = pa.schema([("host", pa.string()), ("token", pa.string()), ("fp", pa.int64()), ("pages", pa.int64()), ("chars", pa.int64()), ("first", pa.int64())])
+_VECTOR = pa.schema([("host", pa.string()), ("token", pa.string()), ("pages", pa.int64()), ("chars", pa.int64()), ("first", pa.int64())])
 _TEMPLATE = pa.schema([("host", pa.string()), ("slot", pa.string()), ("fixed", pa.list_(pa.int64()))])
 
 
 def _template(t: pa.Table) -> pa.Table:
-    """The main slot and the template text of one host, from its tokens' vectors."""
+    """The main slot and the template text of one host, from its tokens' counts."""
     rows = t.to_pylist()
     whole = next((r for r in rows if r["token"] == ""), None)
     if whole is None:
@@ -263,8 +259,8 @@ def templates(pages: DataFrame, url: str = "url", source: str = "html") -> DataF
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _VECTOR, strict=True)], schema=_VECTOR)
 
-    some = both.mapInArrow(run, "host string, token string, fp bigint, pages bigint, chars bigint, first bigint")
-    vectors = some.groupBy("host", "token").agg(F.bit_xor("fp").alias("fp"), *[F.sum(c).alias(c) for c in ("pages", "chars", "first")])
+    some = both.mapInArrow(run, "host string, token string, pages bigint, chars bigint, first bigint")
+    vectors = some.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "chars", "first")])
     # Blocks on fewer pages can't be template text; without them a host's tokens are few.
     vectors = vectors.where(~F.startswith("token", F.lit("=")) | (F.col("pages") >= SUPPORT * PAGES))
     return vectors.groupBy("host").applyInArrow(_template, "host string, slot string, fixed array<bigint>")

@@ -422,6 +422,15 @@ def test_template_drops_fixed_text_with_odd_pages(spark):
     assert [got[k] for k in range(20, 24)] == ["", "", "Not found", "bare"]
 
 
+def test_template_copies_do_not_cancel(spark):
+    """A page alone in its batch keeps its text, though all others of its host come in pairs of equal ones."""
+    html = "<html><body><article><p>%s</p></article></body></html>"
+    texts = [(f"story {k} " * 30).strip() for k in "abbcc"]
+    pages = spark.createDataFrame([(k, "http://h.org/a", html % t) for k, t in enumerate(texts)], "page_id bigint, url string, html string")
+    assert pages.rdd.mapPartitions(lambda rows: [[r.page_id for r in rows]]).first() == [0]
+    assert {r.page_id: r.text for r in template.extract(pages).collect()} == dict(enumerate(texts))
+
+
 # --- WARC
 
 

@@ -1,4 +1,4 @@
-"""Main text of HTML pages by equivalence-class template deduction.
+"""Main text of HTML pages by path and word rules over each host's pages; equivalence classes are not deduced.
 
 Tokens of a page are its containers (an element's path of names, classes and ids, digits left out)
 and its text blocks. Over the pages of one host, a token's pages are counted, which partial

@@ -157,6 +157,12 @@ def dbscan(spark, sf_dir):
     return cluster.dbscan(emb(spark, sf_dir), 0.8, 5)
 
 
+@query(_DB.replace("<= 0.8)", "<= 1.15)"))
+def dbscan_wide(spark, sf_dir):
+    """At this radius the tables have core rows; at that of `dbscan` all rows are noise."""
+    return cluster.dbscan(emb(spark, sf_dir), 1.15, 5)
+
+
 @query(
     f"WITH {E}, q AS (SELECT id, x FROM e ORDER BY ('0x' || substr(md5('0:' || id), 1, 13))::BIGINT, id LIMIT 50), p AS (SELECT q.x, e.x AS y, q.id = e.id AS same FROM q, e), d AS (SELECT CASE WHEN same THEN 0 ELSE {DIST} END AS d FROM p), o AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS k, (count(*) OVER () - 1) * 10.0 / (SELECT count(*) FROM e) AS place FROM d) SELECT round(max(d) FILTER (k = floor(place)) + any_value(place - floor(place)) * (max(d) FILTER (k = ceil(place)) - max(d) FILTER (k = floor(place))), 5) AS eps FROM o"
 )

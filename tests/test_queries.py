@@ -40,6 +40,12 @@ def test_query(spark, con, name):
             assert all(u == v or isinstance(u, float) and isinstance(v, float) and math.isclose(u, v, abs_tol=2e-4, rel_tol=1e-6) for u, v in zip(x, y, strict=True)), (x, y)
 
 
+def test_some_dbscan_query_clusters(spark):
+    """At sf0.01 some registered DBSCAN query has core rows, clusters and noise."""
+    labels = [{r.cluster_label for r in registry.QUERIES[q](spark, SF.replace("0.001", "0.01")).collect()} for q in registry.QUERIES if q in ("dbscan", "dbscan_wide")]
+    assert any(-1 in x and max(x) >= 0 for x in labels)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 500
     assert set(entry.oracle_sql()) <= set(entry.queries())

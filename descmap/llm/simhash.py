@@ -2,11 +2,11 @@
 
 A fingerprint's bit is set if more than half of the text's word shingles have it in their
 64-bit hash. Fingerprints that differ in at most `bits` bits differ in at most as many of
-their eight bytes, so they share at least 8 - bits bytes at the same position. The index
-therefore holds each different fingerprint once for every set of `8 - bits` positions
-with its bytes there: whoever shares enough bytes meets under some key. Where
-fingerprints meet, the positional bytes that two share are tallied, pairs with the
-guaranteed minimum are kept, and their bits compared.
+their eight bytes, so they share at least 8 - bits bytes at the same position: the guaranteed
+minimum. The index posts a fingerprint under its bytes at some sets of positions, chosen so
+that whoever reaches the minimum meets in one posting list (for four of eight bytes 20
+sets of three positions do). Who meets shares fewer bytes than the minimum; the positional bytes
+that a pair shares are tallied, pairs below the minimum are dropped, and the bits of the rest compared.
 
 Equal fingerprints are one entry, however many documents have them. A posting list with
 more than `block` entries is dealt into blocks, and every two blocks meet in a task of
@@ -118,6 +118,37 @@ def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp", shing
     return docs.mapInArrow(run, ddl)
 
 
+def positions(least: int) -> list[tuple[int, ...]]:
+    """Sets of byte positions, one of which at least lies in any `least` of the eight positions.
+
+    For least = 4 the positions are dealt into three parts: sets of three lie in one part, or have two in a part and one in the
+    next. Four positions have three in a part, or two in one and one in each other.
+    """
+    if least < 4:
+        return list(combinations(range(8), max(1, least - 1)))
+    part = [0, 0, 0, 1, 1, 1, 2, 2]
+
+    def fits(three: tuple[int, ...]) -> bool:
+        n = [sum(part[k] == p for k in three) for p in range(3)]
+        return any(n[p] == 3 or (n[p] == 2 and n[(p + 1) % 3] == 1) for p in range(3))
+
+    return [three for three in combinations(range(8), 3) if fits(three)]
+
+
+def tally(differ: np.ndarray) -> np.ndarray:
+    """How many bytes at the same position the pairs share whose exclusive or `differ` (unsigned) has."""
+    return (np.ascontiguousarray(differ).view(np.uint8).reshape(*differ.shape, 8) == 0).sum(axis=-1, dtype=np.uint8)
+
+
+def linked(a: np.ndarray, b: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Which pairs link: the count filter first, then the bits of what it leaves."""
+    # bitwise_count takes the absolute value of signed numbers: bits are counted in unsigned views
+    differ = (a ^ b).view(np.uint64)
+    out = tally(differ) >= 8 - bits
+    out[out] = np.bitwise_count(differ[out]) <= bits
+    return out
+
+
 def smallest_linked(entries: np.ndarray, bits: int = BITS) -> np.ndarray:
     """For each (different) fingerprint the smallest one that links of at most `bits` bits lead to.
 
@@ -126,22 +157,13 @@ def smallest_linked(entries: np.ndarray, bits: int = BITS) -> np.ndarray:
     """
     values = np.sort(entries)
     least = values.copy()
-    # bitwise_count takes the absolute value of signed numbers: bits are counted in unsigned views
-    if len(values) == 2:
-        if int(np.bitwise_count((values[:1] ^ values[1:]).view(np.uint64))[0]) <= bits:
-            least[1] = values[0]
-        return _as(entries, values, least)
     rest = values
     while len(rest):
         root, frontier, rest = rest[0], rest[:1], rest[1:]
         while len(frontier) and len(rest):
             step = max(1, 2_000_000 // len(rest))
             near, frontier = frontier[:step], frontier[step:]
-            differ = (near[:, None] ^ rest[None, :]).view(np.uint64)
-            # tally the positional bytes that each pair shares; only pairs with enough can link
-            shared = (differ.view(np.uint8).reshape(*differ.shape, 8) == 0).sum(axis=2, dtype=np.uint8)
-            a, b = np.nonzero(shared >= 8 - bits)
-            hit = np.unique(b[np.bitwise_count(differ[a, b]) <= bits])
+            hit = np.flatnonzero(linked(near[:, None], rest[None, :], bits).any(axis=0))
             if len(hit):
                 least[np.searchsorted(values, rest[hit])] = root
                 frontier = np.concatenate([frontier, rest[hit]])
@@ -153,39 +175,52 @@ def _as(entries: np.ndarray, values: np.ndarray, least: np.ndarray) -> np.ndarra
     return least[np.searchsorted(values, entries)]
 
 
-def _meetings(met: DataFrame, entry: list[str], block: int) -> DataFrame:
-    """fps: the entries of every posting list of met (p, b, n and the columns of entry, a key first), or of every two blocks of it."""
+def _meetings(keyed: DataFrame, entry: list[str], block: int, index: DataFrame | None = None) -> DataFrame:
+    """fps: the entries of every posting list of keyed (p, b and the columns of entry, a key first) that has two at least, or of every two blocks of it. index: the same rows, where counting keyed costs more."""
+    # A long list has more than `block` entries, so there are fewer than one for every `block` rows: few and short enough to broadcast.
+    long = (keyed if index is None else index).groupBy("p", "b").agg(F.count("*").alias("n")).where(F.col("n") > block)
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64(entry[0]), blocks).cast("int")
     single = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
-    meets = F.when(F.col("n") <= block, single).otherwise(F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j"))))
-    return met.select("p", "b", *entry, F.inline(meets)).groupBy("p", "b", "i", "j").agg(F.collect_list(F.struct(*entry) if len(entry) > 1 else entry[0]).alias("fps")).select("fps").where(F.size("fps") > 1)
+    meets = F.when(F.col("n").isNull(), single).otherwise(F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j"))))
+    dealt = keyed.join(F.broadcast(long), ["p", "b"], "left").select("p", "b", *entry, F.inline(meets))
+    return dealt.groupBy("p", "b", "i", "j").agg(F.collect_list(F.struct(*entry) if len(entry) > 1 else entry[0]).alias("fps")).select("fps").where(F.size("fps") > 1)
 
 
-def links(fps: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
-    """(fp, other): edges between different fingerprints of the column fp that have the components of all links."""
+def posted(fps: DataFrame, bits: int = BITS) -> DataFrame:
+    """The inverted index: (fp, p, b) for every set of positions p, with the fingerprint's bytes b there."""
     keep = 8 - bits
     if keep < 1:
         raise ValueError("fingerprints that differ in 8 bits need not share a byte")
     one = lambda k: F.shiftrightunsigned("fp", 8 * k).bitwiseAND(255)
-    packed = [reduce(lambda a, b: F.shiftleft(a, 8).bitwiseOR(b), [one(k) for k in at], F.lit(0).cast("bigint")).alias("b") for at in combinations(range(8), keep)]
+    packed = [reduce(lambda a, b: F.shiftleft(a, 8).bitwiseOR(b), [one(k) for k in at], F.lit(0).cast("bigint")).cast("int").alias("b") for at in positions(keep)]
     # Fingerprints are short and each makes many keys: deal them by number, as sizes in bytes would leave them to a few tasks.
     tasks = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), fps.count() // KEYED)
-    keyed = fps.repartition(tasks, "fp").select("fp", F.posexplode(F.array(*packed)).alias("p", "b"))
-    sizes = keyed.groupBy("p", "b").agg(F.count("*").alias("n")).where("n > 1")
-    met = keyed.join(sizes, ["p", "b"])
-    units = _meetings(met, ["fp"], block)
+    return fps.repartition(tasks, "fp").select("fp", F.posexplode(F.array(*packed)).alias("p", "b"))
+
+
+def links(fps: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
+    """(fp, other): edges between different fingerprints of the column fp that have the components of all links."""
+    units = _meetings(posted(fps, bits), ["fp"], block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             col = b.column(0)
-            flat, at = col.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(col.value_lengths().to_numpy())))
-            for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                values = flat[x:y]
+            flat, sizes = col.flatten().to_numpy(zero_copy_only=False), col.value_lengths().to_numpy()
+            at = np.concatenate(([0], np.cumsum(sizes)))
+            # Most lists have two entries: all of these at once.
+            two = at[:-1][sizes == 2]
+            lo, hi = np.minimum(flat[two], flat[two + 1]), np.maximum(flat[two], flat[two + 1])
+            near = linked(lo, hi, bits)
+            found, of = [hi[near]], [lo[near]]
+            for x, n in zip(at[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+                values = flat[x : x + n]
                 least = smallest_linked(values, bits)
                 moved = least != values
                 if moved.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(values[moved]), pa.array(least[moved])], names=["fp", "other"])
+                    found.append(values[moved])
+                    of.append(least[moved])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(of))], names=["fp", "other"])
 
     return units.mapInArrow(run, "fp bigint, other bigint").distinct()
 
@@ -220,11 +255,11 @@ def alike_links(entries: DataFrame, texts: DataFrame, shingle: int = SHARED, lik
     tasks = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), entries.count() // KEYED)
     keys = F.array(*[F.substring("wide", k + 1, KEY) for k in range(0, WIDE, KEY)])
     keyed = entries.repartition(tasks, "hash").select("hash", F.posexplode(keys).alias("p", "b"))
-    sizes = keyed.groupBy("p", "b").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = keyed.groupBy("p", "b").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     met = checkpointed(keyed.join(sizes, ["p", "b"]))
     some = texts.join(met.select("hash").distinct(), "hash", "left_semi").dropDuplicates(["hash"])
     held = with_fingerprint(some, "t", "set", shingle, drop_text=True, make=shingle_set, kind="binary").join(entries, "hash")
-    units = _meetings(met.join(held, "hash"), ["hash", "wide", "set"], block)
+    units = _meetings(met.join(held, "hash"), ["hash", "wide", "set"], block, met)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

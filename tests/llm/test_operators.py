@@ -149,6 +149,35 @@ def test_simhash_top_bit():
         assert simhash.smallest_linked(values).tolist() == want
 
 
+def test_simhash_positions():
+    """Any positions that reach the minimum hold an indexed set of them; for four of eight, sets of three suffice, fewer than all."""
+    from itertools import combinations
+
+    for least in range(1, 9):
+        sets = simhash.positions(least)
+        assert all(any(set(s) <= set(c) for s in sets) for c in combinations(range(8), least))
+    assert len(simhash.positions(4)) == 20 and {len(s) for s in simhash.positions(4)} == {3}
+
+
+def test_simhash_count_filter(spark):
+    """Pairs that meet in a posting list but share only three positional bytes are dropped by their tally; with four, bits decide."""
+    import numpy as np
+
+    def flip(x, at, n=1):
+        return x ^ sum((2**n - 1) << 8 * k for k in at)
+
+    base = 0x0123456789ABCDEF
+    fps = [base, flip(base, range(3, 8)), flip(base, range(4, 8)), flip(base, range(4, 8), 2)]
+    df = spark.createDataFrame([(f - 2**64 if f >> 63 else f,) for f in fps], "fp bigint")
+    met = {frozenset(r.fps) for r in simhash._meetings(simhash.posted(df), ["fp"], 100).collect()}
+    signed = [f - 2**64 if f >> 63 else f for f in fps]
+    assert all(any({signed[0], x} <= m for m in met) for x in signed[1:])
+    own = np.array(fps, np.uint64)
+    assert simhash.tally(own[:1] ^ own[1:]).tolist() == [3, 4, 4]
+    assert simhash.linked(own[:1], own[1:]).tolist() == [False, True, False]
+    assert [set(r) for r in simhash.links(df).collect() if signed[1] in r] == []
+
+
 def test_simhash_blocks(spark):
     r = random.Random(3)
     base = [r.getrandbits(64) for _ in range(6)]

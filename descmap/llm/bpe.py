@@ -1,11 +1,13 @@
 """Byte-level BPE by corpus-level merge replay.
 
 The distinct chunks of a run of texts are split by the tokenizer's pattern; the
-distinct pieces that are not yet known are merged together: an index from merged
-token to the positions where it can arise is drained in rank order, and a merge
-touches only its two neighbours. A worker keeps what it has learned, up to a bound,
+distinct pieces that are not yet known are merged together: an index from token
+pair (by the token it makes) to the positions where it stands is drained in rank order, and a merge
+looks up only its two neighbours anew. A worker keeps what it has learned, up to a bound,
 so a piece is merged once and looked up afterwards.
 
+`pattern` must be one whose matches don't depend on what stands before a space that follows no other white
+space, as those of the byte-level tokenizers do: texts are cut there before matching.
 Null texts count as empty; empty texts have no ids. Extra columns pass through; a column that has the name of an added
 one is replaced.
 """
@@ -14,7 +16,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,10 @@ from descmap.llm._util import quoted, room, sub_batches, table, takes_memory
 
 #: Entries that a worker keeps at most; beyond, it forgets all and learns anew.
 CACHE = 400_000
-#: Bytes of a word that goes through the rounds; longer ones are replayed one merge at a time.
-LONG = 48
+#: Words that are merged together at most.
+RUN = 200_000
+#: Positions of a rank from which its merges are made as arrays.
+MANY = 100
 NONE, LAST = np.uint64(2**64 - 1), np.uint32(2**32 - 1)
 
 
@@ -86,137 +89,103 @@ class Merges:
         return out
 
 
-def merge_all(words: list[bytes], merges: Merges) -> list[bytes]:
-    """Packed ids of each (non-empty) word, all words of the run merged together.
+def replay(words: list[bytes], merges: Merges) -> list[bytes]:
+    """Packed ids of each (non-empty) word: all merges in rank order over all words at once.
 
-    The index is an array: the rank of the pair that starts at each position. Each
-    round takes every word's lowest rank at its leftmost position, merges there, and
-    looks up the two pairs that the merge touches. Words with no pair left go out.
-    Long words would need many rounds; `replay` merges those.
+    `index` leads from the token that a pair makes to the positions where the pair stands; `rank` has, at each position, what
+    the pair that begins there makes. Ranks are taken in order, each at all its positions, and a merge looks up the two pairs
+    anew that it touches. Of a word's positions the first is merged and the others wait, so that a pair
+    of lower rank that a merge opens goes first, as in a greedy encoder. Ranks with MANY positions
+    are merged as arrays, others one by one, on the same memory.
     """
-    out: list[bytes] = [b""] * len(words)
-    if long := [k for k, w in enumerate(words) if len(w) > LONG]:
-        for k, ids in zip(long, replay([words[k] for k in long], merges), strict=True):
-            out[k] = struct.pack(f"<{len(ids)}I", *ids)
-    short = [k for k, w in enumerate(words) if len(w) <= LONG]
-    if not short:
-        return out
-    sizes = np.fromiter((len(words[k]) for k in short), np.int64, len(short))
-    word = np.repeat(np.arange(len(short), dtype=np.int32), sizes)
-    sym = np.array(merges.byte, np.uint32)[np.frombuffer(b"".join([words[k] for k in short]), np.uint8)]
-    rank = np.full(len(sym), LAST, np.uint32)
-    inner = np.flatnonzero(word[1:] == word[:-1])
-    rank[inner] = merges.of(sym[inner], sym[inner + 1])
-    gone: list[tuple[np.ndarray, np.ndarray]] = []
-    while len(sym):
-        starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-        least = np.minimum.reduceat(rank, starts)
-        lengths = np.diff(np.append(starts, len(sym)))
-        if (least == LAST).any():
-            ended = np.repeat(least == LAST, lengths)
-            gone.append((word[ended], sym[ended]))
-            sym, rank, word = sym[~ended], rank[~ended], word[~ended]
-            lengths, least = lengths[least != LAST], least[least != LAST]
-            if not len(sym):
-                break
-        at = np.flatnonzero(rank == np.repeat(least, lengths))
-        at = at[np.concatenate(([True], word[at[1:]] != word[at[:-1]]))]
-        sym[at] = rank[at]
-        stay = np.ones(len(sym), bool)
-        stay[at + 1] = False
-        rank[at] = LAST  # the pair is gone; a new one may stand here, and left of here
-        sym, word, rank = sym[stay], word[stay], np.where(np.append(stay[1:], True), rank, LAST)[stay]
-        at = at - np.arange(len(at))
-        for left in (at[at + 1 < len(sym)], at[at > 0] - 1):
-            same = word[left] == word[left + 1]
-            rank[left] = LAST
-            left = left[same]
-            rank[left] = merges.of(sym[left], sym[left + 1])
-    word, sym = (np.concatenate(x) for x in zip(*gone, strict=True))
-    order = np.argsort(word, kind="stable")
-    packed = sym[order].astype("<u4").tobytes()
-    ends = (4 * np.cumsum(np.bincount(word, minlength=len(short)))).tolist()
-    begin = 0
-    for k, end in zip(short, ends, strict=True):
-        out[k] = packed[begin:end]
-        begin = end
-    return out
-
-
-def replay(words: list[bytes], merges: Merges) -> list[list[int]]:
-    """Ids of each word: all merges in rank order over all words at once.
-
-    `index` leads from the token that a merge makes to the positions where its two
-    parts stand side by side. If a merge opens a pair of lower rank, the rest of its
-    positions wait until that pair is merged, so each word sees a greedy encoder's order.
-    """
-    get, byte = merges.pairs.get, merges.byte
-    tok: list[int] = []
-    nxt: list[int] = []
-    prv: list[int] = []
-    starts: list[int] = []
-    index: dict[int, list[int]] = {}
-    for w in words:
-        base, n = len(tok), len(w)
-        starts.append(base)
-        ids = [byte[c] for c in w]
-        tok += ids
-        nxt += range(base + 1, base + n + 1)
-        prv += range(base - 1, base + n - 1)
-        if n:
-            nxt[-1] = prv[base] = -1
-        p = base
-        for a, b in zip(ids, ids[1:]):
-            if (r := get(a << 32 | b)) is not None:
-                if r in index:
-                    index[r].append(p)
-                else:
-                    index[r] = [p]
-            p += 1
+    if not words:
+        return []
+    flat = np.frombuffer(b"".join(words), np.uint8)
+    n = len(flat)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    tok = np.array(merges.byte, np.uint32)[flat]
+    word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+    nxt, prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    nxt[starts + sizes - 1] = -1
+    prv[starts] = -1
+    rank = np.full(n, LAST, np.uint32)
+    inner = np.flatnonzero(nxt >= 0)
+    rank[inner] = merges.of(tok[inner], tok[inner + 1])
+    order = np.argsort(rank, kind="stable")[: int((rank != LAST).sum())]
+    cut = np.flatnonzero(np.diff(rank[order], prepend=LAST)).tolist() if len(order) else []
+    index: dict[int, list[int]] = {int(rank[order[i]]): order[i:j].tolist() for i, j in zip(cut, [*cut[1:], len(order)], strict=True)}
     heap = list(index)
     heapq.heapify(heap)
-    push, pop = heapq.heappush, heapq.heappop
+    get, push, pop, last = merges.pairs.get, heapq.heappush, heapq.heappop, int(LAST)
+    mtok, mnxt, mprv, mrank, mword = (memoryview(x) for x in (tok, nxt, prv, rank, word))
+
+    def post(made: int, at: int) -> None:
+        if made in index:
+            index[made].append(at)
+        else:
+            index[made] = [at]
+            push(heap, made)
+
     while heap:
         r = pop(heap)
-        at = index.pop(r, None)
-        if at is None:
+        if (at := index.pop(r, None)) is None:
             continue
-        if len(at) > 1:
+        if len(at) < MANY:
             at.sort()
-        for k, p in enumerate(at):
-            if (q := nxt[p]) < 0 or get(tok[p] << 32 | tok[q]) != r:
-                continue
-            tok[p], tok[q] = r, -1
-            after, before, lower = nxt[q], prv[p], False
-            nxt[p], nxt[q] = after, -1
-            if after >= 0:
-                prv[after] = p
-                if (x := get(r << 32 | tok[after])) is not None:
-                    if x in index:
-                        index[x].append(p)
-                    else:
-                        index[x] = [p]
-                        push(heap, x)
-                    lower = x < r
-            if before >= 0 and (x := get(tok[before] << 32 | r)) is not None:
-                if x in index:
-                    index[x].append(before)
-                else:
-                    index[x] = [before]
-                    push(heap, x)
-                lower = lower or x < r
-            if lower:
-                index.setdefault(r, []).extend(at[k + 1 :])
+            wait, merged = [], -1
+            for p in at:
+                if mrank[p] != r:
+                    continue
+                if mword[p] == merged:
+                    wait.append(p)
+                    continue
+                merged, q = mword[p], mnxt[p]
+                after, before = mnxt[q], mprv[p]
+                mtok[p], mnxt[p], mrank[q] = r, after, last
+                x = last
+                if after >= 0:
+                    mprv[after] = p
+                    if (x := get(r << 32 | mtok[after], last)) != last:
+                        post(x, p)
+                mrank[p] = x
+                if before >= 0:
+                    mrank[before] = x = get(mtok[before] << 32 | r, last)
+                    if x != last:
+                        post(x, before)
+        else:
+            p = np.array(at, np.int32)
+            p = np.sort(p[rank[p] == r])
+            first = np.diff(word[p], prepend=-1) != 0
+            wait, p = p[~first].tolist(), p[first]
+            q, before = nxt[p], prv[p]
+            after = nxt[q]
+            tok[p], nxt[p], rank[q], rank[p] = r, after, LAST, LAST
+            inside = after >= 0
+            prv[after[inside]] = p[inside]
+            made = np.full(len(p), r, np.uint32)
+            before = before[before >= 0]
+            for lo, left, right in ((p[inside], made[inside], tok[after[inside]]), (before, tok[before], made[: len(before)])):
+                rank[lo] = x = merges.of(left, right)
+                found = np.flatnonzero(x != LAST)
+                for a, b in zip(x[found].tolist(), lo[found].tolist(), strict=True):
+                    post(a, b)
+        if wait:
+            if r in index:
+                index[r] += wait
+            else:
+                index[r] = wait
                 push(heap, r)
-                break
-    out = []
-    for w, p in zip(words, starts, strict=True):
-        ids = []
-        while w and p >= 0:
-            ids.append(tok[p])
-            p = nxt[p]
-        out.append(ids)
-    return out
+    # What is left: the positions that lead from each word's start.
+    alive = np.zeros(n, bool)
+    at = starts
+    while len(at):
+        alive[at] = True
+        at = nxt[at]
+        at = at[at >= 0]
+    packed = tok[alive].astype("<u4").tobytes()
+    ends = (4 * np.cumsum(np.bincount(word[alive], minlength=len(words)))).tolist()
+    return [packed[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 class Encoder:
@@ -239,9 +208,9 @@ class Encoder:
                 hard.append((p, w))
             else:
                 self._keep(p, r.to_bytes(4, "little"))
-        for k in range(0, len(hard), 50_000):
-            part = hard[k : k + 50_000]
-            for (p, _), ids in zip(part, merge_all([w for _, w in part], self.merges), strict=True):
+        for k in range(0, len(hard), RUN):
+            part = hard[k : k + RUN]
+            for (p, _), ids in zip(part, replay([w for _, w in part], self.merges), strict=True):
                 self._keep(p, ids)
 
     def _keep(self, piece: str, ids: bytes) -> None:
@@ -334,7 +303,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
         token_of = {r: t for t, r in shared.value[0].items()} if decoded else {}
         for b in batches:
             values = pc.fill_null(b.column(at).cast(pa.string()), "").to_pylist()
-            made = [[x for part in sub_batches(values) for x in encoder.encode(part)]]
+            made = [[x for part in sub_batches(values, 6_000_000) for x in encoder.encode(part)]]
             if decoded:
                 made.append([_bytes_of(x, token_of) for x in made[0]])
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(m, pa.binary()) for m in made)], names=[*names, *added])

@@ -296,6 +296,31 @@ def test_bpe(spark, docs, crowded, nothing):
     assert bpe.decode(bpe.encode(crowded, path, tok.PATTERN), path).count() == crowded.count()
 
 
+@pytest.mark.parametrize("many", [1, 5, 100])
+def test_bpe_replay(many, monkeypatch):
+    """All words go through the index of pairs, as arrays or one by one; ids are a greedy encoder's, also where a merge opens a pair of lower rank."""
+    monkeypatch.setattr(bpe, "MANY", many)
+    r = random.Random(many)
+    # few letters, and tokens ranked at random, so that ranks don't grow with length
+    some = {bytes(r.choice(b"abc") for _ in range(r.randrange(2, 6))) for _ in range(150)}
+    tokens = [bytes([k]) for k in range(256)] + r.sample(sorted(some), len(some))
+    ranks = {t: k for k, t in enumerate(tokens)}
+
+    def greedy(word):
+        parts = [bytes([c]) for c in word]
+        while True:
+            found = [(ranks[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+            if not found:
+                return [ranks[p] for p in parts]
+            _, k = min(found)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+    words = [bytes(r.choice(b"aabcd") for _ in range(r.randrange(1, 40))) for _ in range(400)] + [b"a" * 200, b"ab" * 90]
+    got = bpe.replay(words, bpe.Merges(ranks))
+    assert [memoryview(g).cast("I").tolist() for g in got] == [greedy(w) for w in words]
+    assert bpe.replay([], bpe.Merges(ranks)) == []
+
+
 # --- Merkle trees
 
 

@@ -4,25 +4,26 @@ A window is `window` consecutive words of one document. A window repeats if the
 words start earlier: in a document of smaller id (null ids are the largest), or earlier in the same
 document. Every word that a repeating window covers is removed; windows are judged on
 the input. Words are runs without ASCII white space, unchanged. Null, empty and short texts have no
-windows. Rows that share an id count as one document each, in order of their text; of equal rows
-one is the first.
+windows. Ids are of any type that sorts. Rows that share an id count as one document each, in order of
+a 64-bit hash of their text; of equal rows one is the first.
 
 Documents are dealt by a hash of id and text into groups of about `GROUP_BYTES`, once; all passes
 read the same exchange.
 
-1. Each group makes its own sketch: the cells of a very wide hash row that its windows
-   touch. Sketches are merged segment by segment (a segment is `SEGMENT_BITS` of the row);
-   a cell's count over all groups is never below that of any window in it, so a window that
-   stands in two groups always lies in a cell counted twice. Each group gets back those of
-   its cells. The row's width follows the number of windows, so the share of cells hit
-   twice by chance stays the same at every size.
-2. Each group sends the windows in such cells, each once, with the place where it first
+1. Each group counts its windows in a count-min sketch of DEPTH rows of counters. Rows are as wide
+   as the windows are many (CELLS counters for each window at least), so the share of counters hit twice by chance is the
+   same at every size. A group's sketch is sent as its counters that aren't zero, cut into buckets of BUCKET
+   counters; buckets are merged by addition (counts of two and more are alike). A merged counter is never below the
+   count of any window in it. Each group gets back those of its counters that are two at least.
+2. Each group sends the windows all of whose counters are, each once, with its document and the place where it first
    stands: 96 bits of two independent polynomials over 64-bit word hashes. Windows are grouped exactly and each
-   group is told which of its windows start earlier elsewhere.
-3. Each group marks those and its own repetitions, and cuts.
+   group is told which of its windows start earlier elsewhere. Where a window stands again in its group is known there.
+3. Each group cuts what it is told. No window is hashed again.
 
-No step gathers more than a group's windows or a segment's cells, whatever repeats:
-a passage in a third of all documents is one row for each group that has it.
+No step gathers more than a group's windows or a bucket's counters, whatever repeats:
+a passage in a third of all documents is one row for each group that has it. A group makes a row for each bucket, so
+rows number groups x buckets: few (tens of thousands for 1 GB, 2 million for 30 GB, each of a thousand windows and more),
+but with the square of the input in the end; beyond some 10 TB both sizes should be raised.
 """
 
 from __future__ import annotations
@@ -34,16 +35,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from descmap.llm._util import column, ddl, fresh, quoted, room, table, takes_memory
+from descmap.llm._util import column, ddl, fresh, quoted, room, sub_batches, table, takes_memory
 
 WINDOW = 20
-GROUP_BYTES, GROUPS = 4_000_000, 96
-#: Cells of one segment of the sketch, as a power of two, and segments at least, likewise.
-SEGMENT_BITS, LEAST_SEGMENTS = 26, 6
-#: Cells for each window, as a power of two.
-ROOM = 6
+#: Bytes of text of a group, about, and groups at least.
+GROUP_BYTES, GROUPS = 8_000_000, 96
+#: Rows of the sketch; counters for each window in a row at least; counters of a bucket at most and buckets of a row at least, as powers of two.
+DEPTH, CELLS, BUCKET, BUCKETS = 2, 8, 26, 4
 WORDS = 300_000
 _M1, _M2, _TURN = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
+#: What the window's hash is multiplied with for each row of the sketch.
+_ROWS = (1, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
 
 
 class _Hashes(dict):
@@ -135,18 +137,44 @@ def _within(values: np.ndarray, some: np.ndarray) -> np.ndarray:
     return some[np.minimum(np.searchsorted(some, values), len(some) - 1)] == values
 
 
-def _repeated_in(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-    """Places whose (h1, h2) stood at an earlier place."""
-    s = np.sort(h1)
-    twice = np.flatnonzero(_within(h1, np.unique(s[1:][s[1:] == s[:-1]])))
-    order = twice[np.lexsort((twice, h2[twice], h1[twice]))]
-    same = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
-    return order[1:][same]
+def cells_of(h1: np.ndarray, row: int, bits: int) -> np.ndarray:
+    """The counter of each window in a row of 2^bits counters."""
+    return ((h1 ^ h1 >> np.uint64(29) if row else h1) * np.uint64(_ROWS[row])) >> np.uint64(64 - bits)
 
 
-_SKETCH = pa.schema([("seg", pa.int64()), ("grp", pa.int64()), ("cells", pa.binary())])
-_BACK = pa.schema([("grp", pa.int64()), ("some", pa.binary())])
-_FOUND = pa.schema([("seg", pa.int64()), ("grp", pa.int64()), ("h1", pa.binary()), ("h2", pa.binary()), ("ids", pa.binary()), ("starts", pa.binary())])
+class Sketch:
+    """Rows of counters up to two, of one bucket or of a whole small sketch; merged by addition."""
+
+    def __init__(self, bits: int):
+        self.count = np.zeros(1 << bits, np.uint8)
+
+    def add(self, once: np.ndarray, more: np.ndarray) -> None:
+        """once: different counters hit once, more: hit more often."""
+        self.count[once] = np.minimum(self.count[once] + 1, 2)
+        self.count[more] = 2
+
+    def repeated(self, cells: np.ndarray) -> np.ndarray:
+        return self.count[cells] > 1
+
+
+def once_and_more(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different cells that stand once, and those that stand more often, in order."""
+    cells = np.sort(cells)
+    new = np.ones(len(cells), bool)
+    new[1:] = cells[1:] != cells[:-1]
+    at = np.flatnonzero(new)
+    alone = np.diff(np.append(at, len(cells))) == 1
+    return cells[at[alone]], cells[at[~alone]]
+
+
+_SKETCH = pa.schema([("bucket", pa.int64()), ("grp", pa.int64()), ("once", pa.binary()), ("more", pa.binary())])
+_BACK = pa.schema([("grp", pa.int64()), ("row", pa.int64()), ("some", pa.binary())])
+_PLACES = pa.schema([("grp", pa.int64()), ("places", pa.binary())])
+
+
+def width(size: int) -> int:
+    """Counters of a row of the sketch for texts of so many bytes, as a power of two: a window has six bytes or more of its own, about."""
+    return max(BUCKETS + 12, (CELLS * (size // 6 + 1)).bit_length())
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, unchanged: bool = True, group_bytes: int = GROUP_BYTES, counts: tuple[str, str] = ("n_words", "n_removed")) -> DataFrame:
@@ -159,116 +187,151 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: i
     docs = room(docs, list(counts), (id_col, text))
     size = docs.agg(F.sum(F.octet_length(column(docs, text)))).first()[0] or 0
     groups = max(GROUPS, -(-size // group_bytes))
-    bits = max(SEGMENT_BITS, (size // 6 + 1).bit_length() + ROOM)
-    segments = max(LEAST_SEGMENTS, bits - SEGMENT_BITS)
-    cell_shift, seg_shift, seg_mask = np.uint64(64 - bits), np.uint64(bits - segments), np.uint64((1 << (bits - segments)) - 1)
-    grp = fresh(docs, "grp")
-    dealt = docs.select(F.pmod(F.xxhash64(column(docs, id_col), column(docs, text)), F.lit(groups)).alias(grp), *[column(docs, c) for c in docs.columns])
-    id_at, text_at, names = docs.columns.index(id_col) + 1, docs.columns.index(text) + 1, docs.columns
+    bits = width(size)
+    buckets = max(BUCKETS, bits - BUCKET)
+    low_bits = bits - buckets
+    low, shift = np.uint64((1 << low_bits) - 1), np.uint64(low_bits)
+    grp, hashed = fresh(docs, "grp"), fresh(docs, "hash")
+    rows = docs.select(F.pmod(F.xxhash64(column(docs, id_col), column(docs, text)), F.lit(groups)).alias(grp), F.xxhash64(column(docs, text)).alias(hashed), *[column(docs, c) for c in docs.columns])
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups // 4)
+    dealt = rows.repartition(tasks, grp)
+    id_at, text_at, names = docs.columns.index(id_col) + 2, docs.columns.index(text) + 2, docs.columns
+    id_type = docs.schema[id_col].dataType.simpleString()
 
     def ordered(t: pa.Table) -> pa.Table:
-        order = pc.sort_indices(pa.table([t.column(id_at), t.column(text_at)], names=["i", "t"]), sort_keys=[("i", "ascending"), ("t", "ascending")])
+        """A group's documents in order; places are counted in words from its start."""
+        order = pc.sort_indices(pa.table([t.column(id_at), t.column(1)], names=["i", "t"]), sort_keys=[("i", "ascending"), ("t", "ascending")])
         return t.take(order)
 
-    def windows(t: pa.Table) -> tuple[int, Windows]:
-        return t.column(0)[0].as_py(), Windows(t.column(text_at).to_pylist(), window)
+    def parts(t: pa.Table):
+        """(place of the first word, number of the first document, windows) of runs of a group's documents."""
+        word = doc = 0
+        for run in sub_batches(pc.fill_null(t.column(text_at), "").to_pylist(), 1_000_000):
+            w = Windows(run, window)
+            yield word, doc, w
+            word, doc = word + len(w.words), doc + len(run)
 
     def sketch(t: pa.Table) -> pa.Table:
-        g, w = windows(t)
-        cells = np.unique(w.h1 >> cell_shift)
-        return _rows(_SKETCH, [(s, g, pack(cells[a:b] & seg_mask)) for s, a, b in _slices(cells >> seg_shift)])
+        g, out = t.column(0)[0].as_py(), []
+        h1 = np.concatenate([w.h1 for _, _, w in parts(t)])
+        for row in range(DEPTH):
+            once, more = once_and_more(cells_of(h1, row, bits))
+            cut = np.arange((1 << buckets) + 1, dtype=np.uint64) << shift
+            a, b = np.searchsorted(once, cut), np.searchsorted(more, cut)
+            for k in np.flatnonzero((a[1:] > a[:-1]) | (b[1:] > b[:-1])).tolist():
+                out.append((row << buckets | k, g, pack(once[a[k] : a[k + 1]] & low), pack(more[b[k] : b[k + 1]] & low)))
+        return _rows(_SKETCH, out)
 
     def merge(t: pa.Table) -> pa.Table:
-        high = np.uint64(t.column("seg")[0].as_py()) << seg_shift
-        groups_of, parts = t.column("grp").to_pylist(), [unpack(x.as_buffer().to_pybytes()) for x in t.column("cells")]
-        count = np.zeros(1 << int(seg_shift), np.uint8)
-        for c in parts:
-            count[c] = np.minimum(count[c] + 1, 2)
+        row, k = divmod(t.column("bucket")[0].as_py(), 1 << buckets)
+        total = Sketch(low_bits)
+        blobs = lambda c: (x.as_buffer().to_pybytes() for x in t.column(c))
+        for once, more in zip(blobs("once"), blobs("more"), strict=True):
+            total.add(unpack(once), unpack(more))
         out = []
-        for g, c in zip(groups_of, parts, strict=True):
-            c = c[count[c] > 1]
-            if len(c):
-                out.append((g, pack(c | high)))
+        for g, once, more in zip(t.column("grp").to_pylist(), blobs("once"), blobs("more"), strict=True):
+            once = unpack(once)
+            some = np.sort(np.concatenate([once[total.repeated(once)], unpack(more)]))
+            if len(some):
+                out.append((g, row, pack(some | np.uint64(k) << shift)))
         return _rows(_BACK, out)
 
-    def back(t: pa.Table) -> np.ndarray:
-        return np.sort(np.concatenate([unpack(x.as_buffer().to_pybytes()) for x in t.column("some")])) if t.num_rows else np.zeros(0, np.uint64)
+    found_ddl = f"bucket bigint, grp bigint, h1 binary, h2 binary, doc binary, places binary, ids array<{id_type}>, hashes array<bigint>, own boolean"
 
     def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([("bucket", pa.int64()), ("grp", pa.int64()), *((c, pa.binary()) for c in ("h1", "h2", "doc", "places")), ("ids", pa.list_(left.schema.field(id_at).type)), ("hashes", pa.list_(pa.int64())), ("own", pa.bool_())])
         if not left.num_rows or not right.num_rows:
-            return _rows(_FOUND, [])
+            return _rows(schema, [])
         left = ordered(left)
-        g, w = windows(left)
-        some = np.flatnonzero(_within(w.h1 >> cell_shift, back(right)))
-        order = some[np.lexsort((some, w.h2[some], w.h1[some]))]
+        g, of_row = left.column(0)[0].as_py(), np.array(right.column("row").to_pylist())
+        blobs = right.column("some").to_pylist()
+        flagged = [np.sort(np.concatenate([unpack(blobs[k]) for k in np.flatnonzero(of_row == row)] or [np.zeros(0, np.uint64)])) for row in range(DEPTH)]
+        got = []
+        for word, doc, w in parts(left):
+            some = np.arange(len(w.h1))
+            for row in range(DEPTH):
+                some = some[_within(cells_of(w.h1[some], row, bits), flagged[row])]
+            at = w.at[some]
+            got.append((w.h1[some], w.h2[some], doc + np.searchsorted(w.begin, at, "right") - 1, word + at))
+        h1, h2, doc, place = (np.concatenate(x) for x in zip(*got, strict=True))
+        order = np.lexsort((place, h2, h1))
         new = np.ones(len(order), bool)
-        new[1:] = (w.h1[order][1:] != w.h1[order][:-1]) | (w.h2[order][1:] != w.h2[order][:-1])
-        first = order[new]
-        doc = np.searchsorted(w.begin, w.at[first], "right") - 1
-        ids = pc.fill_null(left.column(id_at).cast(pa.int64()), 2**63 - 1).to_numpy().astype(np.int64)[doc]
-        ids = ids.view(np.uint64) ^ np.uint64(1 << 63)  # as unsigned numbers in the same order
-        starts, h1, h2 = (w.at[first] - w.begin[doc]).astype(np.uint64), w.h1[first], w.h2[first]
-        return _rows(_FOUND, [(s, g, pack(h1[a:b]), pack(h2[a:b], False), _ids(ids[a:b]), pack(starts[a:b], False)) for s, a, b in _slices(h1 >> np.uint64(64 - segments))])
+        new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+        first, again = order[new], np.sort(place[order[~new]])
+        h1, h2, doc, place = h1[first], h2[first], doc[first], place[first]
+        out, nothing = [], pack(np.zeros(0, np.uint64))
+        if len(again):
+            out.append((g % (1 << buckets), g, nothing, nothing, nothing, pack(again.astype(np.uint64)), [], [], True))
+        for k, a, b in _slices(h1 >> np.uint64(64 - buckets)):
+            docs_, ref = np.unique(doc[a:b], return_inverse=True)
+            out.append((k, g, pack(h1[a:b]), pack(h2[a:b], False), pack(ref.astype(np.uint64), False), pack(place[a:b].astype(np.uint64), False), left.column(id_at).take(pa.array(docs_)).to_pylist(), left.column(1).take(pa.array(docs_)).to_pylist(), False))
+        return _rows(schema, out)
 
     def exact(t: pa.Table) -> pa.Table:
+        out = [(g, p) for g, p, own in zip(t.column("grp").to_pylist(), t.column("places").to_pylist(), t.column("own").to_pylist(), strict=True) if own]
+        t = t.filter(pc.invert(t.column("own")))
+        if not t.num_rows:
+            return _rows(_PLACES, out)
         blob = lambda c, d=False: [unpack(x.as_buffer().to_pybytes(), d) for x in t.column(c)]
-        parts, grps = blob("h1", True), t.column("grp").to_pylist()
-        h1, h2 = np.concatenate(parts), np.concatenate(blob("h2"))
-        ids = np.concatenate([_unids(x.as_buffer().to_pybytes()) for x in t.column("ids")])
-        sizes = [len(x) for x in parts]
-        place = np.concatenate(blob("starts")) << np.uint64(32) | np.repeat(np.array(grps, np.uint64), sizes)
-        order = np.lexsort((place, ids, h1))
+        h1s, grps, sizes = blob("h1", True), t.column("grp").to_pylist(), pc.list_value_length(t.column("hashes")).to_numpy()
+        h1, h2 = np.concatenate(h1s), np.concatenate(blob("h2"))
+        # documents by number, then by their place in the order of ids and hashes
+        begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        doc = np.concatenate([d.astype(np.int64) + b for d, b in zip(blob("doc"), begin.tolist(), strict=True)])
+        by = pc.sort_indices(pa.table([pc.list_flatten(t.column("ids")), pc.list_flatten(t.column("hashes"))], names=["i", "t"]), sort_keys=[("i", "ascending"), ("t", "ascending")]).to_numpy()
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        rank = place[doc]
+        order = np.lexsort((rank, h1))
         same = h1[order][1:] == h1[order][:-1]
         if (h2[order][1:] != h2[order][:-1])[same].any():
-            order = np.lexsort((place, ids, h2, h1))
+            order = np.lexsort((rank, h2, h1))
             same = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
         later = np.zeros(len(h1), bool)
         later[order[1:][same]] = True
-        out, at = [], 0
-        for g, p in zip(grps, parts, strict=True):
-            p, at = p[later[at : at + len(p)]], at + len(p)
+        at = 0
+        for g, own, places in zip(grps, h1s, blob("places"), strict=True):
+            p, at = places[later[at : at + len(own)]], at + len(own)
             if len(p):
-                out.append((g, pack(p)))
-        return _rows(_BACK, out)
+                out.append((g, pack(np.sort(p))))
+        return _rows(_PLACES, out)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         left = ordered(left)
-        if not left.num_rows:
-            return left.select(range(1, left.num_columns)).append_column(n_words, pa.array([], pa.int64())).append_column(n_removed, pa.array([], pa.int64()))
-        _, w = windows(left)
-        gone = _within(w.h1, back(right))
-        gone[_repeated_in(w.h1, w.h2)] = True
-        edge = np.zeros(len(w.words) + 1, np.int32)
-        np.add.at(edge, w.at[gone], 1)
-        np.add.at(edge, w.at[gone] + window, -1)
-        keep = np.cumsum(edge[:-1]) == 0
-        removed = w.sizes - np.array([int(keep[a:b].sum()) for a, b in zip(w.begin[:-1].tolist(), w.begin[1:].tolist(), strict=True)], np.int64)
-        texts, flags = left.column(text_at).to_pylist(), keep.tolist()
-        for k, (a, b) in enumerate(zip(w.begin[:-1].tolist(), w.begin[1:].tolist(), strict=True)):
-            if removed[k]:
-                texts[k] = b" ".join([x for x, f in zip(w.words[a:b], flags[a:b], strict=True) if f]).decode()
-            elif not unchanged:
-                texts[k] = b" ".join(w.words[a:b]).decode()
-        cols = [pa.chunked_array([pa.array(texts, left.schema.field(text_at).type)]) if k == text_at else left.column(k) for k in range(1, left.num_columns)]
-        return pa.table([*cols, pa.array(w.sizes), pa.array(removed)], names=[*names, n_words, n_removed])
+        gone = np.sort(np.concatenate([unpack(x) for x in right.column("places").to_pylist()])).astype(np.int64) if right.num_rows else np.zeros(0, np.int64)
+        texts, n, removed, word = [], [], [], 0
+        for run in sub_batches(pc.fill_null(left.column(text_at), "").to_pylist(), 1_000_000):
+            split = [t.encode().split() for t in run]
+            begin = np.concatenate(([0], np.cumsum([len(x) for x in split])))
+            a, b = np.searchsorted(gone, [word, word + begin[-1]])
+            edge = np.zeros(int(begin[-1]) + 1, np.int32)
+            np.add.at(edge, gone[a:b] - word, 1)
+            np.add.at(edge, gone[a:b] - word + window, -1)
+            keep = np.cumsum(edge[:-1]) == 0
+            lost = np.diff(np.concatenate(([0], np.cumsum(~keep)))[begin])
+            for t, x, k, i in zip(run, split, lost.tolist(), begin.tolist()):
+                if k:
+                    t = b" ".join([y for y, f in zip(x, keep[i : i + len(x)].tolist(), strict=True) if f]).decode()
+                elif not unchanged:
+                    t = b" ".join(x).decode()
+                texts.append(t)
+            n += [len(x) for x in split]
+            removed += lost.tolist()
+            word += int(begin[-1])
+        made = pa.array(texts, left.schema.field(text_at).type)
+        if (none := pc.is_null(left.column(text_at))).to_numpy().any():
+            made = pc.if_else(none.combine_chunks() if isinstance(none, pa.ChunkedArray) else none, pa.scalar(None, made.type), made)
+        cols = [made if k == text_at else left.column(k) for k in range(2, left.num_columns)]
+        return pa.table([*cols, pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names=[*names, n_words, n_removed])
 
     by_group = dealt.groupBy(grp)
-    marked = by_group.applyInArrow(sketch, "seg bigint, grp bigint, cells binary").groupBy("seg").applyInArrow(merge, "grp bigint, some binary")
-    found = by_group.cogroup(marked.groupBy("grp")).applyInArrow(candidates, "seg bigint, grp bigint, h1 binary, h2 binary, ids binary, starts binary")
-    told = found.groupBy("seg").applyInArrow(exact, "grp bigint, some binary")
+    sketches = by_group.applyInArrow(sketch, "bucket bigint, grp bigint, once binary, more binary")
+    flagged = sketches.groupBy("bucket").applyInArrow(merge, "grp bigint, row bigint, some binary")
+    found = by_group.cogroup(flagged.groupBy("grp")).applyInArrow(candidates, found_ddl)
+    told = found.groupBy("bucket").applyInArrow(exact, "grp bigint, places binary")
     return by_group.cogroup(told.groupBy("grp")).applyInArrow(cut, ddl(docs.schema.fields) + f", {quoted(n_words)} bigint, {quoted(n_removed)} bigint")
 
 
-def _ids(ids: np.ndarray) -> bytes:
-    """Ids as what they exceed the smallest by."""
-    low = ids.min()
-    return int(low).to_bytes(8, "little") + pack(ids - low, False)
-
-
-def _unids(blob: bytes) -> np.ndarray:
-    return unpack(blob[8:], False) + np.uint64(int.from_bytes(blob[:8], "little"))
-
-
 def remove(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_chars: str | None = None, **kw) -> DataFrame:
     """docs with the text that is left; n_chars: a column of text lengths to keep in step."""
     n_words, n_removed = fresh(docs, "n_words"), fresh(docs, "n_removed")

@@ -75,8 +75,11 @@ def brute_substring(rows, window):
     return out
 
 
-@pytest.mark.parametrize("window,group_bytes", [(20, 4_000_000), (4, 200), (1, 5000)])
-def test_substring(docs, window, group_bytes):
+@pytest.mark.parametrize("window,group_bytes,few", [(20, 4_000_000, False), (4, 200, False), (1, 5000, False), (4, 200, True)])
+def test_substring(docs, window, group_bytes, few, monkeypatch):
+    """few: a sketch of so few counters that most of them are hit twice by chance loses and adds nothing."""
+    if few:
+        monkeypatch.setattr(substring, "width", lambda size: 10)
     got = substring.dedup(docs, window=window, unchanged=False, group_bytes=group_bytes).select("doc_id", "n_words", "n_removed", "text").collect()
     # rows of no id have no order among groups: compared by what they lose together
     named = lambda rows: order(r for r in map(tuple, rows) if r[0] is not None)
@@ -85,6 +88,51 @@ def test_substring(docs, window, group_bytes):
     assert sum(r[2] for r in got) > 0
 
 
+def test_substring_repeated_and_string_ids(spark):
+    """Different texts of one id, in different groups, go by the hash of their text; ids may be strings or null."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(21)
+    shared = " ".join(f"s{k}" for k in range(30))
+    rows = [(i % 9 if i % 10 else None, " ".join(f"w{r.randrange(10**6)}" for _ in range(r.randrange(1, 30))) + " " + shared * (i % 3 > 0) + f" tail{i}") for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    for kind in ("bigint", "string"):
+        named = d.withColumn("doc_id", F.col("doc_id").cast(kind))
+        hashes = {(x.doc_id, x.text): x.h for x in named.select("*", F.xxhash64("text").alias("h")).collect()}
+        seen, want = set(), []
+        for (i, t), _ in sorted(hashes.items(), key=lambda x: (x[0][0] is None, x[0][0] or ("" if kind == "string" else 0), x[1])):
+            w = t.split()
+            gone = [False] * len(w)
+            for k in range(len(w) - 19):
+                if (key := tuple(w[k : k + 20])) in seen:
+                    gone[k : k + 20] = [True] * 20
+                seen.add(key)
+            want.append((i, " ".join(x for x, g in zip(w, gone) if not g)))
+        got = [(x.doc_id, x.text) for x in substring.dedup(named, unchanged=False, group_bytes=300).collect()]
+        assert order(got) == order(want) and any("s5" not in t for _, t in got)
+
+
+def test_substring_sketch():
+    """Merged counters are never below a window's count, whatever the parts; rows differ."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    parts = [r.integers(0, 2000, 150).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(5)]
+    seen = defaultdict(int)
+    for p in parts:
+        for h in p.tolist():
+            seen[h] += 1
+    flagged = []
+    for row in range(substring.DEPTH):
+        total = substring.Sketch(9)
+        for p in parts:
+            total.add(*substring.once_and_more(substring.cells_of(p, row, 9)))
+        flagged.append({h: bool(total.repeated(substring.cells_of(np.array([h], np.uint64), row, 9))[0]) for h in seen})
+    assert all(f[h] for f in flagged for h, n in seen.items() if n > 1)
+    both = sum(all(f[h] for f in flagged) for h, n in seen.items() if n == 1)
+    assert both < min(sum(f[h] for h, n in seen.items() if n == 1) for f in flagged)
+
+
 def test_substring_edges(crowded, nothing):
     assert substring.dedup(nothing).count() == 0
     out = substring.remove(crowded, window=4)

@@ -6,8 +6,12 @@ digest is that of its exact characters, an inner node's that of its children's d
 kind, so the roots of two texts are equal only if the texts are, and the differing
 branches lead to the edits. Null and empty texts have the root of a tree without leaves.
 
-The likeness of two trees is the share of characters in leaves that both have, each
-leaf as often as both have it: 2 x common / (own + other); 1 for two empty trees.
+Two trees are compared from the root: branches with equal digests are common and not entered, those that differ lead to
+the edits. The likeness is the share of characters in common branches, 2 x common / (own + other); as equal branches
+have equal leaves, it is that of the leaves both have, each as often as both have it. It is 1 for two empty trees.
+
+Rows of one id follow each other by a 64-bit hash of their text, rows without an id come last; repeated rows are rows as any other. An empty
+table gives an empty result. Extra columns of the documents are ignored. Long texts take memory in proportion to their length.
 """
 
 from __future__ import annotations
@@ -15,23 +19,22 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from copy import copy
 from hashlib import blake2b, sha256
-from itertools import chain
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from descmap.llm._util import column, table
+from descmap.llm._util import checkpointed, column, table
 
 #: Words of a piece at most.
 PIECE = 3
 _SECTION = re.compile(r"(?<=\n)(?:[ \t\r]*\n)+")
 _PIECE = re.compile(r"(?:[^\s.!?]+[^\S\n]*){1,%d}[.!?]*\s*|[.!?]+\s*|\s+" % PIECE)
-#: Bytes of text that one group of neighbouring documents has, about.
-GROUP_BYTES = 8_000_000
-#: Groups at most (their bounds go through the driver); larger inputs have longer groups, which are streamed.
-GROUPS = 4096
+#: Bytes of text of one range of ids, about.
+RANGE_BYTES = 16_000_000
 
 
 def sections(text: str) -> list[str]:
@@ -48,102 +51,109 @@ def _digest(kind: bytes, parts: list[bytes]) -> bytes:
     return blake2b(b"".join(parts), digest_size=16, person=kind).digest()
 
 
-def tree(text: str | None) -> tuple[bytes, list]:
-    """(root, sections); a section is (digest, paragraphs), a paragraph (digest, leaves), a leaf (digest, characters)."""
+def tree(text: str | None) -> tuple:
+    """A node is (digest, characters, children); the document's children are sections, theirs paragraphs, theirs leaves without children."""
     made = []
     for s in sections(text or ""):
         paragraphs = []
-        for p in s.splitlines(keepends=True) if "\n" not in s else re.findall(r"[^\n]*\n|[^\n]+", s):
-            leaves = [(blake2b(x.encode(), digest_size=16).digest(), len(x)) for x in _PIECE.findall(p)]
-            paragraphs.append((_digest(b"paragraph", [d for d, _ in leaves]), leaves))
-        made.append((_digest(b"section", [d for d, _ in paragraphs]), paragraphs))
-    return _digest(b"document", [d for d, _ in made]), made
+        for p in [s] if "\n" not in s else re.findall(r"[^\n]*\n|[^\n]+", s):
+            leaves = [(blake2b(x.encode(), digest_size=16).digest(), len(x), ()) for x in _PIECE.findall(p)]
+            paragraphs.append(_node(b"paragraph", leaves))
+        made.append(_node(b"section", paragraphs))
+    return _node(b"document", made)
 
 
-def leaves(made: tuple[bytes, list]) -> Counter:
-    """Characters by leaf: the leaf's digest and length, as often as it stands in the tree."""
-    return Counter(chain.from_iterable(found for _, paragraphs in made[1] for _, found in paragraphs))
+def _node(kind: bytes, children: list[tuple]) -> tuple:
+    return _digest(kind, [c[0] for c in children]), sum(c[1] for c in children), children
 
 
-def likeness(a: Counter, b: Counter) -> float:
-    total = sum(n * k for (_, n), k in a.items()) + sum(n * k for (_, n), k in b.items())
-    if not total:
+def descend(a: tuple, b: tuple) -> tuple[int, list[tuple[int, int, int]]]:
+    """Characters of the branches that both trees have, and the leaves of b (section, paragraph, piece) below branches that a doesn't have."""
+    if a[0] == b[0]:
+        return a[1], []
+    common = 0
+    left, right = [a], [((), b)]
+    while True:
+        # one level down, only below what differs
+        left = [c for x in left for c in x[2]]
+        right = [((*at, k), c) for at, x in right for k, c in enumerate(x[2])]
+        has = Counter(c[0] for c in left)
+        rest = []
+        for at, c in right:
+            if has[c[0]] > 0:
+                has[c[0]] -= 1
+                common += c[1]
+            else:
+                rest.append((at, c))
+        kept = []
+        for c in left:
+            if has[c[0]] > 0:
+                has[c[0]] -= 1
+                kept.append(c)
+        left, right = kept, rest
+        if not right or len(right[0][0]) == 3:
+            return common, [at for at, _ in right]
+
+
+def likeness(a: tuple, b: tuple, common: int | None = None) -> float:
+    if not a[1] + b[1]:
         return 1.0
-    if len(b) < len(a):
-        a, b = b, a
-    return 2 * sum(leaf[1] * min(k, b[leaf]) for leaf, k in a.items() if leaf in b) / total
+    return 2 * (descend(a, b)[0] if common is None else common) / (a[1] + b[1])
 
 
-def changed(a: tuple[bytes, list], b: tuple[bytes, list]) -> list[tuple[int, int, int]]:
-    """Leaves of b (section, paragraph, piece) below branches whose digests a doesn't have at that level."""
-    if a[0] == b[0]:
-        return []
-    known_s = {d for d, _ in a[1]}
-    known_p = {d for _, ps in a[1] for d, _ in ps}
-    known_l = {d for _, ps in a[1] for _, found in ps for d, _ in found}
-    return [(i, j, k) for i, (ds, ps) in enumerate(b[1]) if ds not in known_s for j, (dp, found) in enumerate(ps) if dp not in known_p for k, (d, _) in enumerate(found) if d not in known_l]
+_KINDS = {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}
 
 
 def with_next(docs: DataFrame, fn, out: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows that fn(id, text, next text) makes of each document and the next one by ascending id.
+    """Rows that fn(id, text, next text) makes of each document and the next one by ascending id; after the last comes the first.
 
-    Documents are dealt by ranges of ids; the first document of each range goes to the
-    range before as well, so no range waits for another. After the last id comes the first;
-    rows with equal ids follow each other by text, rows without an id come last.
+    Documents are dealt by ranges of ids once and walked in order. A range's last document waits for the first of the
+    next range: these two texts of every range are kept beside the rows made, and matched by the range's number. fn is to be a
+    small picklable callable; every walk takes a copy.
     """
-    rows = docs.select(column(docs, id_col).cast("bigint").alias("i"), F.coalesce(column(docs, text), F.lit("")).alias("t"))
-    size = rows.agg(F.sum(F.octet_length("t")).alias("b"), F.min("i").alias("lo"), F.max("i").alias("hi")).first()
-    k = min(GROUPS, max(1, -(-(size.b or 0) // GROUP_BYTES)))
-    spark = docs.sparkSession
-    cuts = sorted(set(rows.stat.approxQuantile("i", [j / k for j in range(1, k)], 0.2 / k))) if k > 1 and size.lo is not None else []
-    cuts = [int(c) for c in cuts]
-    # The group is the number of cuts at or below the id.
-    edges = F.array(*[F.lit(c).cast("bigint") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    grouped = rows.withColumn("g", F.when(F.col("i").isNull(), F.lit(len(cuts))).otherwise(_rank(edges, F.col("i"), len(cuts))))
-    order = F.struct(F.col("i").isNull().alias("n"), F.col("i").alias("i"), F.col("t").alias("t"))
-    # one short row for each group: its smallest id; then its first text among the rows with that id
-    first = [r.g for r in grouped.select("g").distinct().collect()]
-    first.sort()
-    before = {g: (first[j - 1] if j else first[-1]) for j, g in enumerate(first)}
-    if not first:
-        return spark.createDataFrame([], out)
-    lows = grouped.groupBy("g").agg(F.min(F.struct(F.col("i").isNull().alias("n"), "i")).alias("m")).select("g", F.col("m.i").alias("i"))
-    low = {r.g: r.i for r in lows.collect()}
-    ids = [v for v in low.values() if v is not None]
-    picked = grouped.where(F.col("i").isin(ids) if ids else F.lit(False))
-    if None in low.values():
-        picked = picked.unionByName(grouped.where("i is null"))
-    heads = picked.groupBy("g").agg(F.min(order).alias("m")).select(F.col("g"), F.col("m.i").alias("i"), F.col("m.t").alias("t"))
-    back = F.create_map(*[F.lit(x) for g, b in before.items() for x in (g, b)])
-    both = grouped.select("g", F.lit(0).alias("x"), "i", "t").unionByName(heads.select(back[F.col("g")].alias("g"), F.lit(1).alias("x"), "i", "t"))
-    dealt = both.repartition("g").sortWithinPartitions("g", "x", F.col("i").isNull(), "i", "t").select("g", "x", "i", "t")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in batches:
-            made = []
-            for g, x, i, t in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
-                if held is not None and held[0] == g:
-                    made.append(fn(held[1], held[2], t))
-                held = None if x else (g, i, t)
-            if made:
-                yield from _batches(made)
-
+    t = F.coalesce(column(docs, text), F.lit(""))
+    rows = docs.select(column(docs, id_col).cast("bigint").alias("i"), t.alias("t")).select(F.col("i").isNull().alias("n"), "i", F.xxhash64("t").alias("h"), "t")
+    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    # Keys of three numbers: texts don't go into the sample that the bounds of the ranges come from.
+    dealt = rows.repartitionByRange(ranges, "n", "i", "h").sortWithinPartitions("n", "i", "h").select("i", "t")
     names, kinds = zip(*(c.strip().split(" ") for c in out.split(",")), strict=True)
-    of = {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}
+    schema = pa.schema([(c, _KINDS[k]) for c, k in zip(names, kinds, strict=True)])
+    more = pa.schema([("_range", pa.int64()), ("_i", pa.int64()), ("_first", pa.string()), ("_last", pa.string())])
 
-    def _batches(made):
-        yield pa.RecordBatch.from_arrays([pa.array(v, of[k]) for v, k in zip(zip(*made, strict=True), kinds, strict=True)], names=list(names))
-
-    return dealt.mapInArrow(run, out)
+    def made(rows_: list[tuple]) -> list[pa.Array]:
+        return [pa.array([r[k] for r in rows_], f.type) for k, f in enumerate(schema)]
 
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, first, held = copy(fn), None, None
+        for b in batches:
+            found = []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if held is None:
+                    first = t
+                else:
+                    found.append(own(*held, t))
+                held = (i, t)
+            if found:
+                yield pa.RecordBatch.from_arrays([*made(found), *(pa.nulls(len(found), f.type) for f in more)], names=[*names, *more.names])
+        if held is not None:
+            ends = [pa.array([v], f.type) for v, f in zip((TaskContext.get().partitionId(), held[0], first, held[1]), more, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in schema), *ends], names=[*names, *more.names])
+
+    both = checkpointed(dealt.mapInArrow(walk, out + ", _range bigint, _i bigint, _first string, _last string"))
+    ends = both.where("_range is not null").select(*more.names)
+    # Numbers alone go to the driver, one for each range.
+    order = sorted(r._range for r in ends.select("_range").collect())
+    after = docs.sparkSession.createDataFrame(list(zip(order, order[1:] + order[:1], strict=True)), "_range bigint, _next bigint")
+    firsts = ends.select(F.col("_range").alias("_next"), F.col("_first").alias("_after"))
+    last = ends.select("_range", "_i", "_last").join(after, "_range").join(firsts, "_next").select("_i", "_last", "_after")
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = copy(fn)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays(made([own(*r) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]), names=list(names))
 
-def _rank(edges, value, n: int):
-    """The number of (ascending) edges at or below value, by a fixed number of halvings."""
-    if not n:
-        return F.lit(0)
-    steps = F.array(*[F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)])
-    return F.aggregate(steps, F.lit(0), lambda lo, step: F.when(F.get(edges, lo + step - 1) <= value, lo + step).otherwise(lo))
+    return both.where("_range is null").select(*names).unionByName(last.mapInArrow(close, out))
 
 
 class _Seen:
@@ -153,21 +163,17 @@ class _Seen:
         self.text, self.made = None, None
 
     def __call__(self, i, text: str, after: str) -> tuple:
-        own = self.made if self.text == text else _flat(text)
-        nxt = _flat(after)
+        own = self.made if self.text == text else tree(text)
+        nxt = own if after == text else tree(after)
         self.text, self.made = after, nxt
         n = len(text)
         edited = text[: n - n // 2] + after[: n // 2]
-        new = _flat(edited)
-        return i, n, sha256(edited.encode()).hexdigest(), own[0], new[0], likeness(own[1], new[1]), likeness(own[1], nxt[1])
-
-
-def _flat(text: str) -> tuple[str, Counter]:
-    made = tree(text)
-    return made[0].hex(), leaves(made)
+        new = tree(edited)
+        common, changed = descend(own, new)
+        return i, n, sha256(edited.encode()).hexdigest(), own[0].hex(), new[0].hex(), likeness(own, new, common), likeness(own, nxt), len(changed)
 
 
 def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every text and of its edited text, with the likeness to that and to the next document."""
-    out = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    """Fingerprints of every text and of its edited text, with the likeness to that and to the next document, and the number of the edited text's leaves that lie below differing branches."""
+    out = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_changed bigint"
     return with_next(table(spark, sf_dir, "documents").select("doc_id", "text"), _Seen(), out)

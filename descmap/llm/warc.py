@@ -2,16 +2,19 @@
 
 Archives are written by Spark's own text writer, so their files are committed as those of
 any table and need no folder but the shared one. As usual each record is a gzip member of its own; the
-writer's separator is the gzip member of no bytes, which readers pass over. Payloads that occur more than once are stored once, with the largest id; the other
+writer's separator is the gzip member of no bytes, which readers pass over. A file holds FILE_BYTES, and what one record has beyond. Payloads that
+occur more than once are stored once, with the largest id; the other
 records are revisits (profile identical-payload-digest) that refer to it.
 
-The index has the captures of all files sorted by URL key (host labels reversed, then path), in
-compressed blocks of `BLOCK` lines, and a directory with the first key of every block. A lookup
-searches the directory by halves, then the blocks it names, then reads the byte ranges of the records alone.
+The index has the captures of all files sorted by URL key (host labels reversed, then path) and id, in
+compressed blocks of `BLOCK` lines, and a directory with the first key and id of every block. A lookup
+searches the directory by halves, then the block it leads to, then reads the byte ranges of the records alone. `look_up` does
+that for any number of captures at once: queries are dealt to blocks by the directory, each block is opened once, and a file's ranges are
+read in order.
 
 Null urls have no target line and an empty key; null and empty payloads are empty; null ids are smaller than
 all others and no record refers to them. Rows that repeat the largest id of a payload are all
-responses. Extra columns of pages are ignored.
+responses. Repeated rows are records as any other. Extra columns of pages are ignored.
 """
 
 from __future__ import annotations
@@ -24,13 +27,16 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from descmap.llm._util import checkpointed, column, shared_dir, table
+from descmap.llm._util import checkpointed, column, matched, shared_dir, table
 
-#: Records of one archive file at most (a file is read as a whole when the index is made).
-RECORDS = 4000
+#: Bytes of one archive file, about (a file is read as a whole when the index is made).
+FILE_BYTES = 64_000_000
+#: Blocks whose edges a directory that is held and broadcast has at most (some 200 bytes each).
+DIRECTORY = 1_000_000
 #: Captures of one index block.
 BLOCK = 1000
 DATE = "2026-01-01T00:00:00Z"
@@ -57,16 +63,14 @@ def records(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: s
     """id, url, payload, digest (hex), kind and refers_to (the response's id) of every page."""
     rows = pages.select(column(pages, id_col).cast("bigint").alias("id"), column(pages, url).alias("url"), F.coalesce(column(pages, html), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    narrow = rows.where(F.octet_length("payload") >= min_bytes).select("id", "digest")
-    # Ids are grouped by payload before they meet; then only rows that repeat a payload are left, one for each id.
-    tops = narrow.groupBy("digest").agg(F.max("id").alias("top"), F.count("*").alias("n")).where("n > 1 and top is not null").select("digest", "top")
-    later = narrow.join(tops, "digest").where("not id <=> top").select("id", "digest", F.col("top").alias("refers_to")).distinct()
-    later = later.select(F.col("id").alias("rid"), F.col("digest").alias("rdigest"), "refers_to")
-    joined = rows.join(later, F.col("id").eqNullSafe(F.col("rid")) & (F.col("digest") == F.col("rdigest")), "left")
-    return joined.select("id", "url", "payload", "digest", F.when(F.col("rdigest").isNotNull(), "revisit").otherwise("response").alias("kind"), "refers_to")
+    tops = rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.max("id").alias("top"), F.count("*").alias("n")).where("n > 1 and top is not null").select("digest", "top")
+    # Only digests that occur repeatedly are sent to the pages; payloads stay where they are as long as these are few.
+    both = matched(rows, tops, "digest", "id")
+    revisit = F.col("top").isNotNull() & ~F.col("id").eqNullSafe(F.col("top")) & (F.octet_length("payload") >= min_bytes)
+    return both.select("id", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("top")).alias("refers_to"))
 
 
-def write(recs: DataFrame, path: str, per_file: int = RECORDS) -> None:
+def write(recs: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
     """recs (as of `records`) as WARC 1.1 files below path."""
     id_, digest = F.col("id"), base32_of_hex(F.col("digest"))
     revisit = F.col("kind") == "revisit"
@@ -92,13 +96,24 @@ def write(recs: DataFrame, path: str, per_file: int = RECORDS) -> None:
     whole = F.concat(header, F.lit(END), http, F.when(revisit, "").otherwise(F.col("payload")), F.lit(END))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = 0
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([gzip.compress(t.encode(), 6, mtime=0) for t in b.column(0).to_pylist()], pa.binary())], names=["member"])
+            made, files = [], []
+            for t in b.column(0).to_pylist():
+                made.append(gzip.compress(t.encode(), 6, mtime=0))
+                files.append(size // file_bytes)
+                size += len(made[-1]) + len(_EMPTY)
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), pa.array(files, pa.int64())], names=["member", "file"])
 
-    members = recs.select(whole.alias("whole")).mapInArrow(run, "member binary")
-    # The separator's characters are its bytes in this encoding; members go out as the bytes they are.
-    out = members.select(F.col("member").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", _EMPTY.decode("latin-1"))
-    out.option("maxRecordsPerFile", per_file).text(path)
+    members = recs.select(whole.alias("whole")).mapInArrow(run, "member binary, file bigint")
+    # The separator's characters are its bytes in this encoding; members go out as the bytes they are. Each task writes its first file, then its second ...
+    out = members.select(F.col("member").cast("string").alias("value"), "file").write.option("encoding", "ISO-8859-1").option("lineSep", _EMPTY.decode("latin-1"))
+    out.partitionBy("file").text(path)
+
+
+def cleaned(url: str | None) -> str | None:
+    """A url as records have it."""
+    return None if url is None else url.replace("\r", "%0D").replace("\n", "%0A").replace("\t", "%09").strip()
 
 
 def url_key(url: str | None) -> str:
@@ -150,7 +165,7 @@ _CAPTURE = "key string, id bigint, digest string, bytes bigint, kind string, ref
 
 
 def captures(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record of the archives below path, read back; payloads are held against their digests."""
+    """A row for each record of the archives below path: what its headers say, and where it stands."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,12 +174,8 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
                 made = []
                 for at, size, record in members(content.as_py()):
                     f, block = parse(record)
-                    digest = f["warc-payload-digest"].removeprefix("sha1:")
-                    n, body = payload_of(block)
-                    if f["warc-type"] == "response" and (len(body) != n or base64.b32encode(hashlib.sha1(body).digest()).decode() != digest):
-                        raise ValueError(f"{name}, byte {at}: the payload doesn't match its digest")
                     ids = [int(f[k]) if k in f else None for k in ("x-page-id", "x-refers-to-page-id")]
-                    made.append((url_key(f.get("warc-target-uri")), ids[0], digest, n, f["warc-type"], ids[1], name.rpartition("/")[2], at, size))
+                    made.append((url_key(f.get("warc-target-uri")), ids[0], f["warc-payload-digest"].removeprefix("sha1:"), payload_of(block)[0], f["warc-type"], ids[1], "/".join(name.split("/")[-2:]), at, size))
                 if made:
                     kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _CAPTURE.split(", ")])
@@ -179,64 +190,65 @@ def build_index(caps: DataFrame, path: str, block: int = BLOCK) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[str] = []
-        keys: list[str] = []
+        keys: list[tuple[str, int | None]] = []
+
+        count = TaskContext.get().partitionId() << 32
 
         def made(k: int) -> pa.RecordBatch:
+            nonlocal count
             blob = zlib.compress("\n".join(held[:k]).encode(), 6)
-            out = pa.RecordBatch.from_arrays([pa.array([keys[0]]), pa.array([keys[k - 1]]), pa.array([k], pa.int64()), pa.array([blob], pa.binary())], names=["first", "last", "n", "lines"])
+            out = pa.RecordBatch.from_arrays([pa.array([count], pa.int64()), pa.array([keys[0][0]]), pa.array([keys[0][1]], pa.int64()), pa.array([keys[k - 1][0]]), pa.array([keys[k - 1][1]], pa.int64()), pa.array([k], pa.int64()), pa.array([blob], pa.binary())], names=["block", "first", "first_id", "last", "last_id", "n", "lines"])
+            count += 1
             del held[:k], keys[:k]
             return out
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                keys.append(row[0])
+                keys.append(row[:2])
                 held.append("\t".join("" if v is None else str(v) for v in row))
                 if len(held) >= block:
                     yield made(block)
         if held:
             yield made(len(held))
 
-    ranged.mapInArrow(run, "first string, last string, n bigint, lines binary").write.parquet(f"{path}/blocks")
+    ranged.mapInArrow(run, "block bigint, first string, first_id bigint, last string, last_id bigint, n bigint, lines binary").write.parquet(f"{path}/blocks")
     blocks = caps.sparkSession.read.parquet(f"{path}/blocks")
-    blocks.select("first", "last", "n").orderBy("first", "last").write.parquet(f"{path}/directory")
+    blocks.drop("lines").orderBy("first", "first_id", "last", "last_id", "block").write.parquet(f"{path}/directory")
 
 
 def read_lines(blob: bytes) -> list[list[str]]:
     return [x.split("\t") for x in zlib.decompress(blob).decode().split("\n")]
 
 
-def all_captures(spark: SparkSession, path: str) -> DataFrame:
-    """Every capture of the index, from its blocks."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        num = lambda v: int(v) if v else None
-        for b in batches:
-            for blob in b.column(0):
-                cols = list(zip(*read_lines(blob.as_py()), strict=True))
-                numbers = {1, 3, 5, 7, 8}
-                yield pa.RecordBatch.from_arrays([pa.array(map(num, c), pa.int64()) if k in numbers else pa.array(c, pa.string()) for k, c in enumerate(cols)], names=[x.split()[0] for x in _CAPTURE.split(", ")])
-
-    return spark.read.parquet(f"{path}/blocks").select("lines").mapInArrow(run, _CAPTURE)
+def _place(key: str, id_: int | None) -> tuple:
+    """What captures are sorted by; null ids come first."""
+    return key, id_ is not None, id_ or 0
 
 
 class Directory:
-    """First and last keys of all blocks in order, for lookups on the driver; `most` blocks at most."""
+    """First and last keys of all blocks in order, for lookups; `most` blocks at most."""
 
-    def __init__(self, spark: SparkSession, index: str, most: int = 1_000_000):
-        self.spark, self.index = spark, index
-        rows = spark.read.parquet(f"{index}/directory").orderBy("first", "last")
+    def __init__(self, spark: SparkSession, index: str, most: int = DIRECTORY):
+        self.index = index
+        rows = spark.read.parquet(f"{index}/directory").orderBy("first", "first_id", "last", "last_id", "block")
         n = rows.count()
         if n > most:
             raise ValueError(f"{n} blocks: filter the directory table by key instead of holding it")
-        got = rows.select("first", "last").toArrow()
-        self.first, self.last = got.column(0).to_pylist(), got.column(1).to_pylist()
+        got = rows.toArrow()
+        self.number = got.column("block").to_pylist()
+        self.first, self.last = ([_place(*x) for x in zip(got.column(k).to_pylist(), got.column(f"{k}_id").to_pylist(), strict=True)] for k in ("first", "last"))
+
+    def blocks(self, low: tuple, high: tuple) -> range:
+        """Numbers of the blocks that may have captures from low to high."""
+        return range(bisect.bisect_left(self.last, low), bisect.bisect_right(self.first, high))
 
-    def captures(self, url: str) -> list[list[str]]:
+    def captures(self, spark: SparkSession, url: str) -> list[list[str]]:
         """Lines of all captures of a url."""
         key = url_key(url)
-        lo, hi = bisect.bisect_left(self.last, key), bisect.bisect_right(self.first, key)
-        if lo >= hi:
+        at = self.blocks((key,), (key, True, 2**63))
+        if not at:
             return []
-        blocks = self.spark.read.parquet(f"{self.index}/blocks").where(F.col("first").between(self.first[lo], self.first[hi - 1]) & (F.col("last") >= key)).select("lines")
+        blocks = spark.read.parquet(f"{self.index}/blocks").where(F.col("block").isin([self.number[k] for k in at])).select("lines")
         out = []
         for r in blocks.toLocalIterator():
             lines = read_lines(r.lines)
@@ -246,6 +258,113 @@ class Directory:
         return sorted(out)
 
 
+def _columns(lines: list) -> pa.Table:
+    """A table of _CAPTURE from lines of the index."""
+    names = [x.split()[0] for x in _CAPTURE.split(", ")]
+    numbers = {1, 3, 5, 7, 8}
+    cols = list(zip(*lines, strict=True)) if lines else [()] * len(names)
+    return pa.table([pa.array([int(v) if v else None for v in c], pa.int64()) if k in numbers else pa.array(c, pa.string()) for k, c in enumerate(cols)], names=names)
+
+
+def look_up(spark: SparkSession, index: str, wanted: DataFrame) -> DataFrame:
+    """Captures (as of `captures`) of the urls and ids that wanted (url, id) has, all of them for each different pair.
+
+    The directory is broadcast, and checked to be small enough for that; each query is searched in it by halves
+    and goes to the block it may stand in (several if repeated captures go on from one to the next), which is opened once and searched by halves.
+    """
+    directory = spark.sparkContext.broadcast(Directory(spark, index))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = directory.value
+        for b in batches:
+            rows = []
+            for url, id_ in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                key = url_key(cleaned(url))
+                p = _place(key, id_)
+                rows += [(d.number[k], key, id_) for k in d.blocks(p, p)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64()))], names=["block", "key", "id"])
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        queries = {_place(*x) for x in zip(left.column("key").to_pylist(), left.column("id").to_pylist(), strict=True)}
+        if queries:
+            for blob in right.column("lines").to_pylist():
+                lines = read_lines(blob)
+                at = [_place(x[0], int(x[1]) if x[1] else None) for x in lines]
+                for q in queries:
+                    found += lines[bisect.bisect_left(at, q) : bisect.bisect_right(at, q)]
+        return _columns(found)
+
+    queries = wanted.select("url", F.col("id").cast("bigint").alias("id")).distinct().mapInArrow(deal, "block bigint, key string, id bigint")
+    blocks = spark.read.parquet(f"{index}/blocks").select("block", "lines")
+    return queries.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(search, _CAPTURE)
+
+
+def read_records(spark: SparkSession, archive: str, caps: DataFrame) -> DataFrame:
+    """id, digest, kind, refers_to, bytes (of the whole payload, as the record says) and payload (a revisit's: empty) of captures, read from their byte ranges; payloads are held against their digests."""
+    made = pa.schema([("id", pa.int64()), ("digest", pa.string()), ("kind", pa.string()), ("refers_to", pa.int64()), ("bytes", pa.int64()), ("payload", pa.binary())])
+
+    def parsed(members: list[bytes]) -> list[tuple]:
+        rows = []
+        for m in members:
+            f, block = parse(gzip.decompress(m))
+            digest = f["warc-payload-digest"].removeprefix("sha1:")
+            n, body = payload_of(block)
+            if f["warc-type"] == "response" and (len(body) != n or base64.b32encode(hashlib.sha1(body).digest()).decode() != digest):
+                raise ValueError(f"page {f.get('x-page-id')}: the payload doesn't match its digest")
+            ids = [int(f[k]) if k in f else None for k in ("x-page-id", "x-refers-to-page-id")]
+            rows.append((ids[0], digest, f["warc-type"], ids[1], n, body))
+        return rows
+
+    def table_of(rows: list[tuple]) -> list[pa.Array]:
+        return [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(made)]
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, source = None, None
+        try:
+            for b in batches:
+                rows, size = [], 0
+                for file, at, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if file != name:
+                        if source is not None:
+                            source.close()
+                        fs, base = open_store(archive)
+                        name, source = file, fs.open_input_file(f"{base}/{file}")
+                    source.seek(at)
+                    rows += parsed([source.read(n)])
+                    size += rows[-1][4]
+                    if size > 8_000_000:
+                        yield pa.RecordBatch.from_arrays(table_of(rows), schema=made)
+                        rows, size = [], 0
+                yield pa.RecordBatch.from_arrays(table_of(rows), schema=made)
+        finally:
+            if source is not None:
+                source.close()
+
+    def slices(left: pa.Table, right: pa.Table) -> pa.Table:
+        content = memoryview(right.column("content")[0].as_buffer()) if right.num_rows else b""
+        return pa.Table.from_arrays(table_of(parsed([bytes(content[at : at + n]) for at, n in zip(left.column("at").to_pylist(), left.column("size").to_pylist(), strict=True)])), schema=made)
+
+    ddl = "id bigint, digest string, kind string, refers_to bigint, bytes bigint, payload binary"
+    places = caps.select("file", "at", "size")
+    try:
+        open_store(archive)
+    except (pa.ArrowInvalid, OSError, NotImplementedError):
+        # A store that Spark alone can read has whole files (FILE_BYTES each) for ranges.
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(archive)
+        files = files.select(F.array_join(F.slice(F.split("path", "/"), -2, 2), "/").alias("file"), "content")
+        return places.groupBy("file").cogroup(files.groupBy("file")).applyInArrow(slices, ddl)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return places.repartition(tasks, "file", F.floor(F.col("at") / 4_000_000)).sortWithinPartitions("file", "at").mapInArrow(ranges, ddl)
+
+
+def open_store(path: str):
+    """A file system and the path in it, for range reads in Python workers."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri("file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path)
+
+
 def read_range(spark: SparkSession, path: str, at: int, size: int) -> bytes:
     """Bytes of a file in any store that Spark reads."""
     jvm = spark._jvm
@@ -265,9 +384,11 @@ def fetch(spark: SparkSession, archive: str, line: list[str]) -> bytes:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes all pages to archives, reads these back into the capture index, and returns its captures."""
+    """Writes all pages to archives, indexes these, looks every page's capture up in the index and reads its record back from its byte range."""
     base = shared_dir(spark)
-    write(records(table(spark, sf_dir, "pages").select("page_id", "url", "html")), f"{base}/archive")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    write(records(pages), f"{base}/archive")
     build_index(captures(spark, f"{base}/archive"), f"{base}/index")
-    got = all_captures(spark, f"{base}/index")
+    caps = look_up(spark, f"{base}/index", pages.select("url", F.col("page_id").alias("id")))
+    got = read_records(spark, f"{base}/archive", caps)
     return got.select(F.col("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")

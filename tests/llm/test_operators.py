@@ -9,7 +9,7 @@ from collections import defaultdict
 import pytest
 import xxhash
 
-from descmap.llm import bpe, decontam, hosts, language, merkle, quality, simhash, substring, template, warc
+from descmap.llm import _util, bpe, decontam, hosts, language, merkle, quality, simhash, substring, template, warc
 
 WORDS = "the of and river stone cloud Über naïve table walks seven green quick lamp over under CASE mixed tail 12 9x".split()
 
@@ -372,33 +372,98 @@ def test_bpe_replay(many, monkeypatch):
 # --- Merkle trees
 
 
+def brute_tree(text):
+    """Root digest and the leaves' texts by section and paragraph, by splitting lines and words one at a time."""
+    b2 = lambda parts, kind=b"": hashlib.blake2b(b"".join(parts), digest_size=16, person=kind).digest()
+    lines = re.split(r"(?<=\n)", text)
+    sections = [[]]
+    for k, line in enumerate(x for x in lines if x):
+        blank = not line.strip(" \t\r\n") and line.endswith("\n")
+        if sections[-1] and not blank and sections[-1][-1][1] and k:
+            sections.append([])
+        sections[-1].append((line, blank and len(sections[-1]) > 0))
+    out = []
+    for section in sections:
+        ps = []
+        for line, _ in section:
+            pieces, at = [], 0
+            while at < len(line):
+                begin, words = at, 0
+                if line[at].isspace():
+                    while at < len(line) and line[at].isspace():
+                        at += 1
+                else:
+                    while words < merkle.PIECE and at < len(line) and not line[at].isspace() and line[at] not in ".!?":
+                        while at < len(line) and not line[at].isspace() and line[at] not in ".!?":
+                            at += 1
+                        while at < len(line) and line[at].isspace() and line[at] != "\n":
+                            at += 1
+                        words += 1
+                    while at < len(line) and line[at] in ".!?":
+                        at += 1
+                    while at < len(line) and line[at].isspace():
+                        at += 1
+                pieces.append(line[begin:at])
+            ps.append(pieces)
+        if ps:
+            out.append(ps)
+    digest = lambda pieces: [b2([p.encode()]) for p in pieces]
+    return b2([b2([b2(digest(p), b"paragraph") for p in s], b"section") for s in out], b"document"), out
+
+
+def brute_likeness(a, b):
+    from collections import Counter
+
+    bag = lambda t: Counter(x for s in brute_tree(t)[1] for p in s for x in p)
+    both = sum(len(x) * n for x, n in (bag(a) & bag(b)).items())
+    return 2 * both / (len(a) + len(b)) if a or b else 1.0
+
+
+TREES = ["", "One two three. Four five six!\nSecond line here\n\nNew section\twith words.\n\n\n", "  lead\n\n \nx", "a b c d e f g", "...!? a.b  c\n", "x " * 5000 + "\n" * 50 + "tail", "same same same same same same\n\nsame same same", "é ü 日本. ok"]
+
+
 def test_merkle_tree():
-    t = "One two three. Four five six!\nSecond line here\n\nNew section\twith words.\n\n\n"
-    root, made = merkle.tree(t)
-    assert sum(n for _, ps in made for _, found in ps for _, n in found) == len(t)
-    assert merkle.tree(t)[0] == root != merkle.tree(t + " ")[0]
-    assert merkle.tree(None)[0] == merkle.tree("")[0]
-    assert merkle.changed(merkle.tree(t), merkle.tree(t)) == []
-    assert {x[0] for x in merkle.changed(merkle.tree(t), merkle.tree(t.replace("with", "without")))} == {1}
-    assert merkle.likeness(merkle.leaves(merkle.tree(t)), merkle.leaves(merkle.tree(t))) == 1 == merkle.likeness(merkle.leaves(merkle.tree("")), merkle.leaves(merkle.tree(None)))
-
-
-@pytest.mark.parametrize("group_bytes", [8_000_000, 300])
-def test_merkle_next(spark, docs, nothing, group_bytes, monkeypatch):
-    monkeypatch.setattr(merkle, "GROUP_BYTES", group_bytes)
+    for t in TREES:
+        root, n, made = merkle.tree(t)
+        assert n == len(t) == sum(leaf[1] for s in made for p in s[2] for leaf in p[2])
+        assert root == brute_tree(t)[0]
+        assert (merkle.tree(t + " ")[0] == root) is False
+    assert merkle.tree(None) == merkle.tree("")
+
+
+def test_merkle_branches():
+    """Descending differing branches finds the common characters that comparing all leaves finds, and the edits."""
+    r = random.Random(6)
+    some = [*TREES, *(" ".join(r.choice("ab cd. ef\n gh\n\n ij".split(" ")) for _ in range(r.randrange(60))) for _ in range(30))]
+    for a in some:
+        for b in some:
+            assert abs(merkle.likeness(merkle.tree(a), merkle.tree(b)) - brute_likeness(a, b)) < 1e-12
+    t = TREES[1]
+    assert merkle.descend(merkle.tree(t), merkle.tree(t)) == (len(t), [])
+    assert merkle.descend(merkle.tree(t), merkle.tree(t.replace("with", "without")))[1] == [(1, 0, 0)]
+    assert merkle.descend(merkle.tree(""), merkle.tree("a b"))[1] == [(0, 0, 0)]
+
+
+@pytest.mark.parametrize("range_bytes", [8_000_000, 300])
+def test_merkle_next(spark, docs, crowded, nothing, range_bytes, monkeypatch):
+    """All columns of the query against brute force, with ranges that hold one document or none."""
+    monkeypatch.setattr(merkle, "RANGE_BYTES", range_bytes)
     named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     rows = sorted((r.doc_id, r.text or "") for r in named.collect())
-    out = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    out = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_changed bigint"
     got = {r.doc_id: r for r in merkle.with_next(named, merkle._Seen(), out).collect()}
     assert len(got) == len(rows)
     for (i, t), (_, nxt) in zip(rows, rows[1:] + rows[:1], strict=True):
         n = len(t)
         edited = t[: n - n // 2] + nxt[: n // 2]
         assert (got[i].n_chars, got[i].edited_sha256) == (n, hashlib.sha256(edited.encode()).hexdigest())
-        assert (got[i].fingerprint, got[i].edited_fingerprint) == (merkle.tree(t)[0].hex(), merkle.tree(edited)[0].hex())
-        assert 0 <= got[i].near_next <= 1 and 0 <= got[i].near_edited <= 1
-    assert merkle.with_next(docs, merkle._Seen(), out).count() == docs.count()
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (brute_tree(t)[0].hex(), brute_tree(edited)[0].hex())
+        assert abs(got[i].near_edited - brute_likeness(t, edited)) < 1e-12 and abs(got[i].near_next - brute_likeness(t, nxt)) < 1e-12
+    for d in (docs, crowded):  # repeated, null and clashing
+        assert sorted(r.doc_id is None for r in merkle.with_next(d, merkle._Seen(), out).collect()) == sorted(r.doc_id is None for r in d.collect())
     assert merkle.with_next(nothing, merkle._Seen(), out).count() == 0
+    one = spark.createDataFrame([(5, "alone here")], "doc_id bigint, text string")
+    assert [(r.doc_id, r.near_next) for r in merkle.with_next(one, merkle._Seen(), out).collect()] == [(5, 1.0)]
 
 
 # --- language
@@ -481,6 +546,43 @@ def test_hosts(spark):
     assert hosts.judge(pages.limit(0), bad).count() == 0 and hosts.judge(pages, bad.limit(0)).count() == len(got)
 
 
+def test_hosts_domains(spark):
+    """Public suffixes, ports, users and addresses; a url's host keeps its port."""
+    from pyspark.sql import functions as F
+
+    want = {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.com": ("x.com", "com"), "a.x.com": ("x.com", "com"), "com": ("com", "com"), "10.0.0.1": ("10.0.0.1", "10.0.0.1"), "[::1]": ("[::1]", "[::1]"), "": ("", ""), "1.2.3.4.org": ("4.org", "org")}
+    df = spark.createDataFrame([(h,) for h in want], "host string")
+    assert {r.host: (r.domain, r.suffix) for r in hosts.with_domain(df).collect()} == want
+    assert {r.host: r.suffix for r in hosts.with_domain(df, ()).collect()}["a.b.co.uk"] == "uk"
+    sites = spark.createDataFrame([("u:p@a.org:80",), ("a.org:",), ("a.org",)], "h string").select(hosts.site(F.col("h")).alias("s"))
+    assert {r.s for r in sites.collect()} == {"a.org"}
+
+
+def test_hosts_posterior(spark):
+    """The posterior's probability beside sampling and closed forms."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    some = [(1.0, 1.0), (0.02, 3.0), (3.0, 0.02), (5.0, 2.0), (400.0, 380.0), (30000.0, 29500.0), (1e-5, 1.0)]
+    df = spark.createDataFrame(some, "a double, b double").withColumn("p", hosts.below(F.col("a"), F.col("b"), 0.5))
+    r = np.random.default_rng(1)
+    for row in df.collect():
+        assert abs(row.p - (r.beta(row.a, row.b, 400_000) <= 0.5).mean()) < 4e-3, row
+    for limit in (0.1, 0.5, 0.9):
+        [got] = spark.createDataFrame([(2.0, 1.0)], "a double, b double").select(hosts.below(F.col("a"), F.col("b"), limit).alias("p")).collect()
+        assert abs(got.p - limit**2) < 1e-3
+
+
+def test_hosts_clashing_names_and_salt(spark, monkeypatch):
+    rows = [(k, f"http://h{k % 7}.org/{k}", "x", "x", "x", "x") for k in range(70)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, host string, path string, rule string, site string")
+    bad = spark.createDataFrame([(k, k % 7 == 3) for k in range(70)], "id bigint, bad boolean")
+    want = order(hosts.judge(pages, bad).collect())
+    assert {r[4] for r in want if "h3." in r[1]} == {"block"} and {r[4] for r in want if "h3." not in r[1]} == {"allow"}
+    monkeypatch.setattr(_util, "BROADCAST", 0)
+    assert order(hosts.judge(pages, bad).collect()) == want
+
+
 # --- HTML
 
 
@@ -536,14 +638,30 @@ def test_template_copies_do_not_cancel(spark):
 # --- WARC
 
 
-def test_warc(spark, tmp_path):
+def test_warc(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
     big = "x\r\n\r\nWARC/1.1\r\n" * 3000 + "ÿ€"
     rows = [(1, "http://b.org/2", "one"), (2, "http://a.b.org/1", "one"), (7, None, "one"), (3, "http://a.b.org/1?x\ty", ""), (4, "odd url", None), (5, "http://c.org", big), (9, "http://z.org/", "two"), (9, "http://z.org/", "two"), (None, "http://n.org", "two"), (None, "http://n.org", "alone")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
-    warc.write(warc.records(pages), f"file://{tmp_path}/a", per_file=3)
+    plain = order(warc.records(pages).collect())
+    warc.write(warc.records(pages.coalesce(2)), f"file://{tmp_path}/a", file_bytes=700)
     caps = warc.captures(spark, f"file://{tmp_path}/a")
+    assert caps.select("file").distinct().count() > 2
     warc.build_index(caps, f"file://{tmp_path}/i", block=2)
-    got = order(warc.all_captures(spark, f"file://{tmp_path}/i").select("id", "bytes", "digest", "kind", "refers_to").collect())
+    looked = warc.look_up(spark, f"file://{tmp_path}/i", pages.select("url", F.col("page_id").alias("id")))
+    assert order(looked.collect()) == order(caps.collect())
+    read = warc.read_records(spark, f"file://{tmp_path}/a", looked)
+    got = order(read.select("id", "bytes", "digest", "kind", "refers_to").collect())
+    bodies = {(r.id, bytes(r.payload).decode()) for r in read.where("kind = 'response'").collect()}
+    assert bodies == {(i, h or "") for i, _, h in rows if (i, h) not in ((1, "one"), (2, "one"), (3, ""), (None, "two"))}
+    some = warc.look_up(spark, f"file://{tmp_path}/i", pages.where("page_id in (5, 9)").select("url", F.col("page_id").alias("id")))
+    assert sorted(r.id for r in some.collect()) == [5, 9, 9]
+    # a store that Spark alone can read: whole files instead of ranges
+    monkeypatch.setattr(warc, "open_store", lambda path: (_ for _ in ()).throw(OSError(path)))
+    assert order(warc.read_records(spark, f"file://{tmp_path}/a", looked).collect()) == order(read.collect())
+    monkeypatch.setattr(_util, "BROADCAST", 0)
+    assert order(warc.records(pages).collect()) == plain
     top = {}
     for i, _, h in rows:
         if i is not None:
@@ -556,9 +674,9 @@ def test_warc(spark, tmp_path):
     assert got == order(want)
     d = warc.Directory(spark, f"file://{tmp_path}/i")
     assert len(d.first) > 1
-    [line] = d.captures("http://c.org")
+    [line] = d.captures(spark, "http://c.org")
     assert warc.fetch(spark, f"file://{tmp_path}/a", line).decode() == big
-    assert [x[1] for x in d.captures("http://a.b.org/1")] == ["2"] and d.captures("http://none.org") == []
+    assert [x[1] for x in d.captures(spark, "http://a.b.org/1")] == ["2"] and d.captures(spark, "http://none.org") == []
     small = warc.records(pages, min_bytes=4).where("kind = 'revisit'").count()
     assert small == 0
     warc.write(warc.records(pages.limit(0)), f"file://{tmp_path}/e")

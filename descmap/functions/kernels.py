@@ -69,10 +69,14 @@ def to_linear_distance(k: Column) -> Column:
     return F.greatest(1.0 - k, F.lit(0.0))
 
 
-def rho_of_kernel(k: Column, delta: float) -> Column:
-    """A pair's share of the density of a normalised kernel; to be summed by i."""
-    return F.exp((k - 1.0) / F.lit(delta))
+def rho_of_kernel(k, delta: float):
+    """A pair's share of the density of a normalised kernel, to be summed by i; of a column or an array."""
+    return _exp((k - 1.0) / delta)
 
 
-def rho_of_distance(d: Column, delta: float) -> Column:
-    return F.exp(-d / F.lit(delta))
+def rho_of_distance(d, delta: float):
+    return _exp(-d / delta)
+
+
+def _exp(v):
+    return np.exp(v) if isinstance(v, np.ndarray) else F.exp(v)

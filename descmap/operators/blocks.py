@@ -7,6 +7,7 @@ nearest few), not of its pairs. `gram` sums outer products in the tasks that rea
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -15,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from descmap.operators.graph import written
+
 #: Rows of one block.
 ROWS = 2048
 #: Bytes that may be sent to all executors; operators that need more raise an error.
@@ -49,14 +52,22 @@ def samples(df: DataFrame, id_col: str = "sample_id", x_col: str = "x", extra: t
     return df.where(F.col(x_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(x_col).cast("array<double>").alias("x"), *extra)
 
 
-def pair_blocks(left: DataFrame, right: DataFrame, fn: Callable[[Block, Block], pa.Table], schema: str, left_extra: tuple[str, ...] = (), right_extra: tuple[str, ...] = (), rows: int = ROWS) -> DataFrame:
-    """Rows that fn makes of every block of left and block of right (columns as of `samples`)."""
+def pair_blocks(left: DataFrame, right: DataFrame, fn: Callable[[Block, Block], pa.Table], schema: str, left_extra: tuple[str, ...] = (), right_extra: tuple[str, ...] = (), rows: int = ROWS, reach: float | None = None) -> DataFrame:
+    """Rows that fn makes of every block of left and block of right (columns as of `samples`).
+
+    reach: pairs farther apart than that don't count. Rows are then dealt to blocks by ranges of their projection on the
+    leading axis of right, and only blocks whose ranges are within reach meet: distances are never below those of projections.
+    """
     n_left, n_right = max(1, -(-left.count() // rows)), max(1, -(-right.count() // rows))
-    to = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
-    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    l = left.select(own(n_left).alias("bi"), F.explode(to(n_right)).alias("bj"), "id", "x", *left_extra)
+    if reach is not None and n_left > 1 and n_right > 1:
+        l, r = _within_reach(left, right, n_left, n_right, reach)
+    else:
+        to = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+        own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+        l, r = left.select("*", own(n_left).alias("bi"), F.explode(to(n_right)).alias("bj")), right.select("*", F.explode(to(n_left)).alias("bi"), own(n_right).alias("bj"))
+    l = l.select("bi", "bj", "id", "x", *left_extra)
     # New names, as rows may be paired with themselves and a cogroup would mistake one side's columns for the other's.
-    r = right.select(F.explode(to(n_left)).alias("ri"), own(n_right).alias("rj"), F.col("id").alias("rid"), F.col("x").alias("rx"), *[F.col(c).alias(f"r_{c}") for c in right_extra])
+    r = r.select(F.col("bi").alias("ri"), F.col("bj").alias("rj"), F.col("id").alias("rid"), F.col("x").alias("rx"), *[F.col(c).alias(f"r_{c}") for c in right_extra])
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
@@ -70,6 +81,29 @@ def pair_blocks(left: DataFrame, right: DataFrame, fn: Callable[[Block, Block],
     return l.groupBy("bi", "bj").cogroup(r.groupBy("ri", "rj")).applyInArrow(run, schema)
 
 
+def _within_reach(left: DataFrame, right: DataFrame, n_left: int, n_right: int, reach: float) -> tuple[DataFrame, DataFrame]:
+    """left and right with the pairs (bi, bj) of blocks in which each row is to meet others."""
+    _, vectors = np.linalg.eigh(gram(right).covariance)
+    axis = F.array(*[F.lit(float(v)) for v in vectors[:, -1]])
+    along = F.aggregate(F.zip_with("x", axis, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+
+    def dealt(rows: DataFrame, n: int) -> tuple[DataFrame, list]:
+        # equal projections are cut by a hash, so that no block outgrows the others
+        made = written(rows.withColumn("_a", along).repartitionByRange(n, "_a", F.xxhash64("id")).withColumn("_b", F.spark_partition_id()))
+        return made, sorted((r.lo, r.hi, r["_b"]) for r in made.groupBy("_b").agg(F.min("_a").alias("lo"), F.max("_a").alias("hi")).collect())
+
+    def meeting(rows: DataFrame, mine: list, others: list, names: tuple[str, str]) -> DataFrame:
+        # others are in order, so those within reach follow one another
+        far = reach * (1 + 1e-9) + 1e-9
+        low, high = [o[0] for o in others], [o[1] for o in others]
+        spans = [(b, bisect.bisect_left(high, lo - far), bisect.bisect_right(low, hi + far) - 1) for lo, hi, b in mine]
+        table = rows.sparkSession.createDataFrame([(b, [o[2] for o in others[i : j + 1]]) for b, i, j in spans if i <= j], "_b int, _to array<int>")
+        return rows.join(F.broadcast(table), "_b").select("*", F.col("_b").alias(names[0]), F.explode("_to").alias(names[1])).drop("_a", "_b", "_to")
+
+    (l, own), (r, other) = dealt(left, n_left), dealt(right, n_right)
+    return meeting(l, own, other, ("bi", "bj")), meeting(r, other, own, ("bj", "bi"))
+
+
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """By norms and products; where these cancel, from the differences themselves."""
     size = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :]

@@ -50,8 +50,8 @@ def _log_kernel(kernel: str, t: np.ndarray) -> np.ndarray:
     return np.where(t < 1, inner, -np.inf)
 
 
-def _log_sums(at: DataFrame, points: DataFrame, fn) -> DataFrame:
-    """id, log: logarithm of the sum over points of exp(fn(squared distances, block of `at`, block of points))."""
+def _log_sums(at: DataFrame, points: DataFrame, fn, reach: float | None = None) -> DataFrame:
+    """id, log: logarithm of the sum over points of exp(fn(vectors of `at`, vectors of points)); reach: the distance from which on kernels are zero."""
 
     def run(a: Block, b: Block) -> pa.Table:
         v = fn(a.x, b.x)
@@ -60,10 +60,12 @@ def _log_sums(at: DataFrame, points: DataFrame, fn) -> DataFrame:
         with np.errstate(divide="ignore"):
             return pa.table({"id": a.ids, "m": safe, "s": np.exp(v - safe[:, None]).sum(1)})
 
-    some = pair_blocks(at, points, run, "id bigint, m double, s double")
+    some = pair_blocks(at, points, run, "id bigint, m double, s double", reach=reach)
     top = some.groupBy("id").agg(F.max(F.when(F.col("s") > 0, F.col("m"))).alias("top"), F.collect_list(F.struct("m", "s")).alias("p"))
     total = F.aggregate("p", F.lit(0.0), lambda t, p: t + p["s"] * F.exp(p["m"] - F.col("top")))
-    return top.select("id", F.when(F.col("top").isNull(), F.lit(float("-inf"))).otherwise(F.col("top") + F.log(total)).alias("log"))
+    found = top.select("id", (F.col("top") + F.log(total)).alias("log"))
+    found = found if reach is None else at.select("id").join(found, "id", "left")
+    return found.select("id", F.coalesce("log", F.lit(float("-inf"))).alias("log"))
 
 
 def kde(df: DataFrame, bandwidth: float = 1.0, kernel: str = "gaussian", at: DataFrame | None = None, id_col: str = "sample_id", x_col: str = "x") -> DataFrame:
@@ -71,7 +73,7 @@ def kde(df: DataFrame, bandwidth: float = 1.0, kernel: str = "gaussian", at: Dat
     points = samples(df, id_col, x_col)
     n, d = points.count(), points.select(F.max(F.size("x"))).first()[0]
     rows = points if at is None else samples(at, id_col, x_col)
-    logs = _log_sums(rows, points, lambda a, b: _log_kernel(kernel, np.sqrt(squared_distances(a, b)) / bandwidth))
+    logs = _log_sums(rows, points, lambda a, b: _log_kernel(kernel, np.sqrt(squared_distances(a, b)) / bandwidth), None if kernel in ("gaussian", "exponential") else bandwidth)
     return logs.select(F.col("id").alias(id_col), (F.col("log") - math.log(n) - log_normaliser(kernel, bandwidth, d)).alias("log_density"))
 
 

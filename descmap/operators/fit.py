@@ -11,25 +11,14 @@ from pyspark.sql import functions as F
 
 from descmap.functions import kernels
 from descmap.operators.blocks import gram, local, map_matrix
+from descmap.operators.graph import counted
 from descmap.operators.reduce import Scale
 from descmap.operators.sampling import draw, exponential_split, landmarks, random_split, sparsify
 
 
 def _ranks(df: DataFrame, col: str) -> DataFrame:
     """Each different value with its average rank: counts of values meet, not rows."""
-    from descmap.operators.graph import written
-
-    counted = written(df.groupBy(col).agg(F.count("*").alias("n")).repartitionByRange(col).sortWithinPartitions(col).withColumn("_p", F.spark_partition_id()))
-    parts = sorted((r["_p"], r["t"]) for r in counted.groupBy("_p").agg(F.sum("n").alias("t")).collect())
-    start, rows = 0, []
-    for p, t in parts:
-        rows.append((p, start))
-        start += t
-    before = df.sparkSession.createDataFrame(rows, "_p int, _s bigint")
-    from pyspark.sql import Window
-
-    own = F.sum("n").over(Window.partitionBy("_p").orderBy(col).rowsBetween(Window.unboundedPreceding, 0))
-    return counted.withColumn("_c", own).join(F.broadcast(before), "_p").select(col, (F.col("_s") + F.col("_c") - (F.col("n") - 1) / 2).alias(f"rank_{col}"))
+    return counted(df, col).select(col, (F.col("_before") + (F.col("n") + 1) / 2).alias(f"rank_{col}"))
 
 
 def metrics(df: DataFrame, y: str = "y", y_pred: str = "y_pred", ranked: bool = True) -> DataFrame:

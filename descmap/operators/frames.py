@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from descmap.functions import cell as C
+from descmap.operators.graph import quantiles
 
 #: Prefixes that the pattern * stands for.
 PREFIXES = ("SOAP", "ACSF", "LMBTR", "FCHL19", "CM", "pca", "skpca", "umap", "tsne")
@@ -190,7 +191,7 @@ def reduce_rows(df: DataFrame, key: str, x_col: str, width: int, kind: str = "av
 
 def outer_rows(df: DataFrame, prop: str, share: float = 0.05, id_col: str = "sample_id") -> DataFrame:
     """Rows of the lowest and highest `share` of a property (exact quantiles)."""
-    q = df.agg(F.percentile(prop, F.array(F.lit(share), F.lit(1 - share))).alias("q")).first().q
+    q = quantiles(df, prop, [share, 1 - share])
     return df.where((F.col(prop) <= q[0]) | (F.col(prop) >= q[1])) if q else df
 
 

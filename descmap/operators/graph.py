@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+import re
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by the folder that spark.checkpoint.dir names (a local one only where that is unset)."""
-    spark = df.sparkSession
+def shared_base(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which all machines share. Only a local master, as in tests, may leave it unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file:///tmp/checkpoints"
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base or "file:///tmp/checkpoints")
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def work_dir(spark: SparkSession, prefix: str = "work") -> str:
+    """A new path below the shared folder."""
+    return f"{shared_base(spark)}/{prefix}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by files in the shared folder."""
+    shared_base(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -50,3 +68,31 @@ def numbered(df: DataFrame, *order: str, name: str = "number") -> DataFrame:
         start += n
     before = df.sparkSession.createDataFrame(rows, "_p int, _s bigint")
     return dealt.join(F.broadcast(before), "_p").withColumn(name, F.col("_s") + F.col("_k")).drop("_p", "_k", "_s")
+
+
+def counted(df: DataFrame, col: str) -> DataFrame:
+    """Each different value with its number of rows n and the number _before of rows with smaller ones: counts of values are sorted, by ranges, not rows."""
+    parts = written(df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("n")).repartitionByRange(col).sortWithinPartitions(col).withColumn("_p", F.spark_partition_id()))
+    start, rows = 0, []
+    for p, t in sorted((r["_p"], r["t"]) for r in parts.groupBy("_p").agg(F.sum("n").alias("t")).collect()):
+        rows.append((p, start))
+        start += t
+    before = df.sparkSession.createDataFrame(rows, "_p int, _s bigint")
+    own = F.sum("n").over(Window.partitionBy("_p").orderBy(col).rowsBetween(Window.unboundedPreceding, 0))
+    return parts.withColumn("_c", own).join(F.broadcast(before), "_p").select(col, "n", (F.col("_s") + F.col("_c") - F.col("n")).alias("_before"))
+
+
+def quantiles(df: DataFrame, col: str, shares: list[float]) -> list[float] | None:
+    """Exact quantiles with linear interpolation, without all values in one task; None without values."""
+    rows = written(counted(df, col))
+    n = rows.agg(F.sum("n")).first()[0]
+    if not n:
+        return None
+    places = [(n - 1) * s for s in shares]
+    want = sorted({k for p in places for k in (math.floor(p), math.ceil(p))})
+    hit = F.lit(False)
+    for k in want:
+        hit = hit | ((F.col("_before") <= k) & (F.col("_before") + F.col("n") > k))
+    got = rows.where(hit).collect()
+    at = {k: float(r[col]) for k in want for r in got if r["_before"] <= k < r["_before"] + r["n"]}
+    return [at[math.floor(p)] + (p - math.floor(p)) * (at[math.ceil(p)] - at[math.floor(p)]) for p in places]

@@ -20,6 +20,8 @@ from descmap.operators.graph import numbered
 
 #: Candidates that a partition offers in one round of farthest points.
 POOL = 128
+#: Landmarks at most, as their own kernel is held in one place; also ids that are sent to all executors.
+LANDMARKS = 10_000
 
 
 def draw(id_col: str | Column, seed: int | str = 0) -> Column:
@@ -163,7 +165,7 @@ def sparsify(df: DataFrame, mode: str, n_or_ratio: float, id_col: str = "sample_
     else:
         raise ValueError(f"unknown mode {mode!r}")
     keep = df.sparkSession.createDataFrame([(i,) for i in ids], f"`{id_col}` bigint")
-    return df.join(F.broadcast(keep), id_col, "left_semi")
+    return df.join(F.broadcast(keep) if len(ids) <= LANDMARKS else keep, id_col, "left_semi")
 
 
 def reweight(df: DataFrame, log_density: str, n: int, scale: float, id_col: str = "sample_id", seed: int = 0) -> DataFrame:
@@ -225,4 +227,6 @@ def landmarks(df: DataFrame, mode: str = "fps", n: int | None = None, id_col: st
     """Ids and vectors of a sparse set: a tenth of the rows by number 20ths, ten at least, if n is not given; n < 0: all."""
     rows = df.count()
     n = max(10, rows // 20) if n is None else rows if n < 0 else n
+    if n > LANDMARKS:
+        raise ValueError(f"{n} landmarks make a kernel of {n} x {n} on the driver; give {LANDMARKS} at most")
     return local(samples(sparsify(df, mode, min(n, rows) if n != 1 else 1.0, id_col, x_col), id_col, x_col))

@@ -18,7 +18,7 @@ from descmap.functions import cell as C
 from descmap.functions import kernels as K
 from descmap.functions import vectors as V
 from descmap.operators import cluster, density, descriptors, fit, frames, reduce, sampling, series
-from descmap.operators.blocks import Block, nearest, pair_blocks, samples, squared_distances
+from descmap.operators.blocks import nearest, pair_blocks, samples, squared_distances
 from descmap.operators.graph import numbered
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,11 +59,6 @@ def _landmarks(df: DataFrame) -> DataFrame:
     return F.broadcast(sampling.sequential(df, 10).select(F.col("sample_id").alias("j"), F.col("x").alias("y")))
 
 
-def _with_landmarks(spark: SparkSession, sf_dir: str, value: Callable[[Column, Column], Column]) -> DataFrame:
-    e = emb(spark, sf_dir)
-    return e.crossJoin(_landmarks(e)).select(F.col("sample_id").alias("i"), "j", r(value(F.col("x"), F.col("y"))).alias("k"))
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["nearest_landmark"](spark, sf_dir)
 
@@ -84,59 +79,62 @@ def zscore(spark, sf_dir):
     return made.select("sample_id", F.posexplode("z").alias("dim", "z")).select("sample_id", "dim", r("z").alias("z"))
 
 
-@query(f"WITH {E}, {LAND} SELECT id AS i, j, round({DOT}, 6) + 0.0 AS k FROM e, l")
+def _row_sums(e: DataFrame, fn: Callable[[np.ndarray, np.ndarray], np.ndarray], name: str, digits: int = 6) -> DataFrame:
+    """Sums over all rows of what fn makes of each row and all rows, block by block."""
+    rows = samples(e)
+    some = pair_blocks(rows, rows, lambda a, b: pa.table({"id": a.ids, "s": fn(a.x, b.x).sum(1)}), "id bigint, s double")
+    return some.groupBy("id").agg(F.sum("s").alias("s")).select(F.col("id").alias("sample_id"), r("s", digits).alias(name))
+
+
+#: All pairs of vectors.
+PAIRS = "p AS (SELECT a.id, b.id AS other, a.x, b.x AS y FROM e a, e b)"
+
+
+@query(f"WITH {E}, {PAIRS} SELECT id AS sample_id, round(sum({DOT}), 5) + 0.0 AS k FROM p GROUP BY id")
 def kernel_linear(spark, sf_dir):
-    return _with_landmarks(spark, sf_dir, lambda a, b: K.column({"k": {"type": "linear"}}, a, b))
+    """Each row's kernel with all rows, summed."""
+    return _row_sums(emb(spark, sf_dir), lambda a, b: K.matrix({"k": {"type": "linear"}}, a, b), "k", 5)
 
 
-@query(f"WITH {E}, {LAND} SELECT id AS i, j, round(power({DOT}, 3), 6) + 0.0 AS k FROM e, l")
+@query(f"WITH {E}, {PAIRS} SELECT id AS sample_id, round(sum(power({DOT}, 3)), 5) + 0.0 AS k FROM p GROUP BY id")
 def kernel_polynomial(spark, sf_dir):
-    return _with_landmarks(spark, sf_dir, lambda a, b: K.column({"k": {"type": "polynomial", "d": 3}}, a, b))
+    return _row_sums(emb(spark, sf_dir), lambda a, b: K.matrix({"k": {"type": "polynomial", "d": 3}}, a, b), "k", 5)
 
 
-@query(f"WITH {E}, {LAND} SELECT id AS i, j, round({COS}, 6) + 0.0 AS k FROM e, l")
+@query(f"WITH {E}, {PAIRS} SELECT id AS sample_id, round(sum({COS}), 5) + 0.0 AS k FROM p GROUP BY id")
 def kernel_cosine(spark, sf_dir):
-    return _with_landmarks(spark, sf_dir, lambda a, b: K.column({"k": {"type": "cosine"}}, a, b))
+    return _row_sums(emb(spark, sf_dir), lambda a, b: K.matrix({"k": {"type": "cosine"}}, a, b), "k", 5)
 
 
-@query(f"WITH {E}, {LAND} SELECT id AS i, j, round({DOT} + power({DOT}, 2), 6) + 0.0 AS k FROM e, l")
+@query(f"WITH {E}, {PAIRS} SELECT id AS sample_id, round(sum({DOT} + power({DOT}, 2)), 5) + 0.0 AS k FROM p GROUP BY id")
 def kernel_sum(spark, sf_dir):
-    return _with_landmarks(spark, sf_dir, lambda a, b: K.column({"a": {"type": "linear"}, "b": {"type": "polynomial", "d": 2}}, a, b))
+    return _row_sums(emb(spark, sf_dir), lambda a, b: K.matrix({"a": {"type": "linear"}, "b": {"type": "polynomial", "d": 2}}, a, b), "k", 5)
 
 
-@query(f"WITH {E}, {LAND}, n AS (SELECT id AS i, j, least(1.0, {COS}) AS k FROM e, l) SELECT i, j, round(k, 6) + 0.0 AS k, round(sqrt(greatest(2 - 2 * round(k, 9), 0)), 6) AS distance, round(greatest(1 - k, 0), 6) AS linear_distance FROM n")
+@query(
+    """WITH g AS (SELECT least(l_partkey % 40, l_suppkey % 40) AS i, greatest(l_partkey % 40, l_suppkey % 40) AS j, sum(l_quantity) AS q FROM lineitem GROUP BY ALL), f AS (SELECT i, j, q FROM g UNION ALL SELECT j, i, q FROM g WHERE i < j), d AS (SELECT i, 2000 + sum(q) AS s FROM f GROUP BY i),
+k AS (SELECT f.i, f.j, least(1.0, CASE WHEN f.i = f.j THEN a.s ELSE q END / sqrt(a.s * b.s)) AS k FROM f JOIN d a ON a.i = f.i JOIN d b ON b.i = f.j) SELECT i, j, round(k, 6) + 0.0 AS k, round(sqrt(greatest(2 - 2 * round(k, 9), 0)), 6) AS distance, round(greatest(1 - k, 0), 6) AS linear_distance FROM k"""
+)
 def kernel_distance(spark, sf_dir):
-    """Normalised linear kernel and its distances."""
-    e = emb(spark, sf_dir)
-    x, y = F.col("x"), F.col("y")
-    k = K.normalised(V.dot(x, y), V.dot(x, x), V.dot(y, y))
-    rows = e.crossJoin(_landmarks(e)).select(F.col("sample_id").alias("i"), "j", k.alias("k"))
-    return rows.select("i", "j", r("k").alias("k"), r(K.to_distance(F.round("k", 9))).alias("distance"), r(K.to_linear_distance(F.col("k"))).alias("linear_distance"))
-
-
-def _row_sums(e: DataFrame, fn: Callable[[np.ndarray, np.ndarray], np.ndarray], name: str) -> DataFrame:
-    rows = samples(e)
-    some = pair_blocks(rows, rows, lambda a, b: pa.table({"id": a.ids, "s": fn(a.x, b.x).sum(1)}), "id bigint, s double")
-    return some.groupBy("id").agg(F.sum("s").alias("s")).select(F.col("id").alias("sample_id"), r("s").alias(name))
+    """A kernel table from sums over all lineitems, normalised by its diagonal, and its distances."""
+    a, b = F.col("l_partkey") % 40, F.col("l_suppkey") % 40
+    l = load(spark, sf_dir, "lineitem").groupBy(F.least(a, b).alias("i"), F.greatest(a, b).alias("j")).agg(F.sum("l_quantity").alias("q"))
+    both = l.unionByName(l.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "q"))
+    d = both.groupBy("i").agg((2000 + F.sum("q")).alias("s"))
+    k = both.join(d, "i").join(d.select(F.col("i").alias("j"), F.col("s").alias("t")), "j")
+    k = k.select("i", "j", K.normalised(F.when(F.col("i") == F.col("j"), F.col("s")).otherwise(F.col("q")), F.col("s"), F.col("t")).alias("k"))
+    return k.select("i", "j", r("k").alias("k"), r(K.to_distance(F.round("k", 9))).alias("distance"), r(K.to_linear_distance(F.col("k"))).alias("linear_distance"))
 
 
 @query(f"WITH {E} SELECT a.id AS sample_id, round(sum(exp((list_dot_product(a.x, b.x) - 1) / 0.2)), 6) AS rho FROM e a, e b GROUP BY a.id")
 def kernel_rho(spark, sf_dir):
     """Row sums over all pairs, block by block."""
-    return _row_sums(emb(spark, sf_dir), lambda a, b: np.exp((a @ b.T - 1) / 0.2), "rho")
+    return _row_sums(emb(spark, sf_dir), lambda a, b: K.rho_of_kernel(K.matrix({"k": {"type": "linear"}}, a, b), 0.2), "rho")
 
 
 @query(f"WITH {E}, p AS (SELECT a.id, a.x, b.x AS y FROM e a, e b) SELECT id AS sample_id, round(sum(exp(-{DIST} / 0.2)), 4) AS rho FROM p GROUP BY id")
 def distance_rho(spark, sf_dir):
-    e = emb(spark, sf_dir)
-    rows = samples(e)
-
-    def run(a: Block, b: Block) -> pa.Table:
-        d = np.sqrt(squared_distances(a.x, b.x))
-        d[a.ids[:, None] == b.ids[None, :]] = 0
-        return pa.table({"id": a.ids, "s": np.exp(-d / 0.2).sum(1)})
-
-    return pair_blocks(rows, rows, run, "id bigint, s double").groupBy("id").agg(F.sum("s").alias("s")).select(F.col("id").alias("sample_id"), r("s", 4).alias("rho"))
+    return _row_sums(emb(spark, sf_dir), lambda a, b: K.rho_of_distance(np.sqrt(squared_distances(a, b)), 0.2), "rho", 4)
 
 
 @query(f"WITH {E}, p AS (SELECT a.id, b.id AS other, a.x, b.x AS y FROM e a, e b), d AS (SELECT id, other, CASE WHEN id = other THEN 0 ELSE {DIST} END AS d FROM p) SELECT id AS sample_id, (row_number() OVER (PARTITION BY id ORDER BY d, other) - 1)::INT AS rank, round(d, 5) AS distance FROM d QUALIFY rank < 5")
@@ -168,16 +166,7 @@ def dbscan_wide(spark, sf_dir):
 )
 def dbscan_auto_eps(spark, sf_dir):
     """The number of probes, 50, is the operator's own."""
-    rows = samples(emb(spark, sf_dir))
-    probe = rows.orderBy(sampling.draw("id"), "id").limit(50)
-
-    def run(a: Block, b: Block) -> pa.Table:
-        d = np.sqrt(squared_distances(a.x, b.x))
-        d[a.ids[:, None] == b.ids[None, :]] = 0
-        return pa.table({"id": a.ids, "d": pa.array(list(d))})
-
-    d = pair_blocks(probe, rows, run, "id bigint, d array<double>").select(F.explode("d").alias("d"))
-    return d.agg(r(F.expr(f"percentile(d, {10.0 / rows.count()!r})"), 5).alias("eps"))
+    return spark.createDataFrame([(round(cluster.auto_eps(emb(spark, sf_dir)), 5),)], "eps double")
 
 
 @query()
@@ -548,13 +537,6 @@ def series_cross_spectrum(spark, sf_dir):
     return series.spectrum(events_series(spark, sf_dir), _L, cross="y", dt=1.0).select("series_id", "k", r("re", 5).alias("re"), r("im", 5).alias("im"))
 
 
-@query("SELECT doc_id, n_chars::DOUBLE AS n_chars, quality::DOUBLE AS quality FROM documents LEFT JOIN labels USING (doc_id)")
-def positional_properties(spark, sf_dir):
-    """Records with properties that cover some of them."""
-    d = load(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n_chars"))
-    return d.join(load(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("quality")), "doc_id", "left")
-
-
 @query("SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal, s_suppkey) - 1 AS number FROM supplier")
 def row_numbers(spark, sf_dir):
     """The place of each row without a single sort of all."""

@@ -79,7 +79,7 @@ class KernelRidge:
 
     def uncertainty(self, df: DataFrame, x_col: str = "x", out: str = "y_std") -> DataFrame:
         """sqrt(delta (1 - k' C^-1 k)), for kernels that are 1 on the diagonal."""
-        x, inv, spec, delta = self.x, np.linalg.inv(self.c), self.kernel, self.delta
+        x, inv, spec, delta = self.x, np.linalg.solve(self.c, np.eye(len(self.c))), self.kernel, self.delta
 
         def fn(v: np.ndarray) -> np.ndarray:
             k = kernels.matrix(spec, v, x)
@@ -89,7 +89,7 @@ class KernelRidge:
 
     def cross_validated(self, folds: list[np.ndarray]) -> np.ndarray:
         """Predictions of every fitted row from the rows of other folds, without fitting again."""
-        inv = np.linalg.inv(self.c)
+        inv = np.linalg.solve(self.c, np.eye(len(self.c)))
         out = np.empty(len(self.y))
         for f in folds:
             out[f] = self.y[f] - np.linalg.solve(inv[np.ix_(f, f)], self.alpha[f])

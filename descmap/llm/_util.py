@@ -5,12 +5,13 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from descmap.operators.graph import work_dir, written
+
 #: Bytes that end a word in the operators that split at ASCII white space.
 SPACES = " \t\n\x0b\f\r"
 
@@ -33,22 +34,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that spark.checkpoint.dir names, which all machines share.
-
-    Only where that setting is absent (local tests) is a folder chosen here.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file:///tmp/checkpoints"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    """A new folder below the one that spark.checkpoint.dir names, which all machines share; only a local master may leave that unset."""
+    return work_dir(spark, "llm")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut by files in the shared checkpoint folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return written(df)
 
 
 def sub_batches(values: list, limit: int = 2_000_000) -> Iterator[list]:

@@ -30,7 +30,7 @@ from descmap.llm._util import quoted, room, sub_batches, table, takes_memory
 #: Entries that a worker keeps at most; beyond, it forgets all and learns anew.
 CACHE = 400_000
 #: Words that are merged together at most.
-RUN = 200_000
+RUN = 50_000
 #: Positions of a rank from which its merges are made as arrays.
 MANY = 100
 NONE, LAST = np.uint64(2**64 - 1), np.uint32(2**32 - 1)
@@ -303,7 +303,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
         token_of = {r: t for t, r in shared.value[0].items()} if decoded else {}
         for b in batches:
             values = pc.fill_null(b.column(at).cast(pa.string()), "").to_pylist()
-            made = [[x for part in sub_batches(values, 6_000_000) for x in encoder.encode(part)]]
+            made = [[x for part in sub_batches(values) for x in encoder.encode(part)]]
             if decoded:
                 made.append([_bytes_of(x, token_of) for x in made[0]])
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(m, pa.binary()) for m in made)], names=[*names, *added])

@@ -21,6 +21,7 @@ from collections import Counter
 from collections.abc import Iterator
 from copy import copy
 from hashlib import blake2b, sha256
+from itertools import chain
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -95,10 +96,47 @@ def descend(a: tuple, b: tuple) -> tuple[int, list[tuple[int, int, int]]]:
             return common, [at for at, _ in right]
 
 
+def compared(a: tuple, b: tuple) -> tuple[int, int]:
+    """What `descend` finds, with the number of b's differing leaves only."""
+    if a[0] == b[0]:
+        return a[1], 0
+    common, left, right = 0, [a], [b]
+    for _ in range(2):  # sections, paragraphs
+        left, right = [c for x in left for c in x[2]], [c for x in right for c in x[2]]
+        if len(left) == 1 == len(right):
+            if left[0][0] == right[0][0]:
+                return common + left[0][1], 0
+            continue
+        has = Counter([c[0] for c in left])
+        rest = []
+        for c in right:
+            if has.get(c[0], 0) > 0:
+                has[c[0]] -= 1
+                common += c[1]
+            else:
+                rest.append(c)
+        kept = []
+        for c in left:
+            if has[c[0]] > 0:
+                has[c[0]] -= 1
+                kept.append(c)
+        left, right = kept, rest
+    x, y = Counter(chain.from_iterable(p[2] for p in left)), Counter(chain.from_iterable(p[2] for p in right))
+    n = y.total()
+    if len(y) < len(x):
+        x, y = y, x
+    for leaf, k in x.items():
+        if other := y.get(leaf):
+            same = k if k < other else other
+            common += leaf[1] * same
+            n -= same
+    return common, n
+
+
 def likeness(a: tuple, b: tuple, common: int | None = None) -> float:
     if not a[1] + b[1]:
         return 1.0
-    return 2 * (descend(a, b)[0] if common is None else common) / (a[1] + b[1])
+    return 2 * (compared(a, b)[0] if common is None else common) / (a[1] + b[1])
 
 
 _KINDS = {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}
@@ -169,8 +207,8 @@ class _Seen:
         n = len(text)
         edited = text[: n - n // 2] + after[: n // 2]
         new = tree(edited)
-        common, changed = descend(own, new)
-        return i, n, sha256(edited.encode()).hexdigest(), own[0].hex(), new[0].hex(), likeness(own, new, common), likeness(own, nxt), len(changed)
+        common, changed = compared(own, new)
+        return i, n, sha256(edited.encode()).hexdigest(), own[0].hex(), new[0].hex(), likeness(own, new, common), likeness(own, nxt), changed
 
 
 def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,15 +11,17 @@ empty texts have no words; null and repeated items are allowed (an item without
 has no window). Extra columns pass through; one that has the name of an added column is replaced.
 
 The automaton goes to the executors as broadcast data. Its bound is `max_words` item
-words; a larger benchmark is dealt into several automata, and the texts stream through
-one after another, each finding the hits of its own items.
+words, on the driver as in every worker; of a larger benchmark one automaton after another is made, and the texts stream through
+each in a pass of its own, with the hits so far written in between.
+Repeated rows and ids are judged alike. Memory is in proportion to the longest text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +29,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from descmap.llm._util import quoted, room, sub_batches, table
+from descmap.llm._util import checkpointed, fresh, quoted, room, sub_batches, table
 
 WINDOW = 10
-#: Item words in one automaton at most (some 100 bytes a word).
-MAX_WORDS = 1_000_000
+#: Item words in one automaton at most (some 500 bytes a word).
+MAX_WORDS = 500_000
 _TO_WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -199,58 +201,64 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _parts(benchmark: DataFrame, id_col: str, text_col: str, max_words: int) -> list[list[tuple[object, list[bytes]]]]:
-    """Items in order, in runs of at most max_words words (one item at least)."""
-    parts: list[list] = [[]]
+def _automata(benchmark: DataFrame, id_col: str, text_col: str, window: int, max_words: int) -> Iterator[Automaton]:
+    """Automata of runs of items in order, of at most max_words words (one item at least); items come to the driver one run at a time."""
+    part: list = []
     size = 0
     rows = benchmark.select(F.col(quoted(id_col)).cast("string").alias("i"), F.col(quoted(text_col)).alias("t")).orderBy("i", "t")
     for r in rows.toLocalIterator():
         words = words_of(r.t)
-        if parts[-1] and size + len(words) > max_words:
-            parts.append([])
-            size = 0
-        parts[-1].append((r.i, words))
+        if part and size + len(words) > max_words:
+            yield Automaton(part, window)
+            part, size = [], 0
+        part.append((r.i, words))
         size += len(words)
-    return parts
+    yield Automaton(part, window)
 
 
-def _scanner(benchmark: DataFrame, item_id: str, item_text: str, window: int, max_words: int) -> Callable[[list[str]], tuple[list, list, list]]:
-    """What makes, on an executor, the numbers of words, hit spans and hit items of texts."""
-    sc = benchmark.sparkSession.sparkContext
-    shared = [sc.broadcast(Automaton(p, window)) for p in _parts(benchmark, item_id, item_text, max_words)]
+def _scanned(automaton: Automaton, values: list[str]) -> tuple[list, list, list]:
+    """Numbers of words, hit spans and hit items of texts."""
+    n, spans, items = [], [], []
+    for part in sub_batches(values):
+        for k, hit, of in automaton.scan(part):
+            n.append(k)
+            spans.append(hit)
+            items.append(sorted({automaton.names[i] for i in of if automaton.names[i] is not None}))
+    return n, spans, items
 
-    def scan(values: list[str]) -> tuple[list, list, list]:
-        n, spans, items = [], [], []
-        for part in sub_batches(values):
-            found = [s.value.scan(part) for s in shared]
-            for one in zip(*found, strict=True):
-                n.append(one[0][0])
-                spans.append(merged([x for o in one for x in o[1]]))
-                items.append(sorted({s.value.names[i] for s, o in zip(shared, one, strict=True) for i in o[2] if s.value.names[i] is not None}))
-        return n, spans, items
 
-    return scan
-
-
-def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
-    """docs with n_words, hit_spans (word positions from, to) and hit_items (item ids as strings, sorted)."""
-    added = ["n_words", "hit_spans", "hit_items"]
-    docs = room(docs, added, (text,))
-    scan = _scanner(benchmark, item_id, item_text, window, max_words)
-    names = docs.columns
+def _pass(docs: DataFrame, automaton: Automaton, text: str, added: tuple[str, str, str], again: bool) -> DataFrame:
+    """docs with the columns `added` from one automaton; again: these are there, as the last ones, and gain what it finds."""
+    shared = docs.sparkSession.sparkContext.broadcast(automaton)
+    names = docs.columns[:-3] if again else docs.columns
     at = names.index(text)
-    ddl = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in docs.schema.fields)
-    ddl += ", n_words bigint, hit_spans array<array<int>>, hit_items array<string>"
+    ddl = ", ".join(f"{quoted(c)} {docs.schema[c].dataType.simpleString()}" for c in names)
+    ddl += ", {} bigint, {} array<array<int>>, {} array<string>".format(*map(quoted, added))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, spans, items = scan(pc.fill_null(b.column(at).cast(pa.string()), "").to_pylist())
+            n, spans, items = _scanned(shared.value, pc.fill_null(b.column(at).cast(pa.string()), "").to_pylist())
+            if again:
+                spans = [merged([*map(tuple, old), *new]) for old, new in zip(b.column(len(names) + 1).to_pylist(), spans, strict=True)]
+                items = [sorted({*old, *new}) for old, new in zip(b.column(len(names) + 2).to_pylist(), items, strict=True)]
             made = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*names, *added])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *made], names=[*names, *added])
 
     return docs.mapInArrow(run, ddl)
 
 
+def _passes(docs: DataFrame, automata: Iterator[Automaton], text: str, added: tuple[str, str, str]) -> DataFrame:
+    for k, automaton in enumerate(automata):
+        docs = _pass(checkpointed(docs) if k else docs, automaton, text, added, k > 0)
+    return docs
+
+
+def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
+    """docs with n_words, hit_spans (word positions from, to) and hit_items (item ids as strings, sorted)."""
+    added = ("n_words", "hit_spans", "hit_items")
+    return _passes(room(docs, list(added), (text,)), _automata(benchmark, item_id, item_text, window, max_words), text, added)
+
+
 def cut(text: str, spans: list[list[int]]) -> str:
     """text without the hit words and what stands between the words of one span."""
     at = [m.span() for m in _WORD.finditer(text)]
@@ -267,17 +275,24 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", max_covera
     Columns are those of docs; texts without a hit stay as they are. n_chars: a column of text
     lengths to keep in step.
     """
-    scan = _scanner(benchmark, item_id, item_text, window, max_words)
     names = docs.columns
     at, length_at = names.index(text), names.index(n_chars) if n_chars in names else None
     ddl = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in docs.schema.fields)
+    automata = _automata(benchmark, item_id, item_text, window, max_words)
+    first, second = next(automata), next(automata, None)
+    shared = docs.sparkSession.sparkContext.broadcast(first) if second is None else None
+    if second is not None:
+        added = tuple(fresh(docs, c) for c in ("n_words", "hit_spans", "hit_items"))
+        docs = _passes(docs, chain([first, second], automata), text, added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values = b.column(at).to_pylist()
-            n, spans, _ = scan([v or "" for v in values])
+            values, cols = b.column(at).to_pylist(), list(b.columns[: len(names)])
+            if shared is not None:
+                n, spans, _ = _scanned(shared.value, [v or "" for v in values])
+            else:
+                n, spans = b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist()
             hit = [k for k, s in enumerate(spans) if s]
-            cols = list(b.columns)
             if hit:
                 drop = set()
                 for k in hit:

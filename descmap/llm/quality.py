@@ -94,6 +94,29 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -500, 500)))
 
 
+def thresholds_of(steps: np.ndarray) -> np.ndarray:
+    """Thresholds from the first one and the logarithms of the steps between them."""
+    return np.concatenate([steps[:1], steps[0] + np.cumsum(np.exp(steps[1:]))])
+
+
+def likelihood(par: np.ndarray, col: np.ndarray, of: np.ndarray, grades: np.ndarray, n: int, d: int, l2: float) -> tuple[float, np.ndarray]:
+    """Mean negative log likelihood with l2 on the weights, and its gradient. par: d weights, then the thresholds' parameters; entry k is feature col[k] of row of[k]."""
+    t = thresholds_of(par[d:])
+    s = np.bincount(of, par[col], n)
+    edge = np.concatenate([[-np.inf], t, [np.inf]])
+    with np.errstate(over="ignore"):
+        lo, hi = (1 / (1 + np.exp(s - edge[grades + k])) for k in (0, 1))  # P(grade < own), P(grade <= own)
+    p = np.maximum(hi - lo, 1e-12)
+    dlo, dhi = lo * (1 - lo), hi * (1 - hi)
+    ds = (dhi - dlo) / p / n
+    dt = np.zeros(len(t) + 2)
+    np.add.at(dt, grades + 1, -dhi / p / n)
+    np.add.at(dt, grades, dlo / p / n)
+    dt = dt[1:-1]
+    g = np.concatenate([np.bincount(col, ds[of], d) + l2 * par[:d], [dt.sum()], [dt[k + 1 :].sum() * np.exp(par[d + 1 + k]) for k in range(len(t) - 1)]])
+    return float(-np.log(p).mean() + 0.5 * l2 * (par[:d] ** 2).sum()), g
+
+
 def fit_sparse(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l2: float = 1e-4, steps: int = 300, rate: float = 0.08) -> Model:
     """Minimises the mean negative log likelihood with l2 by Adam on all rows; a row is an array of different buckets."""
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
@@ -118,28 +141,13 @@ def fit_sparse(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l2: fl
     m, v = np.zeros_like(par), np.zeros_like(par)
     n, d = len(rows), len(kept)
 
-    def cut(p):
-        return np.concatenate([p[d : d + 1], p[d : d + 1] + np.cumsum(np.exp(p[d + 1 :]))])
-
     for step in range(1, steps + 1):
-        t = cut(par)
-        s = np.bincount(of, par[col], n)
-        edge = np.concatenate([[-np.inf], t, [np.inf]])
-        with np.errstate(over="ignore"):
-            lo, hi = (1 / (1 + np.exp(s - edge[grades + k])) for k in (0, 1))  # P(grade < own), P(grade <= own)
-        p = np.maximum(hi - lo, 1e-12)
-        dlo, dhi = lo * (1 - lo), hi * (1 - hi)
-        ds = (dhi - dlo) / p / n
-        dt = np.zeros(n_grades + 1)
-        np.add.at(dt, grades + 1, -dhi / p / n)
-        np.add.at(dt, grades, dlo / p / n)
-        dt = dt[1:n_grades]
-        g = np.concatenate([np.bincount(col, ds[of], d) + l2 * par[:d], [dt.sum()], [dt[k + 1 :].sum() * np.exp(par[d + 1 + k]) for k in range(n_grades - 2)]])
+        _, g = likelihood(par, col, of, grades, n, d, l2)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         par = par - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     weights = np.zeros(BUCKETS, np.float32)
     weights[kept] = par[:d]
-    return Model(weights, cut(par))
+    return Model(weights, thresholds_of(par[d:]))
 
 
 def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Model:

@@ -17,7 +17,7 @@ SPACES = " \t\n\x0b\f\r"
 
 
 #: Rows of one Arrow batch: texts are long, and both sides hold several batches at once.
-BATCH = 2000
+BATCH = 1000
 
 
 def small_batches(spark: SparkSession) -> None:

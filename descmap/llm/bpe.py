@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from descmap.llm._util import quoted, room, sub_batches, table, takes_memory
 
 #: Entries that a worker keeps at most; beyond, it forgets all and learns anew.
-CACHE = 400_000
+CACHE = 300_000
 #: Words that are merged together at most.
 RUN = 50_000
 #: Positions of a rank from which its merges are made as arrays.

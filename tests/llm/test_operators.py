@@ -321,6 +321,11 @@ def test_decontaminate_removes(spark, crowded, nothing):
     out = {r.doc_id: r for r in decontam.remove(d, bench, n_chars="n_chars").collect()}
     assert set(out) == {1, 3} and "gamma" not in out[1].text and out[1].text.endswith("end") and out[1].n_chars == len(out[1].text)
     assert decontam.remove(nothing, bench).count() == 0
+    # a benchmark of several automata, each in a pass of its own, beside one of all items
+    two = bench.unionByName(spark.createDataFrame([(2, "zeta eta"), (3, "start here"), (4, "alpha beta")], bench.schema))
+    for some in (d, crowded):
+        whole, parts = (order(decontam.remove(some, two, n_chars="n_chars", max_words=m).collect()) for m in (1000, 4))
+        assert whole == parts
     empty = spark.createDataFrame([], "item_id bigint, text string")
     assert decontam.remove(crowded, empty).count() == crowded.count()
     assert decontam.remove(crowded, bench).columns == crowded.columns
@@ -437,7 +442,10 @@ def test_merkle_branches():
     some = [*TREES, *(" ".join(r.choice("ab cd. ef\n gh\n\n ij".split(" ")) for _ in range(r.randrange(60))) for _ in range(30))]
     for a in some:
         for b in some:
-            assert abs(merkle.likeness(merkle.tree(a), merkle.tree(b)) - brute_likeness(a, b)) < 1e-12
+            x, y = merkle.tree(a), merkle.tree(b)
+            assert abs(merkle.likeness(x, y) - brute_likeness(a, b)) < 1e-12
+            common, leaves = merkle.descend(x, y)
+            assert merkle.compared(x, y) == (common, len(leaves))
     t = TREES[1]
     assert merkle.descend(merkle.tree(t), merkle.tree(t)) == (len(t), [])
     assert merkle.descend(merkle.tree(t), merkle.tree(t.replace("with", "without")))[1] == [(1, 0, 0)]

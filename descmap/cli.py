@@ -9,12 +9,16 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from descmap import hypers
+from descmap.functions import kernels
 from descmap.operators import cluster, density, descriptors, fit, frames, reduce, sampling
+from descmap.operators.colours import colours
+from descmap.operators.graph import numbered
 from descmap.sources import extxyz, tables
 
 
@@ -29,6 +33,9 @@ def _parser() -> argparse.ArgumentParser:
         v.add_argument("--dm", nargs="+", default=["*"], help="descriptors: names, X* or *")
         v.add_argument("--stride", type=int, default=1)
         v.add_argument("--no-periodic", action="store_true")
+        v.add_argument("--format", default="extxyz", choices=["extxyz", "xyz"], help="of the frames")
+        v.add_argument("--use-atomic", action="store_true", help="samples are atoms, with their own descriptors")
+        v.add_argument("--species", type=int, help="atoms of this atomic number only")
         v.add_argument("--prefix", default="descmap")
         return v
 
@@ -54,7 +61,16 @@ def _parser() -> argparse.ArgumentParser:
     m.add_argument("--kernel", default="linear")
     m.add_argument("--degree", type=float, default=2.0)
     m.add_argument("--output", default="xyz", choices=["xyz", "matrix", "none", "chemiscope"])
+    m.add_argument("--peratom", action="store_true", help="atoms' own descriptors are projected as well")
+    m.add_argument("--axes", type=int, nargs=2, default=[0, 1], help="components of the points written")
+    m.add_argument("--color", help="index, a property, or a text file of numbers")
+    m.add_argument("--color-column", type=int, default=0)
+    m.add_argument("--color-from-zero", action="store_true")
+    m.add_argument("--extensive", action="store_true", help="the property is divided by the number of atoms")
+    m.add_argument("--annotate", help="text file with a tag for each sample")
+    m.add_argument("--extra-properties", help="CSV file, row by row of frames")
     c = verb("cluster")
+    c.add_argument("--kernel-matrix", help="text file of a kernel; samples are the rows of its distances")
     c.add_argument("method", choices=["fdb", "dbscan"])
     c.add_argument("--eps", type=float)
     c.add_argument("--min-samples", type=int, default=5)
@@ -86,15 +102,41 @@ def _kernel(a) -> dict:
     return {"k0": {"type": a.kernel, "d": a.degree}}
 
 
+def _read(spark: SparkSession, a) -> DataFrame:
+    return extxyz.read(spark, a.fxyz, a.stride, not a.no_periodic, a.format)
+
+
 def _samples(spark: SparkSession, a) -> tuple[DataFrame | None, DataFrame]:
-    f = extxyz.read(spark, a.fxyz, a.stride, not a.no_periodic) if a.fxyz else None
+    """Frames, if there are any, and samples; of atoms with frame_id and atom_idx."""
+    f = _read(spark, a) if a.fxyz else None
+    if getattr(a, "kernel_matrix", None):
+        return f, tables.read_matrix(spark, a.kernel_matrix).select("sample_id", F.transform("x", kernels.to_distance).alias("x"))
     if a.matrix:
         return f, tables.read_matrix(spark, a.matrix)
     if f is None:
         raise SystemExit("frames or a matrix are needed")
+    if a.use_atomic:
+        return f, numbered(frames.atomic_matrix(f, a.dm, a.species), "frame_id", "atom_idx", name="sample_id")
     return f, frames.design_matrix(f, a.dm)
 
 
+def _points(spark: SparkSession, a, f: DataFrame | None, made: DataFrame) -> None:
+    """The map's points with colour and tag, as a table."""
+    rows = made.select("sample_id", *[F.get("reduced", F.lit(k)).alias(n) for k, n in zip(a.axes, "xy", strict=True)], *[c for c in ("frame_id", "atom_idx") if c in made.columns])
+    if a.color or a.color_from_zero:
+        by = a.color
+        if by and os.path.isfile(by):
+            by = tables.read_column(spark, by, a.color_column)
+        if f is None:
+            colour = by.select("sample_id", F.col("y").alias("colour")) if isinstance(by, DataFrame) else rows.select("sample_id", F.col("sample_id").cast("double").alias("colour"))
+        else:
+            colour = colours(f, by, a.use_atomic, a.species, a.extensive, a.color_from_zero)
+        rows = rows.join(colour, ["frame_id", "atom_idx"] if "atom_idx" in colour.columns else "sample_id", "left")
+    if a.annotate:
+        rows = rows.join(tables.read_tags(spark, a.annotate), "sample_id", "left")
+    tables.write_points(rows, f"{a.prefix}-points")
+
+
 def _specs(a, f: DataFrame) -> dict:
     if a.kind == "run":
         with open(a.spec) as s:
@@ -119,12 +161,19 @@ def _specs(a, f: DataFrame) -> dict:
     return {"global": {"atomic_descriptor": inner, "reducer_function": {"r": reducer}}}
 
 
+def _acronyms(specs: dict) -> dict:
+    """The descriptor each spec makes; of global ones from atomic ones, those of the atoms."""
+    flat = {t: s for t, s in specs.items() if "type" in s} | {f"{t}/{u}": v for t, s in specs.items() for u, v in s.get("atomic_descriptor", {}).items()}
+    return {t: descriptors.acronym(s) for t, s in flat.items()}
+
+
 def _run(spark: SparkSession, a) -> DataFrame | dict:
     if a.verb == "gen_desc":
-        f = extxyz.read(spark, a.fxyz, a.stride, not a.no_periodic)
+        f = _read(spark, a)
         specs = _specs(a, f)
         out = (descriptors.compute_atomic if a.peratom else descriptors.compute_global)(f, specs)
         extxyz.write(out, f"{a.prefix}.xyz")
+        tables.write_state(spark, f"{a.prefix}-state.json", {"specs": specs, "acronyms": _acronyms(specs)})
         return out
     f, x = _samples(spark, a)
     if a.verb == "select":
@@ -135,16 +184,29 @@ def _run(spark: SparkSession, a) -> DataFrame | dict:
             extxyz.write(f.join(kept.select(F.col("sample_id").alias("frame_id")), "frame_id", "left_semi"), f"{a.prefix}.xyz")
         return kept
     if a.verb == "map":
+        if a.extra_properties and f is not None:
+            f = tables.load_properties(f, a.extra_properties)
         kinds = {"raw": "RAW", "pca": "PCA", "skpca": "SPARSE_KPCA", "umap": "UMAP", "tsne": "TSNE"}
         p = {"n_components": a.dimension, "scalecenter": a.scale, "n_sparse": a.n_sparse, "sparse_mode": a.sparse_mode, "kernel": _kernel(a)}
         spec = ({"pre": {"type": "SCALE"}} if a.scale and a.method != "pca" else {}) | {a.method: {"type": kinds[a.method], "parameter": p}}
-        made = reduce.Pipeline(spec).fit_transform(x)
+        model = reduce.Pipeline(spec)
+        made = model.fit_transform(x)
         name = f"{a.method}-d-{a.dimension}"
+        atoms = None
+        if a.peratom and f is not None and not a.use_atomic:
+            atoms = model.transform(frames.atomic_matrix(f, a.dm, a.species)).select("frame_id", "atom_idx", F.col("reduced").alias("x"))
+        elif a.use_atomic and f is not None:
+            atoms = made.select("frame_id", "atom_idx", F.col("reduced").alias("x"))
         if a.output == "matrix" or f is None and a.output != "none":
             tables.write_matrix(made, f"{a.prefix}.coord", "reduced", comment=name)
+            if atoms is not None:
+                tables.write_atomic_matrix(atoms, f"{a.prefix}.atomic-coord", comment=name)
         elif a.output in ("xyz", "chemiscope"):
-            with_map = frames.set_descriptor(f, made.select("sample_id", F.col("reduced").alias("x")), name)
+            with_map = f if a.use_atomic else frames.set_descriptor(f, made.select("sample_id", F.col("reduced").alias("x")), name)
+            with_map = with_map if atoms is None else frames.set_atomic(with_map, atoms, name)
             (extxyz.write if a.output == "xyz" else tables.chemiscope)(with_map, f"{a.prefix}.{'xyz' if a.output == 'xyz' else 'json'}")
+        if a.color or a.annotate or a.color_from_zero:
+            _points(spark, a, f, made)
         return made
     if a.verb == "cluster":
         if a.method == "dbscan":

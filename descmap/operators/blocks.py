@@ -52,7 +52,7 @@ def samples(df: DataFrame, id_col: str = "sample_id", x_col: str = "x", extra: t
     return df.where(F.col(x_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(x_col).cast("array<double>").alias("x"), *extra)
 
 
-def pair_blocks(left: DataFrame, right: DataFrame, fn: Callable[[Block, Block], pa.Table], schema: str, left_extra: tuple[str, ...] = (), right_extra: tuple[str, ...] = (), rows: int = ROWS, reach: float | None = None) -> DataFrame:
+def pair_blocks(left: DataFrame, right: DataFrame, fn: Callable[[Block, Block], pa.Table], schema: str, left_extra: tuple[str, ...] = (), right_extra: tuple[str, ...] = (), rows: int = ROWS, *, reach: float | None = None) -> DataFrame:
     """Rows that fn makes of every block of left and block of right (columns as of `samples`).
 
     reach: pairs farther apart than that don't count. Rows are then dealt to blocks by ranges of their projection on the

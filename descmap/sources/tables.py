@@ -64,6 +64,21 @@ def write_matrix(df: DataFrame, path: str, x_col: str = "x", id_col: str = "samp
     lines.coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_atomic_matrix(rows: DataFrame, path: str, x_col: str = "x", comment: str = "") -> None:
+    """Atoms' vectors (frame_id, atom_idx, x) as lines of numbers, in order of frame and atom."""
+    write_matrix(numbered(rows, "frame_id", "atom_idx", name="_place"), path, x_col, "_place", comment)
+
+
+def write_points(df: DataFrame, path: str, id_col: str = "sample_id") -> None:
+    """What a plot shows (id, coordinates, colour, tag) as CSV with a header, in order of id; one file for each task."""
+    df.orderBy(id_col).write.mode("overwrite").csv(path, header=True)
+
+
+def write_state(spark: SparkSession, path: str, state: dict) -> None:
+    """Parameters of a run as JSON; `read_state` takes it."""
+    spark.createDataFrame([(json.dumps(state, cls=NumbersEncoder, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_index(all_rows: DataFrame, kept: DataFrame, path: str, id_col: str = "sample_id") -> None:
     """A line of 1 or 0 for each row in order of id: whether it is among `kept`."""
     mask = all_rows.select(id_col).join(kept.select(id_col).distinct().withColumn("_k", F.lit(1)), id_col, "left")

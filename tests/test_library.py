@@ -452,3 +452,81 @@ def test_cli(spark, xyz, points, tmp_path):
     assert run("cluster", "dbscan", *m, "--eps", "0.6").select("cluster_label").distinct().count() >= 3
     assert run("kde", "sklearn", *m, "--bandwidth", "0.5").count() == 180
     assert run("fit", "ridge", *m, "--y", str(tmp_path / "y.txt"), "--test-ratio", "0.2")["fit"]["test"]["R2"] > 0.99
+
+
+def test_cli_atoms_colours_kernels(spark, xyz, points, tmp_path):
+    """Samples that are atoms, atoms projected with their frames, points with colours and tags, kernel files, states."""
+    out = str(tmp_path / "o")
+    run = lambda *a: cli.main([*a, "--prefix", out], spark)
+    soap = ("--cutoff", "3", "--nmax", "2", "--lmax", "2")
+    run("gen_desc", "soap", "--fxyz", f"{xyz}/*.xyz", *soap)
+    spark.read.text(f"{out}.xyz").coalesce(1).write.text(str(tmp_path / "frames"))
+    run("gen_desc", "soap", "--fxyz", str(tmp_path / "frames" / "part-*"), *soap, "--peratom")
+    state = tables.read_state(spark.read.text(f"{out}-state.json", wholetext=True).first().value)
+    assert list(state["acronyms"].values()) == ["SOAP-n2-l2-c3.0-g0.5"]
+    spark.read.text(f"{out}.xyz").coalesce(1).write.text(str(tmp_path / "both"))
+    both = str(tmp_path / "both" / "part-*")
+    dm = ("--dm", "SOAP-n2-l2-c3.0-g0.5")
+    (tmp_path / "tags.txt").write_text("\n".join(f"tag{k}" for k in range(16)))
+    atoms = run("map", "pca", "--fxyz", both, *dm, "--use-atomic", "--species", "1", "--dimension", "2", "--output", "matrix", "--color", "energy", "--annotate", str(tmp_path / "tags.txt"))
+    assert atoms.count() == 12
+    points_ = spark.read.csv(f"{out}-points", header=True, inferSchema=True).collect()
+    assert len(points_) == 12 and {round(p.colour, 6) for p in points_} == {-4.5, -0.000441} and {p.tag for p in points_} == {f"tag{k}" for k in range(12)}
+    assert spark.read.text(f"{out}.atomic-coord").where("value not like '#%'").count() == 12
+    run("map", "pca", "--fxyz", both, *dm, "--peratom", "--dimension", "2", "--output", "xyz")
+    got = extxyz.read(spark, f"{out}.xyz/part-*")
+    assert got.count() == 4 and frames.atoms(got).select(F.size(F.col("arrays")["pca-d-2"]).alias("n")).distinct().collect()[0].n == 2
+    # the kernel of three groups of points
+    _, x, _ = points
+    k = np.exp(-((x[:, None] - x[None]) ** 2).sum(-1) / 20)
+    np.savetxt(tmp_path / "k.txt", k)
+    labels = run("cluster", "dbscan", "--kernel-matrix", str(tmp_path / "k.txt"), "--eps", "2.0")
+    assert labels.where("cluster_label >= 0").select("cluster_label").distinct().count() == 3
+    (tmp_path / "plain.xyz").write_text("2\nany = text here\nO 0 0 0\nH 0 0 1\n\n1\n\nC 1 1 1\n")
+    plain = extxyz.read(spark, str(tmp_path / "plain.xyz"), kind="xyz").orderBy("frame_id").collect()
+    assert [(p.natoms, p.info["comment"]) for p in plain] == [(2, "any = text here"), (1, "")]
+    with pytest.raises(ValueError):
+        extxyz.read(spark, str(tmp_path / "plain.xyz"), kind="cif")
+    assert extxyz.count(XYZ) == 2 == extxyz.count(XYZ + "\n\n") and extxyz.count(XYZ * 3, 4) == 2
+
+
+def test_within_reach(spark, points, monkeypatch):
+    """Blocks by ranges of a projection: the same counts, clusters and densities as with all blocks, and fewer of them."""
+    df, x, _ = points
+    same = spark.createDataFrame([(i, [1.0, 1.0, 1.0]) for i in range(1000, 1080)], "sample_id bigint, x array<double>")  # one point, many rows
+    both = df.select("sample_id", "x").unionByName(same)
+    all_blocks = [cluster.dbscan(both, 0.6), density.kde(both, 0.8, "linear")]
+    want = [sorted(map(tuple, d.collect())) for d in all_blocks]
+    rows = blocks.samples(both)
+    seen = blocks.pair_blocks(rows, rows, lambda a, b: blocks.pa.table({"n": [len(a.ids) * len(b.ids)]}), "n bigint", rows=16, reach=0.6).agg(F.sum("n")).first()[0]
+    assert seen < 0.7 * 260**2
+    monkeypatch.setattr(blocks.pair_blocks, "__defaults__", ((), (), 16))
+    counts = {r.id: r.n for r in cluster.neighbour_counts(rows, 0.6).collect()}
+    v = np.array([r.x for r in rows.orderBy("id").collect()])
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(-1))
+    assert [n for _, n in sorted(counts.items())] == (d <= 0.6).sum(1).tolist()
+    got = [sorted(map(tuple, d.collect())) for d in (cluster.dbscan(both, 0.6), density.kde(both, 0.8, "linear"))]
+    assert got[0] == want[0]
+    assert [i for i, _ in got[1]] == [i for i, _ in want[1]] and np.allclose([v for _, v in got[1]], [v for _, v in want[1]])
+
+
+def test_quantiles(spark):
+    r = np.random.default_rng(2)
+    v = np.round(r.normal(size=501), 1)
+    df = spark.createDataFrame([(float(a),) for a in v] + [(None,)], "v double").repartition(5)
+    got = graph.quantiles(df, "v", [0.0, 0.05, 0.333, 0.5, 1.0])
+    assert np.allclose(got, np.quantile(v, [0.0, 0.05, 0.333, 0.5, 1.0]))
+    assert graph.quantiles(df.limit(0), "v", [0.5]) is None
+
+
+def test_solver_after_fork(spark):
+    """The driver has forked by now; solvers of more than a hundred rows must return."""
+    a = np.eye(300) * 50 + np.random.default_rng(0).random((300, 300))
+    assert np.allclose(np.linalg.inv(a) @ a, np.eye(300))
+
+
+def test_landmark_limit(spark, points, monkeypatch):
+    monkeypatch.setattr(sampling, "LANDMARKS", 20)
+    with pytest.raises(ValueError):
+        sampling.landmarks(points[0], n=30)
+    assert sampling.sparsify(points[0], "fps", 30).count() == 30

@@ -257,7 +257,8 @@ def alike_links(entries: DataFrame, texts: DataFrame, shingle: int = SHARED, lik
     keyed = entries.repartition(tasks, "hash").select("hash", F.posexplode(keys).alias("p", "b"))
     sizes = keyed.groupBy("p", "b").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     met = checkpointed(keyed.join(sizes, ["p", "b"]))
-    some = texts.join(met.select("hash").distinct(), "hash", "left_semi").dropDuplicates(["hash"])
+    # One text of each hash is chosen before the shuffle, so that copies, however many, don't meet in a task (an inner join isn't pushed below that choice).
+    some = texts.groupBy("hash").agg(F.first("t").alias("t")).join(met.select("hash").distinct(), "hash")
     held = with_fingerprint(some, "t", "set", shingle, drop_text=True, make=shingle_set, kind="binary").join(entries, "hash")
     units = _meetings(met.join(held, "hash"), ["hash", "wide", "set"], block, met)
 

@@ -105,13 +105,13 @@ def room(df: DataFrame, added: list[str], used: tuple[str, ...] = ()) -> DataFra
 BROADCAST, SALT = 200_000, 32
 
 
-def matched(rows: DataFrame, small: DataFrame, key: str, spread: str) -> DataFrame:
+def matched(rows: DataFrame, small: DataFrame, key: str, spread: str, fits: bool | None = None) -> DataFrame:
     """rows with the columns of small (short rows, one for each key), none where the key is missing.
 
-    small goes out whole up to BROADCAST rows. Beyond, its rows are copied for each of SALT parts that a key's rows are dealt to
+    small goes out whole up to BROADCAST rows, or if it is known to fit. Beyond, its rows are copied for each of SALT parts that a key's rows are dealt to
     by a hash of `spread`, so that a key with a third of all rows is spread over as many tasks.
     """
-    if small.limit(BROADCAST + 1).count() <= BROADCAST:
+    if small.limit(BROADCAST + 1).count() <= BROADCAST if fits is None else fits:
         return rows.join(F.broadcast(small), key, "left")
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALT)).cast("int")).join(copies, [key, "_salt"], "left").drop("_salt")

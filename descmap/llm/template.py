@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from descmap.llm._util import checkpointed, column, ddl, quoted, room, table
+from descmap.llm._util import checkpointed, column, ddl, matched, quoted, room, table
 
 #: Different pages, and share of a host's pages, that a class stands on at least.
 DISTINCT, SUPPORT = 3, 0.05
@@ -50,7 +50,7 @@ NEARLY_ALL, PAGES = 0.8, 5
 SHARE = 0.3
 #: Share of the text around it that a container must hold to be gone into; an article or main element; links in a slot that is left out.
 DOMINANT, ARTICLE, LINKS = 0.85, 0.5, 0.7
-#: Bytes of templates that are broadcast at most; beyond, pages are joined with them by host.
+#: Bytes of templates that are broadcast at most; beyond, they are copied for the parts that a host's pages are dealt to.
 BROADCAST = 32 << 20
 _PLAIN = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)([^>"']*+)>""")
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
@@ -390,11 +390,10 @@ def _template(host: str, candidates: dict, checks: list[dict]) -> tuple:
     return host, elements, [t for t in elements if share[t] >= DOMINANT], [t for t in elements if share[t] >= ARTICLE], links, fixed
 
 
-def _with_host(pages: DataFrame, of_host: DataFrame, columns: list[str], host: str) -> DataFrame:
-    """pages with the columns of of_host (short rows, one for each host) for their host."""
+def _with_host(pages: DataFrame, of_host: DataFrame, columns: list[str], source: str) -> DataFrame:
+    """pages (with host) with the columns of of_host (one row for each host) for their host; a host's pages are dealt by their source where of_host is large."""
     size = of_host.agg(F.sum(F.octet_length("host") + sum((8 * F.size(c) for c in columns), F.lit(64)))).first()[0] or 0
-    found = of_host.select(F.col("host").alias("_h"), *[F.col(c).alias(f"_{c}") for c in columns])
-    return pages.join(F.broadcast(found) if size <= BROADCAST else found, column(pages, host) == F.col("_h"), "left").drop("_h")
+    return matched(pages, of_host.select("host", *columns), "host", source, size <= BROADCAST)
 
 
 def host_column(url):
@@ -428,7 +427,7 @@ def templates(pages: DataFrame, url: str = "url", source: str = "html") -> DataF
                     known[name] = dict(zip(tokens, zip(kinds, classes, strict=True), strict=True))
             yield _batch(_CHECK, _checks(host, h, [known.get(name) for name in host]))
 
-    held = _with_host(both, candidates, ["tokens", "kinds", "classes"], "host").mapInArrow(check, _sql(_CHECK))
+    held = _with_host(both, candidates, ["tokens", "kinds", "classes"], "h").select("host", "h", "tokens", "kinds", "classes").mapInArrow(check, _sql(_CHECK))
     held = held.groupBy("host", "what", "a").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(5)], F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
     def made(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -500,11 +499,11 @@ def extract(pages: DataFrame, url: str = "url", source: str = "html", out: str =
     parts = _TEMPLATE.names[1:]
     found = checkpointed(templates(pages, url, source))
     # The page's own columns go along in one, so that none of their names can clash.
-    rows = pages.select(F.struct(*[column(pages, c) for c in pages.columns]).alias("p"), host_column(column(pages, url)).alias("host"))
-    rows = _with_host(rows, found, parts, "host")
+    rows = pages.select(F.struct(*[column(pages, c) for c in pages.columns]).alias("p"), F.coalesce(column(pages, source), F.lit("")).alias("h"), host_column(column(pages, url)).alias("host"))
+    rows = _with_host(rows, found, parts, "h")
     names = pages.columns
     kept = [c for c in names if c != source]
-    rows = rows.select(*[F.col("p").getField(c).alias(f"c{k}") for k, c in enumerate(kept)], F.col("p").getField(source).alias("h"), "host", *[f"_{c}" for c in parts])
+    rows = rows.select(*[F.col("p").getField(c).alias(f"c{k}") for k, c in enumerate(kept)], "h", "host", *parts)
     n = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

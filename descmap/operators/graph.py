@@ -27,6 +27,12 @@ def work_dir(spark: SparkSession, prefix: str = "work") -> str:
     return f"{shared_base(spark)}/{prefix}-{uuid.uuid4().hex}"
 
 
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Removes a folder that `work_dir` named, in whatever store it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df with its lineage cut by files in the shared folder."""
     shared_base(df.sparkSession)

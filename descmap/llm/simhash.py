@@ -251,15 +251,18 @@ def smallest_alike(ids: np.ndarray, wide: np.ndarray, sets: list[np.ndarray], li
 
 
 def alike_links(entries: DataFrame, texts: DataFrame, shingle: int = SHARED, likeness: float = LIKENESS, block: int = BLOCK_WIDE) -> DataFrame:
-    """(fp, other): edges between texts of entries (hash, wide) that have the components of all links; texts: (hash, t), each hash at least once."""
+    """(fp, other): edges between texts of entries (hash, wide, and the id of a row that has the text) that have the components of all links; texts: (id, hash, t)."""
     tasks = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), entries.count() // KEYED)
     keys = F.array(*[F.substring("wide", k + 1, KEY) for k in range(0, WIDE, KEY)])
     keyed = entries.repartition(tasks, "hash").select("hash", F.posexplode(keys).alias("p", "b"))
     sizes = keyed.groupBy("p", "b").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     met = checkpointed(keyed.join(sizes, ["p", "b"]))
-    # One text of each hash is chosen before the shuffle, so that copies, however many, don't meet in a task (an inner join isn't pushed below that choice).
-    some = texts.groupBy("hash").agg(F.first("t").alias("t")).join(met.select("hash").distinct(), "hash")
-    held = with_fingerprint(some, "t", "set", shingle, drop_text=True, make=shingle_set, kind="binary").join(entries, "hash")
+    # Of copies the row of smallest id gives the text: rows are dealt by id and hash, so copies, however many, don't meet in a task.
+    wanted = entries.join(met.select("hash").distinct(), "hash").select(F.col("hash").alias("_hash"), F.col("id").alias("_id"))
+    some = texts.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))).select("hash", "t")
+    # rows that repeat both id and text are left once
+    sets = with_fingerprint(some, "t", "set", shingle, drop_text=True, make=shingle_set, kind="binary").dropDuplicates(["hash"])
+    held = sets.join(entries.drop("id"), "hash")
     units = _meetings(met.join(held, "hash"), ["hash", "wide", "set"], block, met)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +312,7 @@ def alike(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle:
     some = _hashed(docs, id_col, text)
     rows = checkpointed(with_fingerprint(some, "t", "wide", shingle, drop_text=True, make=wide_fingerprint, kind="binary"))
     by_hash = checkpointed(rows.groupBy("hash").agg(_least().alias("least"), F.first("wide").alias("wide")))
-    edges = alike_links(by_hash.select("hash", "wide"), some.select("hash", "t"), shingle, likeness)
+    edges = alike_links(by_hash.select("hash", "wide", F.col("least.id").alias("id")), some, shingle, likeness)
     return _carried(rows.select("id", "hash", F.col("hash").alias("fp")), by_hash.select(F.col("hash").alias("fp"), "least"), edges)
 
 

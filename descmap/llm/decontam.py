@@ -329,3 +329,18 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
         (F.size("hit_spans") > 0).alias("contaminated"),
     )
+
+
+def op6_sql() -> str:
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    n = f"least({WINDOW}, len(w))"
+    return f"""
+    WITH d AS (SELECT doc_id, {words} AS w FROM documents),
+    i AS (SELECT item_id::VARCHAR AS item, {words} AS w FROM benchmark),
+    iw AS (SELECT DISTINCT item, {n} AS n, array_to_string(w[k : k + {n} - 1], ' ') AS win FROM i, unnest(range(1, len(w) - {n} + 2)) t(k) WHERE len(w) > 0),
+    dw AS (SELECT doc_id, n, k, array_to_string(w[k : k + n - 1], ' ') AS win FROM d, (SELECT DISTINCT n FROM iw) l, unnest(range(1, len(w) - n + 2)) t(k)),
+    hit AS (SELECT DISTINCT doc_id, n, k, item FROM dw JOIN iw USING (win, n)),
+    cov AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, n, k FROM hit), unnest(range(k, k + n)) t(p) GROUP BY doc_id),
+    its AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS s FROM hit GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)"""

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_hosts": hosts.op4_sql()}
+    return {"op4_hosts": hosts.op4_sql(), "op5_warc": warc.op5_sql(), "op6_decontaminate": decontam.op6_sql(), "op8_substring": substring.op8_sql()}

@@ -344,3 +344,14 @@ def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document, words removed, and the digest of what is left."""
     left = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), unchanged=False)
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op8_sql() -> str:
+    return rf"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    win AS (SELECT doc_id, k, array_to_string(w[k : k + {WINDOW - 1}], ' ') AS win FROM d, unnest(range(1, len(w) - {WINDOW - 2})) t(k)),
+    again AS (SELECT doc_id, k FROM win QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, k) > 1),
+    gone AS (SELECT DISTINCT doc_id, p FROM again, unnest(range(k, k + {WINDOW})) t(p)),
+    words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+    kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS s FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""

@@ -392,3 +392,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     caps = look_up(spark, f"{base}/index", pages.select("url", F.col("page_id").alias("id")))
     got = read_records(spark, f"{base}/archive", caps)
     return got.select(F.col("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
+
+
+def op5_sql() -> str:
+    digit = f"substr('{_BASE32}', ((('0x' || substr(x, (i // 4 * 5 + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)"
+    return f"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+    t AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+    SELECT page_id, payload_bytes::BIGINT AS payload_bytes, array_to_string(list_transform(range(32), lambda i: {digit}), '') AS payload_digest,
+      CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM t"""

@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from descmap.llm._util import checkpointed, column, quoted, room, table, takes_memory
+from descmap.llm.substring import pack, unpack
 
 SHINGLE, BITS = 4, 4
 #: Entries of a posting list that one task compares at once.
@@ -97,8 +98,8 @@ def wide_fingerprint(text: str | None, shingle: int = SHARED) -> bytes:
 
 
 def shingle_set(text: str | None, shingle: int = SHARED) -> bytes:
-    """The different shingles' 32-bit hashes in order; one zero without words."""
-    return np.unique(np.array(_shingles(text, shingle) or [0], np.uint64).astype("<u4")).tobytes()
+    """The different shingles' 32-bit hashes in order, packed; one zero without words."""
+    return pack(np.unique(np.array(_shingles(text, shingle) or [0], np.uint64).astype("<u4")).astype(np.uint64))
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp", shingle: int = SHINGLE, drop_text: bool = False, make=fingerprint, kind: str = "bigint") -> DataFrame:
@@ -273,7 +274,7 @@ def alike_links(entries: DataFrame, texts: DataFrame, shingle: int = SHARED, lik
             for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 values = ids[x:y]
                 rows = np.frombuffer(b"".join(wide[x:y].to_pylist()), np.uint8).reshape(-1, WIDE)
-                least = smallest_alike(values, rows, [np.frombuffer(v, "<u4") for v in sets[x:y].to_pylist()], likeness)
+                least = smallest_alike(values, rows, [unpack(v).astype(np.uint32) for v in sets[x:y].to_pylist()], likeness)
                 moved = least != values
                 if moved.any():
                     yield pa.RecordBatch.from_arrays([pa.array(values[moved]), pa.array(least[moved])], names=["fp", "other"])

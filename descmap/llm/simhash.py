@@ -14,12 +14,14 @@ their own, so no task holds an unbounded list. What leaves a task is not pairs b
 entry's smallest connected entry in it: as many rows as entries, with the same components.
 
 `alike` has the components of another likeness, a share of common shingles (Jaccard) of
-`likeness` at least, which 64 bits can't tell. Its fingerprint has WIDE bytes, each that of
-the smallest hash of the text's shingles under an order of its own, so two texts agree in
-about as large a share of the bytes as of their shingles. The index is on KEY bytes at
-fixed positions (at a likeness of 0.8 all keys differ for 1 pair in 10,000), pairs that
-agree in SAME bytes are kept, and their sets of shingles (as 32-bit hashes) compared. The
-sets go only to where texts meet.
+`likeness` at least, which 64 bits can't tell. Its fingerprint is a SimHash of WIDE bytes, by
+the votes of the text's different shingles. At a likeness of 0.8 two texts differ in 15 % of the bits and
+agree in 27 % of the bytes at the same position. The inverted index posts a text under its
+KEY bytes at every KEY positions, so who meets shares as many. They are compared in NEAR
+of the first bits, and whom these lead to (a group, found as components below) meets again, once and with sets
+of shingles: the positional bytes that a pair shares are tallied, pairs below SAME are dropped, and
+the sets (as 32-bit hashes) of the rest compared. At a likeness of just 0.8, 1 pair in 13,000 shares no key,
+differs in more bits or has a lower tally; above it fewer.
 
 Components are found over different fingerprints by passing on the smallest
 neighbour and jumping along (checkpointed each round), then carried to the documents.
@@ -50,15 +52,20 @@ SHINGLE, BITS = 4, 4
 BLOCK = 32768
 #: Fingerprints that one task makes the keys of.
 KEYED = 20_000
-#: Of the stage on shares of common shingles: words of a shingle, least share; bytes of the fingerprint, of a key, equal ones of a pair at least; entries compared at once.
+#: Of the stage on shares of common shingles: words of a shingle, least share; bytes of the fingerprint, of a key, votes of a shingle for each bit.
 SHARED, LIKENESS = 5, 0.8
-WIDE, KEY, SAME = 72, 4, 44
+WIDE, KEY, VOTES = 256, 2, 2
+#: Bytes that are compared where texts meet, bits in which they may differ; equal bytes of all that a pair has at least.
+CHECK, NEAR, SAME = 16, 38, 38
+#: Entries of a longer list are compared breadth-first.
+SHORT = 256
 BLOCK_WIDE = 2048
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _WEIGHTS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
-_ORDERS = np.random.default_rng(7).integers(0, 2**63, (2, WIDE, 1)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+#: Odd numbers that make the words of the wide fingerprint's votes from a shingle's hash.
+_WORDS = np.random.default_rng(7).integers(0, 2**63, VOTES * WIDE // 8).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _nothing() -> None:
@@ -86,15 +93,23 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int((_WEIGHTS * (2 * counts > n)).sum(dtype=np.uint64).view(np.int64))
 
 
+def votes(hashes: np.ndarray) -> np.ndarray:
+    """For each hash (unsigned) VOTES rows of 8 * WIDE bits."""
+    x = (hashes ^ (hashes >> np.uint64(31)))[:, None] * _WORDS
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    return np.unpackbits(x.astype("<u8", copy=False).view(np.uint8), axis=1).reshape(-1, 8 * WIDE)
+
+
 def wide_fingerprint(text: str | None, shingle: int = SHARED) -> bytes:
-    """A byte of the smallest hash of the shingles under each of WIDE orders; zeros without words."""
-    hashes = np.array(_shingles(text, shingle), np.uint64)
-    if not len(hashes):
-        return bytes(WIDE)
-    least = np.full(WIDE, 2**64 - 1, np.uint64)
-    for k in range(0, len(hashes), 2000):
-        least = np.minimum(least, (_ORDERS[0] * hashes[k : k + 2000] + _ORDERS[1]).min(axis=1))
-    return (least >> np.uint64(20)).astype(np.uint8).tobytes()
+    """A bit is set if over half the votes of the different shingles are for it. Two votes each: sets of few shingles would differ by ties."""
+    hashes = np.unique(np.array(_shingles(text, shingle), np.uint64))
+    total = np.zeros(8 * WIDE, np.int64)
+    step = 255 // VOTES
+    for k in range(0, len(hashes), step):
+        total += votes(hashes[k : k + step]).sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * total > VOTES * len(hashes)).tobytes()
 
 
 def shingle_set(text: str | None, shingle: int = SHARED) -> bytes:
@@ -226,6 +241,45 @@ def links(fps: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     return units.mapInArrow(run, "fp bigint, other bigint").distinct()
 
 
+def smallest_near(ids: np.ndarray, check: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each id of consecutive lists (of these sizes) the smallest one in its list that pairs of at most NEAR different bits of check (unsigned words) lead to."""
+    ends = np.cumsum(sizes)
+    least, label = ids.copy(), np.arange(len(ids))
+    for x, y in zip((ends - sizes)[sizes > SHORT].tolist(), ends[sizes > SHORT].tolist(), strict=True):
+        left = x + np.argsort(ids[x:y])
+        while len(left):
+            root, frontier, left = left[0], left[:1], left[1:]
+            while len(frontier) and len(left):
+                step = max(1, 1_000_000 // len(left))
+                now, frontier = frontier[:step], frontier[step:]
+                hit = (np.bitwise_count(check[now][:, None] ^ check[left][None]).sum(axis=2, dtype=np.uint16) <= NEAR).any(axis=0)
+                if hit.any():
+                    least[left[hit]] = ids[root]
+                    frontier, left = np.concatenate([frontier, left[hit]]), left[~hit]
+    # Short lists all at once: each entry with the next of its list, with the one after that ...
+    end = np.where(np.repeat(sizes, sizes) > SHORT, 0, np.repeat(ends, sizes))
+    at, d, found, n = np.flatnonzero(label + 1 < end), 1, [], 0
+    while len(at):
+        one = at[label[at] != label[at + d]]
+        one = one[np.bitwise_count(check[one] ^ check[one + d]).sum(axis=1, dtype=np.uint16) <= NEAR]
+        found.append((one, one + d))
+        n += len(one)
+        d += 1
+        at = at[at + d < end[at]]
+        if n > 500_000 or not len(at):
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            found, n = [], 0
+            while (label[a] != label[b]).any():
+                low = np.minimum(label[a], label[b])
+                # labels that meet are lowered as well, so that whole components move
+                for x in (label[a], label[b], a, b):
+                    np.minimum.at(label, x, low)
+                label = label[label]
+    lowest = ids.copy()
+    np.minimum.at(lowest, label, ids)
+    return np.where(end > 0, lowest[label], least)
+
+
 def smallest_alike(ids: np.ndarray, wide: np.ndarray, sets: list[np.ndarray], likeness: float = LIKENESS) -> np.ndarray:
     """For each id the smallest one that links of at least `likeness` lead to. Breadth-first, like `smallest_linked`."""
     least, left = ids.copy(), np.argsort(ids)
@@ -251,20 +305,50 @@ def smallest_alike(ids: np.ndarray, wide: np.ndarray, sets: list[np.ndarray], li
     return least
 
 
+def _moved(ids: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
+    moved = least != ids
+    return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(least[moved])], names=["fp", "other"])
+
+
+def posted_wide(entries: DataFrame) -> DataFrame:
+    """The inverted index: (hash, c0, c1, p, b) for every KEY positions p of wide, with its bytes b there and, in c0 and c1, its first CHECK bytes."""
+    tasks = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), entries.count() // KEYED)
+    n = WIDE // KEY
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 200):
+                part = b.slice(k, 200)
+                wide = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, WIDE)
+                check = np.ascontiguousarray(wide[:, :CHECK]).view("<i8")
+                cols = (np.repeat(part.column(0).to_numpy(), n), np.repeat(check[:, 0], n), np.repeat(check[:, 1], n), np.tile(np.arange(n, dtype=np.int32), len(wide)), wide.view("<u2").astype(np.int32).ravel())
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["hash", "c0", "c1", "p", "b"])
+
+    return entries.select("hash", "wide").repartition(tasks, "hash").mapInArrow(run, "hash bigint, c0 bigint, c1 bigint, p int, b int")
+
+
+def near_links(entries: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(fp, other): edges that have the components of all pairs of entries (hash, wide) that share a key and differ in at most NEAR of their first bits."""
+    units = _meetings(posted_wide(entries), ["hash", "c0", "c1"], block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            col = b.column(0)
+            ids, *check = (x.to_numpy(zero_copy_only=False) for x in col.flatten().flatten())
+            yield _moved(ids, smallest_near(ids, np.stack(check, axis=1).view(np.uint64), col.value_lengths().to_numpy().astype(np.int64)))
+
+    return units.mapInArrow(run, "fp bigint, other bigint").distinct()
+
+
 def alike_links(entries: DataFrame, texts: DataFrame, shingle: int = SHARED, likeness: float = LIKENESS, block: int = BLOCK_WIDE) -> DataFrame:
     """(fp, other): edges between texts of entries (hash, wide, and the id of a row that has the text) that have the components of all links; texts: (id, hash, t)."""
-    tasks = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), entries.count() // KEYED)
-    keys = F.array(*[F.substring("wide", k + 1, KEY) for k in range(0, WIDE, KEY)])
-    keyed = entries.repartition(tasks, "hash").select("hash", F.posexplode(keys).alias("p", "b"))
-    sizes = keyed.groupBy("p", "b").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    met = checkpointed(keyed.join(sizes, ["p", "b"]))
+    groups = components(near_links(entries)).select(F.col("fp").alias("hash"), F.col("root").alias("p"), F.lit(0).alias("b"))
     # Of copies the row of smallest id gives the text: rows are dealt by id and hash, so copies, however many, don't meet in a task.
-    wanted = entries.join(met.select("hash").distinct(), "hash").select(F.col("hash").alias("_hash"), F.col("id").alias("_id"))
-    some = texts.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))).select("hash", "t")
+    wanted = entries.join(groups, "hash").select(F.col("hash").alias("_hash"), F.col("id").alias("_id"), "wide", "p", "b")
+    some = texts.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))).select("hash", "t", "wide", "p", "b")
     # rows that repeat both id and text are left once
-    sets = with_fingerprint(some, "t", "set", shingle, drop_text=True, make=shingle_set, kind="binary").dropDuplicates(["hash"])
-    held = sets.join(entries.drop("id"), "hash")
-    units = _meetings(met.join(held, "hash"), ["hash", "wide", "set"], block, met)
+    held = with_fingerprint(some, "t", "set", shingle, drop_text=True, make=shingle_set, kind="binary").dropDuplicates(["hash"])
+    units = _meetings(held, ["hash", "wide", "set"], block, groups)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -275,9 +359,8 @@ def alike_links(entries: DataFrame, texts: DataFrame, shingle: int = SHARED, lik
                 values = ids[x:y]
                 rows = np.frombuffer(b"".join(wide[x:y].to_pylist()), np.uint8).reshape(-1, WIDE)
                 least = smallest_alike(values, rows, [unpack(v).astype(np.uint32) for v in sets[x:y].to_pylist()], likeness)
-                moved = least != values
-                if moved.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(values[moved]), pa.array(least[moved])], names=["fp", "other"])
+                if (least != values).any():
+                    yield _moved(values, least)
 
     return units.mapInArrow(run, "fp bigint, other bigint").distinct()
 

@@ -6,6 +6,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -286,6 +287,40 @@ def test_alike(spark, nothing, block, monkeypatch):
     assert simhash.alike(nothing).count() == 0
 
 
+def test_wide_fingerprint_is_a_simhash():
+    """Each bit by the majority of votes; pairs at the least likeness (nested or not, few shingles or many) share a key and pass both filters."""
+    words = [f"w{k % 37}" for k in range(300)]
+    hashes = {xxhash.xxh64_intdigest(" ".join(words[k : k + 5]), 42) for k in range(296)}
+    total = simhash.votes(np.array(sorted(hashes), np.uint64)).sum(axis=0, dtype=int)
+    assert np.unpackbits(np.frombuffer(simhash.wide_fingerprint(" ".join(words)), np.uint8)).tolist() == (2 * total > simhash.VOTES * len(hashes)).tolist()
+    r = np.random.default_rng(5)
+    for a, b, c in [(4, 0, 1), (8, 0, 2), (40, 0, 10), (8, 1, 1), (72, 9, 9)] * 30:
+        h = r.integers(0, 2**64, a + b + c, dtype=np.uint64)
+        x, y = (np.packbits(2 * simhash.votes(s).sum(axis=0, dtype=int) > simhash.VOTES * len(s)) for s in (h[: a + b], np.concatenate([h[:a], h[a + b :]])))
+        assert (x.reshape(-1, simhash.KEY) == y.reshape(-1, simhash.KEY)).all(axis=1).any() and (x == y).sum() >= simhash.SAME
+        assert np.bitwise_count(x[: simhash.CHECK] ^ y[: simhash.CHECK]).sum() <= simhash.NEAR
+
+
+@pytest.mark.parametrize("short", [simhash.SHORT, 3])
+def test_smallest_near(short, monkeypatch):
+    """Each list's components of pairs within NEAR bits, in short lists and long ones, against brute force."""
+    monkeypatch.setattr(simhash, "SHORT", short)
+    r = np.random.default_rng(2)
+    sizes = np.array([2, 1, 300, 257, 40])
+    ids = r.permutation(5000)[: sizes.sum()].astype(np.int64)
+    check = r.integers(0, 2**64, (40, 2), dtype=np.uint64)[r.integers(0, 40, len(ids))]
+    for row in check:
+        for k in r.integers(0, 128, r.integers(0, 30)).tolist():
+            row[k // 64] ^= np.uint64(1 << k % 64)
+    want, moved = ids.copy(), True
+    at = np.repeat(np.arange(len(sizes)), sizes)
+    near = (np.bitwise_count(check[:, None] ^ check[None]).sum(axis=2) <= simhash.NEAR) & (at[:, None] == at[None])
+    while moved:
+        new = np.where(near, want[None], 2**62).min(axis=1)
+        moved, want = (new != want).any(), new
+    assert simhash.smallest_near(ids, check, sizes).tolist() == want.tolist() and (want != ids).sum() > 100
+
+
 # --- decontamination
 
 

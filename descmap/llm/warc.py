@@ -23,6 +23,7 @@ import base64
 import bisect
 import gzip
 import hashlib
+import io
 import zlib
 from collections.abc import Iterator
 
@@ -33,10 +34,12 @@ from pyspark.sql import functions as F
 
 from descmap.llm._util import checkpointed, column, matched, shared_dir, table
 
-#: Bytes of one archive file, about (a file is read as a whole when the index is made).
+#: Bytes of one archive file, about (a store that Spark alone can read has it read as a whole).
 FILE_BYTES = 64_000_000
 #: Blocks whose edges a directory that is held and broadcast has at most (some 200 bytes each).
 DIRECTORY = 1_000_000
+#: Bytes of an archive that are read at once.
+PIECE = 16384
 #: Captures of one index block.
 BLOCK = 1000
 DATE = "2026-01-01T00:00:00Z"
@@ -125,20 +128,23 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(rest[:end].lower().split("."))) + ")" + (rest[end:] or "/")
 
 
-def members(content: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length, bytes decompressed) of each gzip member that has any."""
-    view, at = memoryview(content), 0
-    while at < len(content):
-        d, parts, end = zlib.decompressobj(31), [], at
+def members(source) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, bytes decompressed) of each gzip member that has any, of bytes or of a file that is read in pieces."""
+    f = io.BytesIO(source) if isinstance(source, bytes) else source
+    at, held = 0, f.read(PIECE)
+    while held:
+        d, parts, size = zlib.decompressobj(31), [], 0
         while not d.eof:
-            if end >= len(content):
+            held = held or f.read(PIECE)
+            if not held:
                 raise ValueError(f"the member at byte {at} doesn't end")
-            parts.append(d.decompress(view[end : end + 16384]))
-            end = min(end + 16384, len(content))
-        end -= len(d.unused_data)
+            parts.append(d.decompress(held))
+            size += len(held) - len(d.unused_data)
+            held = d.unused_data
         if any(parts):
-            yield at, end - at, b"".join(parts)
-        at = end
+            yield at, size, b"".join(parts)
+        at += size
+        held = held or f.read(PIECE)
 
 
 def parse(record: bytes) -> tuple[dict[str, str], bytes]:
@@ -166,19 +172,34 @@ _CAPTURE = "key string, id bigint, digest string, bytes bigint, kind string, ref
 
 def captures(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record of the archives below path: what its headers say, and where it stands."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    try:
+        open_store(path)
+        files = files.select("path")
+    except (pa.ArrowInvalid, OSError, NotImplementedError):
+        # A store that Spark alone can read has whole files (FILE_BYTES each).
+        files = files.select("path", "content")
+    names, kinds = [x.split()[0] for x in _CAPTURE.split(", ")], (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                made = []
-                for at, size, record in members(content.as_py()):
-                    f, block = parse(record)
-                    ids = [int(f[k]) if k in f else None for k in ("x-page-id", "x-refers-to-page-id")]
-                    made.append((url_key(f.get("warc-target-uri")), ids[0], f["warc-payload-digest"].removeprefix("sha1:"), payload_of(block)[0], f["warc-type"], ids[1], "/".join(name.split("/")[-2:]), at, size))
+            for k, whole in enumerate(b.column(0).to_pylist()):
+                name, made = "/".join(whole.split("/")[-2:]), []
+                if b.num_columns > 1:
+                    source = pa.BufferReader(b.column(1)[k].as_buffer())
+                else:
+                    fs, base = open_store(path)
+                    source = fs.open_input_stream(f"{base}/{name}", buffer_size=PIECE * 16)
+                with source:
+                    for at, size, record in members(source):
+                        f, block = parse(record)
+                        ids = [int(f[x]) if x in f else None for x in ("x-page-id", "x-refers-to-page-id")]
+                        made.append((url_key(f.get("warc-target-uri")), ids[0], f["warc-payload-digest"].removeprefix("sha1:"), payload_of(block)[0], f["warc-type"], ids[1], name, at, size))
+                        if len(made) >= 10_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)], names=names)
+                            made = []
                 if made:
-                    kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _CAPTURE.split(", ")])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)], names=names)
 
     return files.mapInArrow(run, _CAPTURE)
 
@@ -300,9 +321,9 @@ def look_up(spark: SparkSession, index: str, wanted: DataFrame) -> DataFrame:
     return queries.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(search, _CAPTURE)
 
 
-def read_records(spark: SparkSession, archive: str, caps: DataFrame) -> DataFrame:
-    """id, digest, kind, refers_to, bytes (of the whole payload, as the record says) and payload (a revisit's: empty) of captures, read from their byte ranges; payloads are held against their digests."""
-    made = pa.schema([("id", pa.int64()), ("digest", pa.string()), ("kind", pa.string()), ("refers_to", pa.int64()), ("bytes", pa.int64()), ("payload", pa.binary())])
+def read_records(spark: SparkSession, archive: str, caps: DataFrame, payload: bool = True) -> DataFrame:
+    """id, digest, kind, refers_to, bytes (of the whole payload, as the record says) and payload (a revisit's: empty) of captures, read from their byte ranges; payloads are held against their digests. Without payload they are read and held against these as well, but stay in the worker."""
+    made = pa.schema([("id", pa.int64()), ("digest", pa.string()), ("kind", pa.string()), ("refers_to", pa.int64()), ("bytes", pa.int64()), *([("payload", pa.binary())] if payload else [])])
 
     def parsed(members: list[bytes]) -> list[tuple]:
         rows = []
@@ -313,7 +334,7 @@ def read_records(spark: SparkSession, archive: str, caps: DataFrame) -> DataFram
             if f["warc-type"] == "response" and (len(body) != n or base64.b32encode(hashlib.sha1(body).digest()).decode() != digest):
                 raise ValueError(f"page {f.get('x-page-id')}: the payload doesn't match its digest")
             ids = [int(f[k]) if k in f else None for k in ("x-page-id", "x-refers-to-page-id")]
-            rows.append((ids[0], digest, f["warc-type"], ids[1], n, body))
+            rows.append((ids[0], digest, f["warc-type"], ids[1], n, *([body] if payload else [])))
         return rows
 
     def table_of(rows: list[tuple]) -> list[pa.Array]:
@@ -345,7 +366,7 @@ def read_records(spark: SparkSession, archive: str, caps: DataFrame) -> DataFram
         content = memoryview(right.column("content")[0].as_buffer()) if right.num_rows else b""
         return pa.Table.from_arrays(table_of(parsed([bytes(content[at : at + n]) for at, n in zip(left.column("at").to_pylist(), left.column("size").to_pylist(), strict=True)])), schema=made)
 
-    ddl = "id bigint, digest string, kind string, refers_to bigint, bytes bigint, payload binary"
+    ddl = "id bigint, digest string, kind string, refers_to bigint, bytes bigint" + ", payload binary" * payload
     places = caps.select("file", "at", "size")
     try:
         open_store(archive)
@@ -390,7 +411,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     write(records(pages), f"{base}/archive")
     build_index(captures(spark, f"{base}/archive"), f"{base}/index")
     caps = look_up(spark, f"{base}/index", pages.select("url", F.col("page_id").alias("id")))
-    got = read_records(spark, f"{base}/archive", caps)
+    got = read_records(spark, f"{base}/archive", caps, payload=False)
     return got.select(F.col("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
 
 

@@ -724,3 +724,22 @@ def test_warc(spark, tmp_path, monkeypatch):
     assert small == 0
     warc.write(warc.records(pages.limit(0)), f"file://{tmp_path}/e")
     assert warc.captures(spark, f"file://{tmp_path}/e").count() == 0
+
+
+def test_warc_files_stay_out_of_the_jvm(spark, tmp_path, monkeypatch):
+    """The index is made from files read in pieces, as well as from whole ones; records come without payloads where these aren't wanted, and are still held against their digests."""
+    from pyspark.sql import functions as F
+
+    rows = [(k, f"http://h.org/{k}", f"text {k % 7} " * (k * 40)) for k in range(30)]
+    warc.write(warc.records(spark.createDataFrame(rows, "page_id bigint, url string, html string")), f"file://{tmp_path}/a", file_bytes=700)
+    caps = warc.captures(spark, f"file://{tmp_path}/a")
+    assert "content:binary" not in caps._jdf.queryExecution().executedPlan().toString()
+    read = warc.read_records(spark, f"file://{tmp_path}/a", caps)
+    short = warc.read_records(spark, f"file://{tmp_path}/a", caps, payload=False)
+    assert order(short.collect()) == order(read.drop("payload").collect()) and short.count() == 30
+    warc.write(warc.records(spark.createDataFrame(rows, "page_id bigint, url string, html string")).withColumn("digest", F.lit("0" * 40)), f"file://{tmp_path}/b")
+    with pytest.raises(Exception, match="match its digest"):
+        warc.read_records(spark, f"file://{tmp_path}/b", warc.captures(spark, f"file://{tmp_path}/b"), payload=False).collect()
+    want = order(caps.collect())
+    monkeypatch.setattr(warc, "open_store", lambda path: (_ for _ in ()).throw(OSError(path)))
+    assert order(warc.captures(spark, f"file://{tmp_path}/a").collect()) == want

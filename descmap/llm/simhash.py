@@ -23,8 +23,9 @@ of shingles: the positional bytes that a pair shares are tallied, pairs below SA
 the sets (as 32-bit hashes) of the rest compared. At a likeness of just 0.8, 1 pair in 13,000 shares no key,
 differs in more bits or has a lower tally; above it fewer.
 
-Components are found over different fingerprints by passing on the smallest
-neighbour and jumping along (checkpointed each round), then carried to the documents.
+An entry of a group has an edge from nearly every list it is in, all in the same component: edges are contracted to
+about one a vertex first. Components are then found over different fingerprints by passing on the smallest
+neighbour and jumping along (checkpointed each round), and carried to the documents.
 
 Words are runs without ASCII white space, A-Z lower-cased. Null and empty texts have the
 fingerprint zero and are linked like any other; texts with fewer words than a shingle are
@@ -41,7 +42,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from descmap.llm._util import checkpointed, column, quoted, room, table, takes_memory
@@ -365,13 +366,31 @@ def alike_links(entries: DataFrame, texts: DataFrame, shingle: int = SHARED, lik
     return units.mapInArrow(run, "fp bigint, other bigint").distinct()
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (fp, other), other never above fp, with the vertices and components of edges, fewer where vertices have many.
+
+    A vertex keeps the edge to its smallest neighbour below it, and its other neighbours below get theirs to that one:
+    each edge becomes one, most of them equal. Rounds end when they leave over half of the edges.
+    """
+    now = checkpointed(edges.select(F.greatest("fp", "other").alias("fp"), F.least("fp", "other").alias("other")))
+    left = now.count()
+    while left:
+        low = now.select("fp", "other", F.min("other").over(Window.partitionBy("fp")).alias("low"))
+        now = checkpointed(low.select(F.when(F.col("other") == F.col("low"), F.col("fp")).otherwise(F.col("other")).alias("fp"), F.col("low").alias("other")).distinct())
+        was, left = left, now.count()
+        if 2 * left > was:
+            break
+    return now
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(fp, root): each vertex of the edges (fp, other) with the smallest vertex it is connected to.
 
-    A round takes the smallest root among a vertex and its neighbours, then that root's
+    A round takes the smallest root among a vertex and its neighbours in the contracted edges, then that root's
     own root. Rounds are written to the shared checkpoint folder.
     """
-    both = checkpointed(edges.select("fp", "other").unionByName(edges.select(F.col("other").alias("fp"), F.col("fp").alias("other"))))
+    few = contracted(edges)
+    both = checkpointed(few.unionByName(few.select(F.col("other").alias("fp"), F.col("fp").alias("other"))))
     roots = checkpointed(both.groupBy("fp").agg(F.least("fp", F.min("other")).alias("root")))
     while True:
         near = both.join(roots.select(F.col("fp").alias("other"), F.col("root").alias("r")), "other").groupBy("fp").agg(F.min("r").alias("r"))

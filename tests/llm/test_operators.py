@@ -321,6 +321,35 @@ def test_smallest_near(short, monkeypatch):
     assert simhash.smallest_near(ids, check, sizes).tolist() == want.tolist() and (want != ids).sum() > 100
 
 
+def test_components_of_dense_groups(spark, monkeypatch):
+    """Groups whose entries meet in nearly every list, alone and in chains: the rounds join about one edge a vertex; components are those of all edges."""
+    r = np.random.default_rng(9)
+    rows = []
+    for base in r.integers(0, 256, (2, simhash.WIDE), dtype=np.uint8):
+        flips = np.packbits(r.random((150, 8 * simhash.WIDE)) < 0.08, axis=1)
+        rows += [(int(h), bytes(x)) for h, x in zip(r.integers(-(2**62), 2**62, 150), base ^ flips, strict=True)]
+    edges = simhash.near_links(spark.createDataFrame(rows, "hash bigint, wide binary"))
+    chain = [(k, k + 1) for k in range(2**62, 2**62 + 20)]
+    pairs = [(x.fp, x.other) for x in edges.collect()] + chain + [(b, a) for a, b in chain[:5]]
+    root = {v: v for e in pairs for v in e}
+    assert len(pairs) > 8 * len(root)
+    moved = True
+    while moved:
+        moved = False
+        for a, b in pairs:
+            if root[a] != root[b]:
+                root[a] = root[b] = min(root[a], root[b])
+                moved = True
+    written, write = [], simhash.checkpointed
+    monkeypatch.setattr(simhash, "checkpointed", lambda df: written.append(write(df)) or written[-1])
+    got = simhash.components(spark.createDataFrame(pairs, "fp bigint, other bigint")).collect()
+    assert order(got) == order(root.items()) and len(set(root.values())) == 3
+    # of the tables of edges the last is what the rounds join: every edge in both directions
+    joined = [df for df in written if df.columns == ["fp", "other"]][-1].count()
+    assert joined <= 4 * len(root)
+    assert simhash.components(edges.limit(0)).count() == 0
+
+
 # --- decontamination
 
 

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from descmap.functions import kernels
-from descmap.operators.blocks import gram, local, map_matrix
+from descmap.operators.blocks import gram, local, map_matrix, to_matrix
 from descmap.operators.graph import counted
 from descmap.operators.reduce import Scale
 from descmap.operators.sampling import draw, exponential_split, landmarks, random_split, sparsify
@@ -43,11 +46,14 @@ class Ridge:
 
     def fit(self, df: DataFrame, x_col: str = "x", y_col: str = "y") -> Ridge:
         rows = df.where(F.col(y_col).isNotNull()).select(F.concat(F.col(x_col).cast("array<double>"), F.array(F.col(y_col).cast("double"))).alias("x"))
-        c = gram(rows).outer
-        d = len(c) - 1
-        self.weights = np.linalg.solve(c[:d, :d] + self.sigma * np.eye(d), c[:d, d])
+        self.weights = self.solved(gram(rows).outer)
         return self
 
+    def solved(self, c: np.ndarray) -> np.ndarray:
+        """Weights from the outer products of columns and target."""
+        d = len(c) - 1
+        return np.linalg.solve(c[:d, :d] + self.sigma * np.eye(d), c[:d, d])
+
     def predict(self, df: DataFrame, x_col: str = "x", out: str = "y_pred") -> DataFrame:
         w = self.weights
         return map_matrix(df, x_col, out, lambda x: x @ w, scalar=True)
@@ -138,14 +144,20 @@ class DesignMatrix:
     def __init__(self, df: DataFrame, whiten: bool = True, test_ratio: float = 0.0, seed: int = 42, id_col: str = "sample_id", x_col: str = "x", y_col: str = "y"):
         self.id_col, self.y_col, self.seed, self.results = id_col, y_col, seed, {}
         rows = df.select(F.col(id_col), F.col(x_col).cast("array<double>").alias("x"), F.col(y_col).cast("double").alias(y_col))
+        split = random_split(rows, test_ratio, id_col, seed)
+        # rows as given, with what makes columns of the design matrix of them
+        made: Callable[[np.ndarray], np.ndarray] | None = None
         if whiten:
             scale = Scale().fit(rows)
-            rows = map_matrix(rows, "x", "z", lambda x: np.hstack([scale.apply(x), np.ones((len(x), 1))])).select(id_col, F.col("z").alias("x"), y_col)
+            made = lambda x: np.hstack([scale.apply(x), np.ones((len(x), 1))])
+            rows = map_matrix(rows, "x", "z", made).select(id_col, F.col("z").alias("x"), y_col)
+        self._train, self._test = (split.where(~F.col("is_test")), made), (split.where("is_test"), made)
         self.all = random_split(rows, test_ratio, id_col, seed)
         self.train, self.test = self.all.where(~F.col("is_test")), self.all.where("is_test")
 
     def sparsify(self, n: float, mode: str = "fps") -> DataFrame:
         self.train = sparsify(self.train, mode, n, self.id_col, "x")
+        self._train = self.train, None
         return self.train
 
     def compute_fit(self, learner, tag: str = "fit") -> dict:
@@ -158,11 +170,19 @@ class DesignMatrix:
 
     def learning_curve(self, learner, points: int = 8, repeats: int = 8, tag: str = "lc") -> list[dict]:
         """Mean and standard deviation (population) of each score on the test rows, by size of the training set."""
-        n = self.train.count()
+        ids = self._train[0].select(self.id_col)
+        tallies = _tallies(ids, self.id_col, [f"{self.seed}.{r}" for r in range(repeats)])
+        n = int(tallies[0].sum()) if repeats else ids.count()
         low = min(n, max(20, n // 1000))
-        scores = []
-        for size in sorted(set(exponential_split(low, n, points))):
-            for r in range(repeats if size < n else 1):
+        sizes = sorted(set(exponential_split(low, n, points)))
+        runs = [(size, r) for size in sizes for r in range(repeats if size < n else 1)]
+        if isinstance(learner, Ridge):
+            models = self._ridges(learner, runs, tallies)
+            learner.weights = models[-1]
+            scores = [{"size": size} | m for (size, _), m in zip(runs, self._scores(models), strict=True)]
+        else:
+            scores = []
+            for size, r in runs:
                 chosen = self.train.orderBy(draw(self.id_col, f"{self.seed}.{r}"), self.id_col).limit(size) if size < n else self.train
                 learner.fit(chosen, "x", self.y_col)
                 scores.append({"size": size} | metrics(learner.predict(self.test), self.y_col, ranked=False).first().asDict())
@@ -170,10 +190,127 @@ class DesignMatrix:
         self.results[tag] = out
         return out
 
+    def _ridges(self, learner: Ridge, runs: list[tuple[int, int]], tallies: list[np.ndarray]) -> list[np.ndarray]:
+        """Weights of every run from one pass. Products are summed by the first size that takes in a row, and sizes add up; rows of
+        the ranges of a draw in which a size ends come to the driver, which orders them by draw, id and values."""
+        rows, made = self._train
+        ends = [np.cumsum(t) for t in tallies]
+        steps = sorted({size for size, _ in runs})
+        last = [np.searchsorted(e, steps) for e in ends]  # of each repeat: the range in which each size ends
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[tuple[int, int], np.ndarray] = {}
+            for b in batches:
+                use = np.flatnonzero(b.column(1).is_valid().to_numpy(zero_copy_only=False))
+                if not len(use):
+                    continue
+                x = to_matrix(b.column(0).take(pa.array(use)))
+                x = np.hstack([x if made is None else made(x), b.column(1).to_numpy(zero_copy_only=False)[use, None]])
+                for r in range(len(last)):
+                    d = b.column(3 + r).to_numpy(zero_copy_only=False)[use]
+                    place = np.floor(d * _RANGES).astype(int)
+                    level = np.searchsorted(last[r], place)
+                    edge = np.isin(place, last[r])
+                    for k in np.unique(level[~edge]).tolist():
+                        own = x[(level == k) & ~edge]
+                        sums[r, k] = sums.get((r, k), 0) + own.T @ own
+                    if edge.any():
+                        at = np.flatnonzero(edge)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), r)), pa.array(np.full(len(at), -1)), pa.array(list(x[at])), pa.array(d[at]), b.column(2).take(pa.array(use[at]))], schema=kinds)
+            if sums:
+                keys, none = list(sums), [None] * len(sums)
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in keys]), pa.array([k for _, k in keys]), pa.array([sums[k].ravel() for k in keys]), pa.array(none, pa.float64()), pa.array(none, kinds.field("i").type)], schema=kinds)
+
+        given = rows.select("x", self.y_col, self.id_col, *[draw(self.id_col, f"{self.seed}.{r}").alias(f"_d{r}") for r in range(len(last))])
+        kinds = pa.schema([("r", pa.int64()), ("k", pa.int64()), ("c", pa.list_(pa.float64())), ("d", pa.float64()), ("i", to_arrow_type(given.schema[self.id_col].dataType))])
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        edges: list[list] = [[] for _ in last]
+        for g in given.mapInArrow(part, f"r bigint, k bigint, c array<double>, d double, i {given.schema[self.id_col].dataType.simpleString()}").collect():
+            if g.k < 0:
+                edges[g.r].append((g.d, g.i, g.c))
+            else:
+                sums[g.r, g.k] = sums.get((g.r, g.k), 0) + np.array(g.c)
+        width = next((round(len(c) ** 0.5) for c in sums.values()), None) or next((len(e[0][2]) for e in edges if e), None)
+        if width is None:
+            raise ValueError("no rows")
+        out = []
+        for e in edges:
+            e.sort()
+        for size, r in runs:
+            s = steps.index(size)
+            c = sum((sums[r, k] for k in range(s + 1) if (r, k) in sums), np.zeros(width * width)).reshape(width, width)
+            # rows of ranges before the last one, and of that one as many as are left
+            own = [v for v in edges[r] if int(v[0] * _RANGES) < last[r][s]]
+            rest = [v for v in edges[r] if int(v[0] * _RANGES) == last[r][s]]
+            before = int(ends[r][last[r][s] - 1]) if last[r][s] else 0
+            x = np.array([v[2] for v in own + rest[: size - before]]).reshape(-1, width)
+            out.append(learner.solved(c + x.T @ x))
+        return out
+
+    def _scores(self, models: list[np.ndarray]) -> list[dict]:
+        """MAE, RMSE, SUP, R2 and CORR of several sets of weights on the test rows, from one pass; means and squares around them are merged."""
+        rows, made = self._test
+        w = np.stack(models, 1)
+
+        def merged(a: tuple | None, b: tuple) -> tuple:
+            if a is None:
+                return b
+            n, step = a[0] + b[0], b[1] - a[1]
+            return n, a[1] + step * b[0] / n, a[2] + b[2] + step * step * a[0] * b[0] / n, a[3] + b[3] + step * step[0] * a[0] * b[0] / n, a[4] + b[4], a[5] + b[5], np.maximum(a[6], b[6])
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for b in batches:
+                use = np.flatnonzero(b.column(1).is_valid().to_numpy(zero_copy_only=False) & b.column(0).is_valid().to_numpy(zero_copy_only=False))
+                if not len(use):
+                    continue
+                x = to_matrix(b.column(0).take(pa.array(use)))
+                y = b.column(1).to_numpy(zero_copy_only=False)[use, None]
+                v = np.hstack([y, (x if made is None else made(x)) @ w])
+                mean = v.mean(0)
+                c, e = v - mean, v[:, 1:] - y
+                total = merged(total, (len(v), mean, (c * c).sum(0), (c * c[:, :1]).sum(0), np.abs(e).sum(0), (e * e).sum(0), np.abs(e).max(0)))
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total[0]]), *[pa.array([v]) for v in total[1:]]], names=list("nmsceqt"))
+
+        total = None
+        for g in sorted(rows.select("x", self.y_col).mapInArrow(part, "n bigint, " + ", ".join(f"{k} array<double>" for k in "msceqt")).collect()):
+            total = merged(total, (g.n, *(np.array(v) for v in (g.m, g.s, g.c, g.e, g.q, g.t))))
+        if total is None:
+            return [dict.fromkeys(("MAE", "RMSE", "SUP", "R2", "CORR")) for _ in models]
+        n, _, s, c, e, q, t = total
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return [{"MAE": e[k] / n, "RMSE": np.sqrt(q[k] / n), "SUP": t[k], "R2": 1 - q[k] / s[0], "CORR": c[k + 1] / np.sqrt(s[0] * s[k + 1])} for k in range(len(models))]
+
     def save_state(self) -> str:
         return json.dumps(self.results)
 
 
+#: Ranges of a draw that are counted before those with a wanted rank are looked into.
+_RANGES = 1 << 16
+
+
+def _tallies(ids: DataFrame, id_col: str, seeds: list[str]) -> list[np.ndarray]:
+    """For each seed the rows in each range of their draw."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = [np.zeros(_RANGES, np.int64) for _ in seeds]
+        for b in batches:
+            for k in range(len(seeds)):
+                n[k] += np.bincount(np.floor(b.column(k).to_numpy(zero_copy_only=False) * _RANGES).astype(int), minlength=_RANGES)
+        for k, v in enumerate(n):
+            at = np.flatnonzero(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(at), pa.array(v[at])], names=["k", "b", "n"])
+
+    out = [np.zeros(_RANGES, np.int64) for _ in seeds]
+    if seeds:
+        got = ids.select(*[draw(id_col, s).alias(f"_{k}") for k, s in enumerate(seeds)]).mapInArrow(run, "k bigint, b bigint, n bigint").groupBy("k", "b").agg(F.sum("n").alias("n")).toArrow()
+        k, b, n = (got.column(c).to_numpy() for c in ("k", "b", "n"))
+        for j in range(len(seeds)):
+            out[j][b[k == j]] = n[k == j]
+    return out
+
+
 def learning_curve_stats(scores: list[dict]) -> list[dict]:
     out = []
     for size in sorted({s["size"] for s in scores}):

@@ -451,8 +451,8 @@ SELECT a.f AS frame_id, a.i::INT AS atom_idx, s::INT AS z, round(coalesce(g.g, 0
 )
 def symmetry_functions(spark, sf_dir):
     """The radial function (eta 0.1, Rs 2) of every atom and species."""
-    f = descriptors.compute_atomic(order_frames(spark, sf_dir), {"a": {"type": "ACSF", "cutoff": 12.0, "species": [1, 2, 3, 4, 5], "g2_params": [[0.1, 2.0]]}})
-    rows = frames.atomic_matrix(f, ["ACSF*"]).select("frame_id", "atom_idx", F.posexplode("x").alias("k", "v")).where("k % 2 = 1")
+    rows = descriptors.atomic_rows(order_frames(spark, sf_dir), {"a": {"type": "ACSF", "cutoff": 12.0, "species": [1, 2, 3, 4, 5], "g2_params": [[0.1, 2.0]]}})
+    rows = rows.select("frame_id", "atom_idx", F.posexplode("x").alias("k", "v")).where("k % 2 = 1")
     return rows.select("frame_id", "atom_idx", (F.floor(F.col("k") / 2) + 1).cast("int").alias("z"), r("v").alias("g2"))
 
 
@@ -460,9 +460,8 @@ def symmetry_functions(spark, sf_dir):
 def soap_average(spark, sf_dir):
     """Mean power spectrum of every frame."""
     f = order_frames(spark, sf_dir)
-    spec = {"s": {"atomic_descriptor": {"a": {"type": "SOAP", "species": [1, 2, 3, 4, 5], "cutoff": 6.0, "n": 3, "l": 2, "sigma": 0.8}}, "reducer_function": {"r": {"type": "average"}}}}
-    made = descriptors.compute_global(f, spec)
-    return made.select("frame_id", F.transform(F.col("desc")["SOAP-n3-l2-c6.0-g0.8"], lambda v: F.round(v, 4)).alias("soap"))
+    made = descriptors.frame_rows(f, {"a": {"type": "SOAP", "species": [1, 2, 3, 4, 5], "cutoff": 6.0, "n": 3, "l": 2, "sigma": 0.8}})
+    return made.select("frame_id", F.transform("x", lambda v: F.round(v, 4)).alias("soap"))
 
 
 @query(f"WITH {_ATOMS} SELECT f AS frame_id, s::INT AS z, round(coalesce(avg(l_quantity) FILTER (z = s), 0), 6) AS quantity FROM a CROSS JOIN range(1, 6) t(s) GROUP BY f, s")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from descmap.operators import fit
+from descmap.operators import descriptors, fit
 from descmap.operators.sampling import draw
 
 
@@ -35,3 +35,51 @@ def test_learning_curve_of_equal_ids(spark):
     got = fit.DesignMatrix(df, whiten=False, test_ratio=0.3).learning_curve(fit.Ridge(0.1), points=3, repeats=2)
     n = df.where(draw("sample_id", 42) >= F.lit(0.3)).count()
     assert [g["size"] for g in got] == sorted({20, fit.exponential_split(20, n, 3)[1], n}) and all(np.isfinite(g["MAE"]) for g in got)
+
+
+def many_frames(spark, n=60):
+    g = np.random.default_rng(8)
+    rows = []
+    for k in range(n):
+        m = [0, 1, 4, 7][k % 4]
+        cell = (np.eye(3) * 9).tolist() if k % 10 == 3 else None
+        rows.append((k, [(a, int(g.integers(1, 4)), g.normal(0, 2, 3).tolist(), {}) for a in range(m)], cell, [cell is not None] * 3))
+    atom = "array<struct<idx:int,z:int,pos:array<double>,arrays:map<string,array<double>>>>"
+    return spark.createDataFrame(rows, f"frame_id bigint, atoms {atom}, cell array<array<double>>, pbc array<boolean>").coalesce(1), rows
+
+
+DESCRIPTORS = {
+    "s": {"type": "SOAP", "species": [1, 2], "cutoff": 3.0, "n": 2, "l": 2, "sigma": 0.5},
+    "a": {"type": "ACSF", "species": [1, 2, 3], "cutoff": 6.0, "g2_params": [[0.1, 1.0]], "g4_params": [[0.01, 4.0, 1.0]], "g5_params": [[0.02, 1.0, -1.0]]},
+    "k": {"type": "LMBTR_K2", "species": [1, 3], "grid": {"min": 0.0, "max": 1.0, "n": 5, "sigma": 0.1}},
+    "l": {"type": "LMBTR_K3", "species": [1, 2], "grid": {"n": 5}, "normalization": "l2"},
+}
+
+
+def test_descriptors_of_many_frames_at_once(spark):
+    """Frames that don't repeat are computed together, atoms' rows and frames' sums come without the frames; as one by one."""
+    df, rows = many_frames(spark)
+    specs = sorted(DESCRIPTORS.values(), key=descriptors.acronym)
+    want = {}
+    for k, atoms, cell, pbc in rows:
+        if atoms:
+            f = descriptors.Frame(np.array([a[1] for a in atoms]), np.array([a[2] for a in atoms]), None if cell is None else np.array(cell), np.array(pbc))
+            want[k] = np.hstack([descriptors.ATOMIC[s["type"]](f, s) for s in specs])
+    got: dict = {}
+    for r in descriptors.atomic_rows(df, DESCRIPTORS).orderBy("frame_id", "atom_idx").collect():
+        got.setdefault(r.frame_id, []).append(r.x)
+    assert sorted(got) == sorted(want) and all(np.allclose(got[k], want[k]) for k in want)
+    for how, fn in (("sum", np.sum), ("average", np.mean)):
+        made = {r.frame_id: r.x for r in descriptors.frame_rows(df, DESCRIPTORS, how).collect()}
+        assert sorted(made) == sorted(want) and all(np.allclose(made[k], fn(want[k], axis=0)) for k in want)
+    whole = {r.frame_id: r.atoms for r in descriptors.compute_atomic(df, DESCRIPTORS).collect()}
+    names = [descriptors.acronym(s) for s in specs]
+    assert all(np.allclose([np.concatenate([a.arrays[n] for n in names]) for a in whole[k]], want[k]) for k in want) and whole[0] == []
+
+
+def test_frames_are_taken_together():
+    pa = descriptors.pa
+    atoms = pa.array([[{"z": 1, "pos": [0.0, 0.0, float(i)]} for i in range(5)]] * 300)
+    none = pa.array([None] * 300, pa.list_(pa.list_(pa.float64())))
+    got = list(descriptors._batch(atoms, none, pa.array([[False] * 3] * 300)))
+    assert len(got) == 1 and got[0][2].sizes.tolist() == [5] * 300

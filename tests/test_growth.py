@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from descmap.operators import descriptors, fit
+from descmap.operators import blocks, cluster, density, descriptors, fit
 from descmap.operators.sampling import draw
 
 
@@ -83,3 +83,41 @@ def test_frames_are_taken_together():
     none = pa.array([None] * 300, pa.list_(pa.list_(pa.float64())))
     got = list(descriptors._batch(atoms, none, pa.array([[False] * 3] * 300)))
     assert len(got) == 1 and got[0][2].sizes.tolist() == [5] * 300
+
+
+def test_rows_are_sent_a_fixed_number_of_times(spark):
+    """Twice the rows, the same number of blocks: what is shuffled grows with the rows."""
+    for n in (25_000, 50_000):
+        rows = spark.range(n).select("id", F.array(F.col("id").cast("double")).alias("x"))
+        got = blocks.pair_blocks(rows, rows, lambda a, b: blocks.pa.table({"n": [len(a.ids)]}), "n bigint")
+        assert got.agg(F.count("*"), F.sum("n")).first() == (blocks.SHARES**2, n * blocks.SHARES)
+
+
+def test_tiles(spark, monkeypatch):
+    """Tiles much smaller than blocks give what NumPy does for all pairs at once, equal distances and copies included."""
+    monkeypatch.setattr(blocks, "TILE", (7, 5))
+    x = np.round(np.random.default_rng(3).normal(size=(90, 2)), 1)
+    ids = np.random.default_rng(4).permutation(1000)[:90]
+    rows = blocks.Block(ids, x, {})
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    assert np.allclose(blocks.row_sums(rows, rows, lambda a, b: a @ b.T), (x @ x.T).sum(1))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "sample_id bigint, x array<double>")
+    s = blocks.samples(df)
+    got: dict = {}
+    for r in blocks.nearest(s, s, 6).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append((r.other, r.distance))
+    for k, i in enumerate(ids.tolist()):
+        want = np.lexsort((ids, np.round(d[k], 9)))[:6]
+        assert np.allclose([v for _, v in got[i]], d[k][want])
+    logs = {r.sample_id: r.log_density for r in density.kde(df, 0.01, "exponential").collect()}
+    want = np.log(np.exp(-d / 0.01).mean(1)) - density.log_normaliser("exponential", 0.01, 2)
+    assert np.allclose([logs[i] for i in ids.tolist()], want)
+    labels = {r.sample_id: r.cluster_label for r in cluster.dbscan(df, 0.35, 4).collect()}
+    near = d <= 0.35
+    core, root = near.sum(1) >= 4, ids.copy()
+    for _ in range(90):
+        root = np.where(core, np.where(near & core[None, :], root[None, :], 10**9).min(1), root)
+    number = {v: k for k, v in enumerate(sorted(set(root[core].tolist())))}
+    for k, i in enumerate(ids.tolist()):
+        own = [number[v] for v in root[near[k] & core].tolist()]
+        assert labels[i] == (number[root[k]] if core[k] else min(own, default=-1))

@@ -5,8 +5,10 @@ A spec is {tag: {"type": "linear" | "polynomial" | "cosine", "d": degree}}; seve
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
+from itertools import combinations_with_replacement
 
 import numpy as np
 from pyspark.sql import Column
@@ -55,6 +57,36 @@ def matrix(spec: Spec, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def n_features(spec: Spec, d: int) -> int | None:
+    """Length of `features` of vectors of d numbers; None if a kernel has none of finite length here (a degree that is no whole number)."""
+    total = 0
+    for s in spec.values():
+        p = _degree(s) if kind(s) == "polynomial" else 1.0
+        if p != int(p) or p < 0:
+            return None
+        total += math.comb(d + int(p) - 1, int(p))
+    return total
+
+
+def features(spec: Spec, a: np.ndarray) -> np.ndarray:
+    """Rows whose dot products are the kernel: the vectors (of length one), monomials of a polynomial kernel's degree."""
+    parts = []
+    for s in spec.values():
+        name = kind(s)
+        if name == "cosine":
+            n = np.linalg.norm(a, axis=1, keepdims=True)
+            parts.append(np.divide(a, n, out=np.zeros_like(a), where=n > 0))
+        elif name == "polynomial":
+            cols = []
+            for at in combinations_with_replacement(range(a.shape[1]), p := int(_degree(s))):
+                many = math.factorial(p) / math.prod(math.factorial(at.count(k)) for k in set(at))
+                cols.append(math.sqrt(many) * a[:, list(at)].prod(1))
+            parts.append(np.stack(cols, 1))
+        else:
+            parts.append(a)
+    return np.hstack(parts)
+
+
 def normalised(k: Column, k_ii: Column, k_jj: Column) -> Column:
     """k / sqrt(k_ii k_jj), 1 at most."""
     return F.least(k / F.sqrt(k_ii * k_jj), F.lit(1.0))

@@ -19,6 +19,10 @@ from descmap.operators.reduce import Scale
 from descmap.operators.sampling import draw, exponential_split, landmarks, random_split, sparsify
 
 
+#: Features of a kernel at most: their products are one matrix on the driver.
+WIDE = 4096
+
+
 def _ranks(df: DataFrame, col: str) -> DataFrame:
     """Each different value with its average rank: counts of values meet, not rows."""
     return counted(df, col).select(col, (F.col("_before") + (F.col("n") + 1) / 2).alias(f"rank_{col}"))
@@ -61,18 +65,21 @@ class Ridge:
 
 @dataclass
 class KernelRidge:
-    """Full kernel ridge on a bounded set of rows."""
+    """Full kernel ridge. Up to `most` rows their kernel is held in one place. More rows are fitted by the kernel's features (`kernels.features`,
+    WIDE at most): with K = F F', K (K + s)^-1 y = F (F'F + s)^-1 F'y, and F'F is summed by the tasks that read the rows."""
 
     sigma: float = 1e-4
     kernel: dict = field(default_factory=lambda: {"k0": {"type": "linear"}})
     delta: float = 1.0
     x: np.ndarray | None = None
     alpha: np.ndarray | None = None
+    weights: np.ndarray | None = None
 
     def fit(self, df: DataFrame, x_col: str = "x", y_col: str = "y", id_col: str = "sample_id", most: int = 10_000) -> KernelRidge:
-        if df.count() > most:
-            raise ValueError(f"full kernel ridge takes {most} rows at most; use the sparse form")
         rows = df.where(F.col(y_col).isNotNull())
+        self.x = self.alpha = self.weights = None
+        if df.count() > most:
+            return self._fit_features(rows, x_col, y_col, most)
         _, both = local(rows.select(F.col(id_col).alias("id"), F.concat(F.col(x_col).cast("array<double>"), F.array(F.col(y_col).cast("double"))).alias("x")))
         self.x, self.y = both[:, :-1], both[:, -1]
         self.c = kernels.matrix(self.kernel, self.x, self.x) + self.sigma * np.eye(len(self.x))
@@ -80,11 +87,55 @@ class KernelRidge:
         return self
 
     def predict(self, df: DataFrame, x_col: str = "x", out: str = "y_pred") -> DataFrame:
-        x, a, spec = self.x, self.alpha, self.kernel
+        x, a, spec, w = self.x, self.alpha, self.kernel, self.weights
+        if w is not None:
+            return map_matrix(df, x_col, out, lambda v: kernels.features(spec, v) @ w, scalar=True)
         return map_matrix(df, x_col, out, lambda v: kernels.matrix(spec, v, x) @ a, scalar=True)
 
+    def _fit_features(self, rows: DataFrame, x_col: str, y_col: str, most: int) -> KernelRidge:
+        width = kernels.n_features(self.kernel, rows.select(F.max(F.size(x_col))).first()[0])
+        if width is None or width > WIDE:
+            raise ValueError(f"full kernel ridge on more than {most} rows takes kernels of {WIDE} features at most; use the sparse form")
+        spec = self.kernel
+        both = rows.select(F.concat(F.col(x_col).cast("array<double>"), F.array(F.col(y_col).cast("double"))).alias("x"))
+        c = gram(both, "x", lambda v: np.hstack([kernels.features(spec, v[:, :-1]), v[:, -1:]])).outer
+        self.inverse = np.linalg.inv(c[:-1, :-1] + self.sigma * np.eye(width))
+        self.weights = np.linalg.solve(c[:-1, :-1] + self.sigma * np.eye(width), c[:-1, -1])
+        return self
+
+    def left_out(self, df: DataFrame, x_col: str = "x", y_col: str = "y", out: str = "y_pred") -> DataFrame:
+        """df, the fitted rows, with each row's prediction from all others, without fitting again; rows without a target have none."""
+        if self.weights is None:
+            x, spec, alpha, inv, sigma = self.x, self.kernel, self.alpha, np.linalg.solve(self.c, np.eye(len(self.c))), self.sigma
+
+            def fn(v: np.ndarray) -> np.ndarray:
+                # a fitted row's own column k of the kernel gives its share h of its own prediction: k' C^-1 k = k(v, v) - s h
+                k = kernels.matrix(spec, v[:, :-1], x)
+                own = np.array([kernels.matrix(spec, u[None, :-1], u[None, :-1])[0, 0] for u in v])
+                h = (own - np.einsum("ij,ij->i", k @ inv, k)) / sigma
+                return v[:, -1] - (v[:, -1] - k @ alpha) / (1 - h)
+        else:
+            w, inv, spec = self.weights, self.inverse, self.kernel
+
+            def fn(v: np.ndarray) -> np.ndarray:
+                f = kernels.features(spec, v[:, :-1])
+                h = np.einsum("ij,ij->i", f @ inv, f)
+                return v[:, -1] - (v[:, -1] - f @ w) / (1 - h)
+
+        given = df.withColumn("_xy", F.when(F.col(y_col).isNotNull(), F.concat(F.col(x_col).cast("array<double>"), F.array(F.col(y_col).cast("double")))))
+        return map_matrix(given, "_xy", out, fn, scalar=True).drop("_xy")
+
     def uncertainty(self, df: DataFrame, x_col: str = "x", out: str = "y_std") -> DataFrame:
         """sqrt(delta (1 - k' C^-1 k)), for kernels that are 1 on the diagonal."""
+        if self.weights is not None:
+            spec, delta, inverse, sigma = self.kernel, self.delta, self.inverse, self.sigma
+
+            def by_features(v: np.ndarray) -> np.ndarray:
+                # k' C^-1 k = f'f - s f' (F'F + s)^-1 f
+                f = kernels.features(spec, v)
+                return np.sqrt(np.maximum(delta * (1 - (f * f).sum(1) + sigma * np.einsum("ij,ij->i", f @ inverse, f)), 0))
+
+            return map_matrix(df, x_col, out, by_features, scalar=True)
         x, inv, spec, delta = self.x, np.linalg.solve(self.c, np.eye(len(self.c))), self.kernel, self.delta
 
         def fn(v: np.ndarray) -> np.ndarray:
@@ -94,7 +145,9 @@ class KernelRidge:
         return map_matrix(df, x_col, out, fn, scalar=True)
 
     def cross_validated(self, folds: list[np.ndarray]) -> np.ndarray:
-        """Predictions of every fitted row from the rows of other folds, without fitting again."""
+        """Predictions of every fitted row from the rows of other folds, without fitting again (for rows held in one place; see `left_out`)."""
+        if self.alpha is None:
+            raise ValueError("the rows are not held in one place")
         inv = np.linalg.solve(self.c, np.eye(len(self.c)))
         out = np.empty(len(self.y))
         for f in folds:

@@ -121,3 +121,19 @@ def test_tiles(spark, monkeypatch):
     for k, i in enumerate(ids.tolist()):
         own = [number[v] for v in root[near[k] & core].tolist()]
         assert labels[i] == (number[root[k]] if core[k] else min(own, default=-1))
+
+
+@pytest.mark.parametrize("spec", [{"k": {"type": "linear"}}, {"k": {"type": "polynomial", "d": 3}, "c": {"type": "cosine"}}])
+def test_kernel_ridge_of_many_rows(spark, spec):
+    """Beyond the rows that are held in one place the fit goes by features, with the same predictions, deviations and left-out rows."""
+    g = np.random.default_rng(9)
+    x, y = g.normal(size=(70, 2)), g.normal(size=70)
+    df = spark.createDataFrame([(i, v.tolist(), float(t)) for i, (v, t) in enumerate(zip(x, y))], "sample_id bigint, x array<double>, y double")
+    few, many = fit.KernelRidge(0.3, spec).fit(df), fit.KernelRidge(0.3, spec).fit(df, most=50)
+    get = lambda d, c: [r[c] for r in d.orderBy("sample_id").collect()]
+    assert np.allclose(get(few.predict(df), "y_pred"), get(many.predict(df), "y_pred"))
+    want = few.cross_validated([np.array([k]) for k in range(70)])
+    assert np.allclose(want, get(few.left_out(df), "y_pred")) and np.allclose(want, get(many.left_out(df), "y_pred"))
+    assert np.allclose(get(few.uncertainty(df), "y_std"), get(many.uncertainty(df), "y_std"), atol=1e-6)
+    with pytest.raises(ValueError):
+        fit.KernelRidge(0.3, {"k": {"type": "polynomial", "d": 2.5}}).fit(df, most=50)

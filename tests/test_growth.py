@@ -137,3 +137,27 @@ def test_kernel_ridge_of_many_rows(spark, spec):
     assert np.allclose(get(few.uncertainty(df), "y_std"), get(many.uncertainty(df), "y_std"), atol=1e-6)
     with pytest.raises(ValueError):
         fit.KernelRidge(0.3, {"k": {"type": "polynomial", "d": 2.5}}).fit(df, most=50)
+
+
+@pytest.mark.parametrize("kind", [None, "exp"])
+def test_density_peaks_keep_no_pairs(spark, monkeypatch, kind):
+    """Nothing that is written has more rows than there are samples; a table of distances, whole or row by row, gives the same."""
+    x = np.random.default_rng(6).normal(size=(120, 2))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "sample_id bigint, x array<double>")
+    sizes, kept = [], cluster.written
+
+    def counting(d):
+        out = kept(d)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(cluster, "written", counting)
+    monkeypatch.setattr(cluster, "STRIP", 1000)
+    get = lambda d: sorted(map(tuple, d.select("sample_id", F.round("rho", 9), F.round("delta", 9), "ref", "center", "cluster", "cluster_label").collect()))
+    want = get(cluster.DensityPeaks(5.0, kind).fit(df))
+    assert len(want) == 120 and sizes and max(sizes) <= 120
+    wide = blocks.distance_rows(blocks.samples(df), 1000)
+    assert get(cluster.DensityPeaks(5.0, kind).fit_distances(wide)) == want
+    if kind is None:
+        long = wide.select("i", F.inline(F.arrays_zip("j", "distance")))
+        assert get(cluster.DensityPeaks(5.0).fit_distances(long)) == want

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from descmap.operators import blocks, cluster, density, descriptors, fit
 from descmap.operators.sampling import draw
+from descmap.sources import extxyz
 
 
 def test_learning_curve_takes_one_pass(spark, monkeypatch):
@@ -161,3 +162,24 @@ def test_density_peaks_keep_no_pairs(spark, monkeypatch, kind):
     if kind is None:
         long = wide.select("i", F.inline(F.arrays_zip("j", "distance")))
         assert get(cluster.DensityPeaks(5.0).fit_distances(long)) == want
+
+
+def test_text_of_frames_is_made_by_many_tasks(spark, tmp_path, monkeypatch):
+    """One file's frames are written out by the tasks that hold them; the file is in order of id."""
+    df, _ = many_frames(spark)
+    whole = df.select("frame_id", F.size("atoms").alias("natoms"), "cell", "pbc", F.create_map(F.lit("task"), F.lit("x")).alias("info"), F.create_map(F.lit("k"), F.col("frame_id").cast("double")).alias("props"), F.expr("map()").cast("map<string,array<double>>").alias("desc"), F.expr("transform(atoms, a -> named_struct('idx', a.idx, 'symbol', 'H', 'z', a.z, 'pos', a.pos, 'arrays', a.arrays))").alias("atoms"))
+    text = extxyz._text
+
+    def named(f):
+        from pyspark import TaskContext
+
+        return text(f | {"info": [("task", f"t{TaskContext.get().partitionId()}")]})
+
+    monkeypatch.setattr(extxyz, "_text", named)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    extxyz.write(whole.where("natoms > 0").repartition(4), str(tmp_path / "o"), single=True)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    [part] = (tmp_path / "o").glob("part-*")
+    got = extxyz.read(spark, str(part)).orderBy("frame_id").collect()
+    assert [r.props["k"] for r in got] == sorted(r.props["k"] for r in got) and len(got) == 45
+    assert len({r.info["task"] for r in got}) > 1
